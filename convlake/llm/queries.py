@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import html_extract, quality_rules, url_filters
 
 QUERIES = {
     "op7_url_filters": url_filters.query,
+    "op9_quality_rules": quality_rules.query,
+    "op10_html_extraction": html_extract.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": quality_rules.SQL,
+}
