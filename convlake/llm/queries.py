@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_extract, quality_rules, url_filters
+from . import html_extract, language_id, quality_rules, url_filters
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op7_url_filters": url_filters.query,
     "op9_quality_rules": quality_rules.query,
     "op10_html_extraction": html_extract.query,
