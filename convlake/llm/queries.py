@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, quality_rules, url_filters
+from . import decontaminate, html_extract, language_id, quality_rules, url_filters
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
     "op1_language_id": language_id.query,
     "op7_url_filters": url_filters.query,
     "op9_quality_rules": quality_rules.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
