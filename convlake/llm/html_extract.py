@@ -5,7 +5,7 @@ length) to their container and half of them to the container above. Points are d
 of link text. The best container is kept whole, with those of its siblings that score well or read as prose; menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
 
-Each page is parsed on its own inside mapInPandas: no shuffle, memory bounded by the Arrow batch.
+Each page is parsed on its own inside mapInArrow: no shuffle, memory bounded by the Arrow batch.
 
 Nulls: null or empty HTML, and HTML without a text block, gives an empty text. Nothing is cut, however long the page.
 Repeated rows each get their row; extra columns of the input are kept out.
@@ -16,8 +16,9 @@ from __future__ import annotations
 import html as entities
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
@@ -193,17 +194,16 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """`keys`, text, n_chars of every row of `pages`."""
     small_batches(pages.sparkSession)
-    kept = pages.select(*keys, html)
+    kept = pages.select(*keys, F.col(html).alias("_html"))
 
     def run(batches):
         for b in batches:
-            text = [main_text(x if isinstance(x, str) else None) for x in b[html]]
-            out = b[keys].copy()
-            out["text"], out["n_chars"] = text, pd.Series([len(t) for t in text], dtype="int64", index=out.index)
-            yield out
+            text = [main_text(x) for x in b.column(len(keys)).to_pylist()]
+            made = [pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())]
+            yield pa.RecordBatch.from_arrays(b.columns[: len(keys)] + made, names=[*keys, "text", "n_chars"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != html)
-    return kept.mapInPandas(run, f"{fields}, text string, n_chars long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_html")
+    return kept.mapInArrow(run, f"{fields}, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A text is the mean embedding of its letter 2-, 3- and 4-grams (hashed, with word
 softmax. Embeddings and weights are trained by stochastic gradient descent in numpy on the driver, over a bounded
 sample: at most about `per_lang` documents of each of the `max_langs` most frequent languages (rows, not the corpus,
 bound the driver's memory). A held-back fifth of the sample sets the softmax temperature and the rejection
-threshold. Prediction reads every whole text in mapInPandas with the model as a broadcast of fixed size
+threshold. Prediction reads every whole text in mapInArrow with the model as a broadcast of fixed size
 (2**bits x languages floats); there is no shuffle.
 
 Nulls: a null text or one without a letter is `und` with score 0. A null language or id is not learned from; such
@@ -18,7 +18,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,15 +207,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
     def run(batches):
         for b in batches:
-            got = [shared.value.predict(t if isinstance(t, str) else None) for t in b["_text"]]
-            out = b[keep].copy()
-            out["lang_pred"] = [x for x, _ in got]
-            out["score"] = pd.Series([s for _, s in got], dtype="float64", index=out.index)
-            out["accepted"] = (out["score"] >= shared.value.reject) & (out["lang_pred"] != UNKNOWN)
-            yield out
+            got = [shared.value.predict(t) for t in b.column(len(keep)).to_pylist()]
+            fine = [s >= shared.value.reject and x != UNKNOWN for x, s in got]
+            made = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array(fine, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(
+                b.columns[: len(keep)] + made, names=[*keep, "lang_pred", "score", "accepted"]
+            )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
-    return kept.mapInPandas(run, f"{fields}, lang_pred string, score double, accepted boolean")
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, accepted boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, quality_rules, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, quality_rules, url_filters
 
 QUERIES = {
     "op3_decontaminate": decontaminate.query,
     "op1_language_id": language_id.query,
     "op7_url_filters": url_filters.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_quality_rules": quality_rules.query,
     "op10_html_extraction": html_extract.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
