@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, quality_rules, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, url_filters
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op3_decontaminate": decontaminate.query,
     "op1_language_id": language_id.query,
     "op7_url_filters": url_filters.query,
