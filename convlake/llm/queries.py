@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, suffix_dedup, url_filters
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_decontaminate": decontaminate.query,
     "op1_language_id": language_id.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_url_filters": url_filters.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_quality_rules": quality_rules.query,
