@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, suffix_dedup, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_decontaminate": decontaminate.query,
     "op1_language_id": language_id.query,
+    "op4_quality_classifier": quality_classifier.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_url_filters": url_filters.query,
     "op8_jaccard_join": jaccard_join.query,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
+    "op5_line_dedup": line_dedup.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }

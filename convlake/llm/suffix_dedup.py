@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, small_batches, span_hash, stash, text_chunks
+from .common import mix, prefix_hash, small_batches, span_hash, stash, text_chunks, with_spans
 
 GRAM, SPARSE, DENSE, TAIL = 8, 48, 16, 50
 FULL, TEST, OFFER = 0, 1, 2  # a family is duplicate; is to be tested; is duplicate and offers its suffixes
@@ -270,20 +270,6 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
     return packed.repartition(parts, "bucket").mapInArrow(meet, "task int, doc int, data binary")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, how: str, few: int) -> DataFrame:
-    """`docs` joined with `spans` on (h, g). Texts without spans are not shuffled if the keys are few enough to broadcast."""
-    if spans.count() > few:
-        return docs.join(spans, ["h", "g"], how)
-    keys = F.broadcast(spans.select("h", "g"))
-    near = docs.join(keys, ["h", "g"], "left_semi").join(spans, ["h", "g"])
-    if how == "inner":
-        return near
-    other = docs.join(keys, ["h", "g"], "left_anti")
-    for c in spans.columns[2:]:
-        other = other.withColumn(c, F.lit(None).cast(spans.schema[c].dataType))
-    return near.unionByName(other)
-
-
 def dedup(
     docs: DataFrame, keep: list[str], text: str = "text", width: int = 200, few: int = 500_000
 ) -> DataFrame:
