@@ -52,13 +52,12 @@ def benchmark_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings of vocabulary terms, and length records under the empty term; partitioned by kind."""
+    """Postings of vocabulary terms, and length records (with the id) under the empty term."""
     words = F.concat(words_of(F.col("text")), F.array(F.lit("")))
     rows = docs.select("id", *KEY, F.posexplode(words).alias("pos", "word"))
     rows = rows.select("id", *KEY, "pos", ascii_lower(F.col("word")).alias("term"))
     rows = rows.join(vocabulary, "term", "left_semi")
-    kind = F.when(F.col("term") == "", "length").otherwise("post")
-    return rows.select(F.when(kind == "length", F.col("id")).alias("id"), *KEY, "pos", "term", kind.alias("kind"))
+    return rows.select(F.when(F.col("term") == "", F.col("id")).alias("id"), *KEY, "pos", "term")
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -82,7 +81,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 
 def candidates(index: DataFrame, marks: DataFrame) -> DataFrame:
     """Diagonals on which both anchors of some window stand: h, g, item, n, diag."""
-    posts = index.where(F.col("kind") == "post").select(*KEY, "pos", "term")
+    posts = index.where(F.col("term") != "").select(*KEY, "pos", "term")
     first = posts.join(marks, F.col("term") == F.col("term1")).select(
         *KEY, "item", "n", (F.col("pos") - F.col("p1")).alias("diag"), F.col("term2").alias("term"),
         (F.col("pos") - F.col("p1") + F.col("p2")).alias("pos"),
@@ -107,8 +106,8 @@ def decontaminate(
     vocabulary = items.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).distinct()
     blank = docs.sparkSession.range(1).select(F.lit("").alias("term"))
     vocabulary = stash(vocabulary.union(blank).distinct(), "decontaminate-terms")
-    index = stash(build_index(docs, vocabulary), "decontaminate-index", partition_by="kind")
-    counts = index.where(F.col("kind") == "post").groupBy("term").count()
+    index = stash(build_index(docs, vocabulary), "decontaminate-index")
+    counts = index.where(F.col("term") != "").groupBy("term").count()
     marks = stash(anchors(items, counts, window), "decontaminate-anchors")
     found = candidates(index, marks).groupBy(*KEY).agg(F.collect_list(F.struct("item", "n", "diag")).alias("found"))
     found = stash(found, "decontaminate-candidates")
@@ -143,7 +142,7 @@ def decontaminate(
         F.sort_array(F.collect_set("item_id")).alias("items"),
         F.max("near").alias("near"),
     )
-    lengths = index.where(F.col("kind") == "length").select("id", *KEY, F.col("pos").cast("long").alias("n_words"))
+    lengths = index.where(F.col("term") == "").select("id", *KEY, F.col("pos").cast("long").alias("n_words"))
     out = lengths.join(hits, KEY, "left")
     return out.select(F.col("id").alias(id_col), "n_words", "hits", "items", "near")
 

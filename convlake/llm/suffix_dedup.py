@@ -284,7 +284,7 @@ def dedup(
     clean = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(*keep, clean.alias("_text"), F.xxhash64(clean).alias("h"), F.hash(clean).alias("g"))
     source = docs.select("h", "g", F.col("_text").alias("text"))
-    parsed = stash(parse(source, width, parts, buckets), "suffix-parse", partition_by="kind")
+    parsed = stash(parse(source, width, parts, buckets), "suffix-parse")
     names = parsed.where("kind = 'map'").select("task", "doc", "h", "g")
     tests = parsed.where("kind = 'test'").select("task", "doc", "data").join(names, ["task", "doc"])
     tests = tests.groupBy("h", "g").agg(F.collect_list(F.struct("task", "doc", "data")).alias("tests"))
