@@ -100,7 +100,7 @@ def decontaminate(
     item_text: str = "text",
     window: int = 10,
 ) -> DataFrame:
-    """id, n_words, hits (start, length of each matched window), items (ids), near, of every document."""
+    """id, h, g (key), n_words, hits (start, length of each matched window), items (ids), near, of every document."""
     docs = keyed(docs, id_col, text)
     items = stash(benchmark_items(benchmark, item_id, item_text), "decontaminate-items")
     vocabulary = items.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).distinct()
@@ -144,7 +144,15 @@ def decontaminate(
     )
     lengths = index.where(F.col("term") == "").select("id", *KEY, F.col("pos").cast("long").alias("n_words"))
     out = lengths.join(hits, KEY, "left")
-    return out.select(F.col("id").alias(id_col), "n_words", "hits", "items", "near")
+    return out.select(F.col("id").alias(id_col), *KEY, "n_words", "hits", "items", "near")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without a benchmark window."""
+    found = decontaminate(docs, benchmark, id_col, text, **options).where(F.col("hits").isNotNull())
+    found = found.select(F.col("h").alias("_h"), F.col("g").alias("_g"))
+    keys = (F.xxhash64(F.col(id_col), F.col(text)) == F.col("_h")) & (F.hash(F.col(text), F.col(id_col)) == F.col("_g"))
+    return docs.join(found, keys, "left_anti")
 
 
 def covered(hits: Column) -> Column:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .quality_rules import SPACES, base_figures, let
 
 TEXT = ["words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "marks", "distinct"]
@@ -30,12 +31,14 @@ META = ["chars", "source", "lang"]
 SOURCES, LANGS = 64, 16
 
 
-def features(docs: DataFrame, id_col: str, text: str, source: str, lang: str, n_chars: str) -> DataFrame:
-    """id, then TEXT and META features as doubles."""
+def features(
+    docs: DataFrame, id_col: str, text: str, source: str, lang: str, n_chars: str, whole: bool = False
+) -> DataFrame:
+    """id (with `whole`, a struct of the row), then TEXT and META features as doubles."""
     t = F.coalesce(F.col(text), F.lit(""))
     distinct = let(F.split(t, SPACES), lambda w: F.size(F.array_distinct(w)) / F.size(w))
     df = docs.select(
-        F.col(id_col).alias("id"),
+        (F.struct(*docs.columns) if whole else F.col(id_col)).alias("id"),
         base_figures(F.col(text)).alias("f"),
         F.char_length(t).alias("size"),
         F.regexp_count(t, F.lit("[A-Z]")).alias("upper"),
@@ -205,11 +208,9 @@ def columns_of(columns: dict[str, str]) -> dict[str, str]:
     return {"text": "text", "source": "source", "lang": "lang", "n_chars": "n_chars"} | columns
 
 
-def classify(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """id, text_score, meta_score, score (probability of good quality), kept."""
-    figures = features(docs, id_col, **columns_of(columns))
-    shared = docs.sparkSession.sparkContext.broadcast(judge)
-    names = [id_col, "text_score", "meta_score", "score", "kept"]
+def _score(figures: DataFrame, judge: Judge | None) -> DataFrame:
+    shared = figures.sparkSession.sparkContext.broadcast(judge)
+    names = ["id", "text_score", "meta_score", "score", "kept"]
 
     def run(batches):
         judge = shared.value
@@ -221,7 +222,19 @@ def classify(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", **col
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (a, m, s, kept))], names=names)
 
     kind = figures.schema["id"].dataType.simpleString()
-    return figures.mapInArrow(run, f"`{id_col}` {kind}, text_score double, meta_score double, score double, kept boolean")
+    return figures.mapInArrow(run, f"id {kind}, text_score double, meta_score double, score double, kept boolean")
+
+
+def classify(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", **columns: str) -> DataFrame:
+    """id, text_score, meta_score, score (probability of good quality), kept."""
+    return _score(features(docs, id_col, **columns_of(columns)), judge).withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", **columns: str) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns."""
+    small_batches(docs.sparkSession)
+    figures = features(docs, id_col, whole=True, **columns_of(columns))
+    return _score(figures, judge).where("kept").select("id.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

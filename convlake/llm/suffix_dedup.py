@@ -271,10 +271,12 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
 
 
 def dedup(
-    docs: DataFrame, keep: list[str], text: str = "text", width: int = 200, few: int = 500_000
+    docs: DataFrame, keep: list[str], text: str = "text", width: int = 200, few: int = 500_000, as_text: bool = False
 ) -> DataFrame:
     """`keep`, n_bytes, spans (removed [start, end) bytes), kept (the remaining bytes) of every row.
 
+    as_text: kept is a string, without what is left of a character that a removed run cuts through.
+
     few: up to so many distinct texts with repeats, their keys (12 bytes each) are broadcast; beyond, joins shuffle.
     """
     spark = docs.sparkSession
@@ -312,13 +314,15 @@ def dedup(
                 edges = [0, *(x for r in runs for x in r), len(raw)]
                 sizes.append(len(raw))
                 removed.append([{"start": a, "end": z} for a, z in runs])
-                kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2])))
+                left = [raw[a:z] for a, z in zip(edges[::2], edges[1::2])]
+                kept.append("".join(x.decode("utf-8", "ignore") for x in left) if as_text else b"".join(left))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            made = [pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
+            made = [pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(b.columns[:n] + made, names=[*keep, "n_bytes", "spans", "kept"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in keep)
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    kind = "string" if as_text else "binary"
+    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept {kind}")
 
 
 def digest(found: DataFrame) -> DataFrame:
