@@ -1,3 +1,5 @@
 """Imports every module that registers queries."""
 
 from . import queries_basic  # noqa: F401
+from . import queries_annotate  # noqa: F401
+from . import queries_profile  # noqa: F401
