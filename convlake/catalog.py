@@ -4,3 +4,4 @@ from . import queries_basic  # noqa: F401
 from . import queries_annotate  # noqa: F401
 from . import queries_profile  # noqa: F401
 from . import queries_memory  # noqa: F401
+from . import queries_streaming  # noqa: F401

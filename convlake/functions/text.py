@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns that results depend on.
 WORD = r"[\p{L}\p{N}_]+"
@@ -37,7 +38,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(strip(c), r"(?U)\s+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
