@@ -104,9 +104,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(
-    texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 4, rate: float = 2.0, seed: int = 7
+    texts: list[str],
+    langs: list[str],
+    bits: int = 16,
+    dim: int = 16,
+    epochs: int = 4,
+    rate: float = 2.0,
+    seed: int = 7,
+    steps: int = 800,
 ) -> Model:
-    """Stochastic gradient descent over whole texts and short fragments of them."""
+    """Stochastic gradient descent over whole texts and short fragments of them: `epochs`, and `steps` at least."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     if not names:
@@ -136,6 +143,7 @@ def train(
         return np.add.reduceat(emb[ids] * share[:, None], at, axis=0), ids, share, np.repeat(np.arange(len(batch)), sizes)
 
     size = 32
+    epochs = max(epochs, -(-steps * size // max(len(learn), 1)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(learn)
