@@ -2,8 +2,9 @@
 
 Each page becomes a small tree. Blocks of text pass points (one, plus one for each comma, plus up to three for
 length) to their container and half of them to the container above. Points are discounted by the container's share
-of link text. The best container is kept whole, with those of its siblings that score well or read as prose; menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
+of link text. The best container (or the article or main element around it) is kept whole, with those of its siblings
+that score well or read as prose, and what stands among them; menus, page headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments never count.
 
 Each page is parsed on its own inside mapInArrow: no shuffle, memory bounded by the Arrow batch.
 
@@ -136,7 +137,7 @@ class Tree:
                         del names[back:], drops[back:]
                     elif name in BLOCK and name != "p":
                         break
-            drop = furniture(tag, m["attrs"])
+            drop = furniture(tag, m["attrs"]) and not (tag == "header" and "article" in names)
             names.append(tag)
             drops.append(drop)
             dropped += drop
@@ -148,6 +149,13 @@ class Tree:
         flush()
 
 
+def chain(parent: list[int], node: int):
+    """A container and those above it."""
+    while node >= 0:
+        yield node
+        node = parent[node]
+
+
 def main_text(source: str | None) -> str:
     """The main text of one page."""
     if not source:
@@ -178,13 +186,21 @@ def main_text(source: str | None) -> str:
     if not value[best]:
         known = [i for i in range(n) if tree.tag[i] in ("article", "main", "body") and length[i]]
         best = min(known, key=lambda i: (("article", "main", "body").index(tree.tag[i]), -length[i]), default=0)
+    for wanted in ("article", "main"):
+        up = [i for i in chain(tree.parent, best) if tree.tag[i] == wanted]
+        if up:
+            best = up[-1]
+            break
     keep, above = {best}, tree.parent[best]
-    for i in range(n):
-        if i != best and tree.parent[i] == above and above >= 0 and length[i]:
-            density = linked[i] / length[i]
-            prose = tree.tag[i] in ("p", "blockquote", "pre") and (length[i] > 80 and density < 0.25)
-            if value[i] >= max(10.0, 0.2 * value[best]) or prose:
-                keep.add(i)
+    beside = [i for i in range(n) if tree.parent[i] == above and above >= 0 and length[i]]
+    density = {i: linked[i] / length[i] for i in beside}
+    for i in beside:
+        prose = tree.tag[i] in ("p", "blockquote", "pre") and length[i] > 80 and density[i] < 0.25
+        if value[i] and value[i] >= 0.2 * value[best] or prose:
+            keep.add(i)
+    if len(keep) > 1:  # parts of one text: what stands among them belongs to it
+        open_end = tree.tag[above] in ("body", "html", "#root")
+        keep |= {i for i in beside if density[i] < 0.5 and (not open_end or min(keep) < i < max(keep))}
     inside = [False] * n
     for i in range(n):  # parents come before their children
         inside[i] = i in keep or (i > 0 and inside[tree.parent[i]])
