@@ -308,10 +308,10 @@ def _(spark, d):
 # --- joins -----------------------------------------------------------------------------------------
 
 
-@query("j01_name_join", "SELECT o_orderkey, coalesce(c_name, 'Unknown Persona') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey")
+@query("j01_name_join", "SELECT o_orderkey, coalesce(c_name, 'Unknown Persona') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey")
 def _(spark, d):
     persona, conv, _ = _store(spark, d)
-    names = persona.where("c_custkey % 7 <> 0").withColumnRenamed("c_custkey", "o_custkey")
+    names = persona.where("c_acctbal >= 0").withColumnRenamed("c_custkey", "o_custkey")
     return R.name_join(conv, names, "o_custkey", "c_name", "Unknown Persona").select("o_orderkey", "c_name")
 
 
@@ -368,14 +368,14 @@ def _(spark, d):
 
 @query(
     "j08_reconcile",
-    """WITH a AS (SELECT conv_id, turn, length(text) AS v FROM conversations), b AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN length(text) + 1 ELSE length(text) END AS v FROM conversations WHERE (conv_id + turn) % 5 <> 0)
-    SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, CASE WHEN b.conv_id IS NULL THEN 'missing' ELSE 'changed' END AS kind
+    """WITH a AS (SELECT conv_id, turn, length(text) AS v FROM conversations), b AS (SELECT conv_id, turn, length(replace(text, chr(10), '')) AS v FROM conversations WHERE role <> 'system')
+    SELECT a.conv_id, a.turn, CASE WHEN b.conv_id IS NULL THEN 'missing' ELSE 'changed' END AS kind
     FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE b.conv_id IS NULL OR a.v <> b.v""",
 )
 def _(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("v"))
-    other = c.where("(conv_id + turn) % 5 <> 0").withColumn("v", F.when(F.col("turn") % 3 == 0, F.col("v") + 1).otherwise(F.col("v")))
-    return R.reconcile(c, other, ["conv_id", "turn"], "v").select("conv_id", "turn", "kind")
+    c = table(spark, d, "conversations")
+    other = c.where("role <> 'system'").select("conv_id", "turn", F.length(F.replace("text", F.lit("\n"), F.lit(""))).alias("v"))
+    return R.reconcile(c.select("conv_id", "turn", F.length("text").alias("v")), other, ["conv_id", "turn"], "v").select("conv_id", "turn", "kind")
 
 
 @query(

@@ -87,9 +87,9 @@ def _(spark, d):
     return out.select("user_id", "value", "created", "updated", "importance", "merged", "status")
 
 
-@query("m10_list", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1")
+@query("m10_list", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "embeddings").where("vec_id % 5 <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SCORED = f"""{_VEC}, s AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, m.label, greatest(0, least(1, list_cosine_similarity(q.v, m.v))) AS semantic FROM e q JOIN e m USING (label) WHERE q.vec_id % 20 = 0 AND q.vec_id <> m.vec_id)"""
@@ -138,11 +138,12 @@ def _(spark, d):
     return M.select_policy(df, "q_id").select("q_id", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("m17_changes", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 10 <> 0")
+@query("m17_changes", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def _(spark, d):
-    base = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    up = base.where("c_custkey % 10 = 1").withColumns({"c_acctbal": F.lit(0.0), "op": F.lit("update")})
-    gone = base.where("c_custkey % 10 = 0").withColumn("op", F.lit("delete"))
+    whole = table(spark, d, "customer")
+    base = whole.select("c_custkey", "c_acctbal")
+    up = whole.where("c_acctbal < 0 AND c_mktsegment <> 'BUILDING'").select("c_custkey", F.lit(0.0).alias("c_acctbal"), F.lit("update").alias("op"))
+    gone = whole.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_acctbal", F.lit("delete").alias("op"))
     return M.apply_changes(base, up.unionByName(gone), "c_custkey")
 
 
@@ -209,7 +210,7 @@ def _(spark, d):
     return _similar(spark, d).agg(F.round(F.avg("length_ratio"), 4).alias("length_ratio"), F.round(F.avg("word_overlap"), 4).alias("word_overlap"), F.count(F.lit(1)).alias("pairs"))
 
 
-_PRED = "r AS (SELECT doc_id, lang, quality AS expected_quality, CASE WHEN regexp_matches(text, '!!|[#*$%&|]{2}') THEN 0 ELSE 1 END AS quality, CASE WHEN doc_id % 2 = 0 THEN toxic END AS expected_toxic, CASE WHEN regexp_matches(lower(text), 'moron|idiot|loser|scum') THEN 1 ELSE 0 END AS toxic FROM documents JOIN labels USING (doc_id)), c AS (SELECT *, coalesce(expected_quality = quality, expected_quality IS NULL) AS quality_ok, coalesce(expected_toxic = toxic, expected_toxic IS NULL) AS toxic_ok FROM r)"
+_PRED = "r AS (SELECT doc_id, lang, quality AS expected_quality, CASE WHEN regexp_matches(text, '!!|[#*$%&|]{2}') THEN 0 ELSE 1 END AS quality, CASE WHEN lang = 'en' THEN toxic END AS expected_toxic, CASE WHEN regexp_matches(lower(text), 'moron|idiot|loser|scum') THEN 1 ELSE 0 END AS toxic FROM documents JOIN labels USING (doc_id)), c AS (SELECT *, coalesce(expected_quality = quality, expected_quality IS NULL) AS quality_ok, coalesce(expected_toxic = toxic, expected_toxic IS NULL) AS toxic_ok FROM r)"
 
 
 def _predicted(spark, d):
@@ -217,7 +218,7 @@ def _predicted(spark, d):
     low = F.lower("text")
     df = df.select(
         "doc_id", "lang", "expected_quality", F.when(F.col("text").rlike("!!|[#*$%&|]{2}"), 0).otherwise(1).alias("quality"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("t")).alias("expected_toxic"), F.when(low.rlike("moron|idiot|loser|scum"), 1).otherwise(0).alias("toxic"),
+        F.when(F.col("lang") == "en", F.col("t")).alias("expected_toxic"), F.when(low.rlike("moron|idiot|loser|scum"), 1).otherwise(0).alias("toxic"),
     )
     return E.correctness(df, ["quality", "toxic"])
 
@@ -227,10 +228,10 @@ def _(spark, d):
     return _predicted(spark, d).select("doc_id", "quality_ok", "toxic_ok")
 
 
-@query("e09_contamination", f"WITH {_SCORED} SELECT q_id, bool_or(m_id % 7 = 0) AS contaminated FROM s GROUP BY 1")
+@query("e09_contamination", f"WITH {_SCORED} SELECT q_id, bool_or(m_id < q_id AND semantic > 0.2) AS contaminated FROM s GROUP BY 1")
 def _(spark, d):
     q, m = _scored(spark, d)
-    return q.join(m, "label").where("q_id <> m_id").groupBy("q_id").agg(F.bool_or(F.col("m_id") % 7 == 0).alias("contaminated"))
+    return q.join(m, "label").where("q_id <> m_id").groupBy("q_id").agg(F.bool_or((F.col("m_id") < F.col("q_id")) & (R.cosine(F.col("q_embedding"), F.col("m_embedding")) > 0.2)).alias("contaminated"))
 
 
 @query("e10_error_codes", f"WITH {_PRED} SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT quality_ok THEN 'wrong_quality' END, CASE WHEN NOT toxic_ok THEN 'wrong_toxic' END], lambda x: x IS NOT NULL), ' | ') AS explanation FROM c")

@@ -110,10 +110,10 @@ def _(spark, d):
 _LEX = "lex(rank, topic, term, weight) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}', {w}::DOUBLE)" for a, b, c, w in params.TOPICS) + ")"
 
 
-@query("q13_missed_topics", f"WITH {_LEX} SELECT doc_id, string_agg(DISTINCT topic, ',' ORDER BY topic) AS domains FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents WHERE n_chars < 300) JOIN lex USING (term) GROUP BY 1")
+@query("q13_missed_topics", f"WITH {_LEX} SELECT doc_id, string_agg(DISTINCT topic, ',' ORDER BY topic) AS domains FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) JOIN lex USING (term) GROUP BY 1")
 def _(spark, d):
     lex = F.broadcast(spark.createDataFrame(params.TOPICS, "rank int, topic string, term string, weight double"))
-    t = table(spark, d, "documents").where("n_chars < 300").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     return t.join(lex, "term").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("topic")), ",").alias("domains"))
 
 
