@@ -487,7 +487,7 @@ def _(spark, d):
 
 @query(
     "entry_windows",
-    f"""WITH {_CONTEXT} SELECT depth, CASE WHEN length(trim(text)) <= 5 OR NOT regexp_matches(trim(text), '\\s') THEN 'very_short'
+    f"""WITH {_CONTEXT} SELECT depth::BIGINT AS depth, CASE WHEN length(trim(text)) <= 5 OR NOT regexp_matches(trim(text), '\\s') THEN 'very_short'
     WHEN length(trim(text)) <= 20 THEN 'short' WHEN length(trim(text)) <= 60 THEN 'medium' ELSE 'long' END AS length_class,
     count(*) AS n, count_if(contains(text, '?'))::BIGINT AS questions FROM c GROUP BY ALL""",
 )
