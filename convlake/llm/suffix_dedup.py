@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import mix, prefix_hash, small_batches, span_hash, stash, text_chunks, with_spans
 
 GRAM, SPARSE, DENSE, TAIL = 8, 48, 16, 50
+HOT, MOST = 8, 400_000  # contexts of one K that a task sends; rows that a task holds before it packs them
 FULL, TEST, OFFER = 0, 1, 2  # a family is duplicate; is to be tested; is duplicate and offers its suffixes
 SINGLE, MANY, SETTLED = 0, 1, 2  # what a task knows of the row that it sends
 
@@ -73,7 +74,44 @@ def parse(docs: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
     def phrases(batches):
         task = TaskContext.get().partitionId()
         seen: dict[tuple[int, int], int] = {}
-        names, cols, copies = [], [], {}
+        names, cols, copies, held, sent = [], [], {}, 0, 0
+
+        def rows():
+            out = [(task, "map", task, np.array([(sent + i, *n) for i, n in enumerate(names)], dtype=np.int64).tobytes())]
+            k, whole, doc, lo, hi, has = (np.concatenate(x) for x in zip(*cols)) if cols else [np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, int, int, int, bool)]
+            spans = [np.stack([doc[~has], np.full((~has).sum(), TEST), lo[~has], hi[~has]], axis=1)]
+            if copies:
+                spans.append(np.array([(d, FULL, 0, n) for d, n in copies.items()], dtype=np.int64))
+            k, whole, doc, lo, hi = (x[has] for x in (k, whole, doc, lo, hi))
+            order = np.lexsort((whole, k))
+            k, whole, doc, lo, hi = (x[order] for x in (k, whole, doc, lo, hi))
+            if len(k):
+                head_k = np.concatenate(([True], k[1:] != k[:-1]))
+                head_l = head_k | np.concatenate(([True], whole[1:] != whole[:-1]))
+                of_k, of_l = np.cumsum(head_k) - 1, np.cumsum(head_l) - 1
+                # a family of a copied text is seen twice or more, too
+                many = (np.bincount(of_l)[of_l] > 1) | np.isin(doc, list(copies))
+                many = np.bincount(of_l, weights=many)[of_l] > 0
+                hot = np.bincount(of_k, weights=head_l)[of_k] > HOT
+                told = many | hot
+                spans.append(np.stack([doc, np.where(many, FULL, TEST), lo, hi], axis=1)[told])
+                spans.append(np.stack([doc, np.full(len(doc), OFFER), lo, hi], axis=1)[hot & many & head_l])
+                state = np.where(hot, SETTLED, np.where(many, MANY, SINGLE))
+                send = np.flatnonzero(np.where(hot, head_k, head_l))
+                to = (k[send] % np.uint64(buckets)).astype(np.int64)
+                by, to = send[np.argsort(to, kind="stable")], np.sort(to)
+                record = np.zeros(len(by), dtype=ROW)
+                record["k"] = (k[by] >> np.uint64(32)).astype(np.uint32)
+                record["l"], record["doc"], record["lo"], record["state"] = whole[by], doc[by], lo[by], state[by]
+                record["more"] = hi[by] - lo[by]
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
+                out.extend((int(to[a]), "list", task, record[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:]))
+            out.append((task, "span", task, np.concatenate(spans).astype(np.int64).tobytes()))
+            kinds = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("task", pa.int32()), ("data", pa.binary())])
+            for i in range(0, len(out), 512):
+                part = pd.DataFrame(out[i : i + 512], columns=kinds.names)
+                yield pa.RecordBatch.from_pandas(part, schema=kinds, preserve_index=False)
+
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             for i, buf, h, start, end in _texts(b.column(2).to_pylist()):
@@ -82,53 +120,21 @@ def parse(docs: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
                 if keys[i] in seen:
                     copies[seen[keys[i]]] = end - start - width
                     continue
-                doc = seen[keys[i]] = len(names)
+                doc = seen[keys[i]] = sent + len(names)
                 names.append(keys[i])
                 lo, hi, anchor = families(buf, h, start, end, width)
                 has = anchor >= 0
-                k = np.where(has, mix(span_hash(h, np.maximum(anchor, 0), np.minimum(np.maximum(anchor, 0) + TAIL, len(buf))), 7), 0)
-                whole = mix(span_hash(h, lo, hi + width) + (anchor - lo).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D), 8)
-                cols.append((k, whole, np.full(len(lo), doc), lo - start, hi - start, has))
-        if not names:
-            return
-        k, whole, doc, lo, hi, has = (np.concatenate(x) for x in zip(*cols))
-        cols.clear()
-        out = [(task, "map", task, np.array([(i, *n) for i, n in enumerate(names)], dtype=np.int64).tobytes())]
-        spans = [np.stack([doc[~has], np.full((~has).sum(), TEST), lo[~has], hi[~has]], axis=1)]
-        if copies:
-            spans.append(np.array([(d, FULL, 0, n) for d, n in copies.items()], dtype=np.int64))
-        k, whole, doc, lo, hi = (x[has] for x in (k, whole, doc, lo, hi))
-        order = np.lexsort((whole, k))
-        k, whole, doc, lo, hi = (x[order] for x in (k, whole, doc, lo, hi))
-        head_k = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=bool)
-        head_l = head_k | np.concatenate(([True], whole[1:] != whole[:-1])) if len(k) else head_k
-        of_k, of_l = np.cumsum(head_k) - 1, np.cumsum(head_l) - 1
-        count_l = np.bincount(of_l)[of_l] if len(k) else of_l
-        # a family of a copied text is seen twice or more, too
-        many = (count_l > 1) | np.isin(doc, list(copies))
-        many = (np.bincount(of_l, weights=many)[of_l] > 0) if len(k) else many
-        mixed = (np.bincount(of_k, weights=head_l)[of_k] > 1) if len(k) else many
-        kinds = np.where(many, FULL, TEST)
-        told = many | mixed
-        spans.append(np.stack([doc, kinds, lo, hi], axis=1)[told])
-        spans.append(np.stack([doc, np.full(len(doc), OFFER), lo, hi], axis=1)[mixed & many & head_l])
-        spans = np.concatenate(spans)
-        out.append((task, "span", task, spans.astype(np.int64).tobytes()))
-        state = np.where(mixed, SETTLED, np.where(many, MANY, SINGLE))
-        send = np.flatnonzero(head_k)
-        to = (k[send] % np.uint64(buckets)).astype(np.int64)
-        by = send[np.argsort(to, kind="stable")]
-        to = np.sort(to)
-        record = np.zeros(len(by), dtype=ROW)
-        record["k"] = (k[by] >> np.uint64(32)).astype(np.uint32)
-        record["l"], record["doc"], record["lo"], record["state"] = whole[by], doc[by], lo[by], state[by]
-        record["more"] = hi[by] - lo[by]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            if z > a:
-                out.append((int(to[a]), "list", task, record[a:z].tobytes()))
-        for i in range(0, len(out), 512):
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out[i : i + 512], columns=["bucket", "kind", "task", "data"]), schema=pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("task", pa.int32()), ("data", pa.binary())]))
+                at = np.maximum(anchor, 0)
+                k = np.where(has, mix(span_hash(h, at, np.minimum(at + TAIL, len(buf))), 7), np.uint64(0))
+                whole = span_hash(h, lo, hi + width) + (anchor - lo).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+                cols.append((k, mix(whole, 8), np.full(len(lo), doc), lo - start, hi - start, has))
+                held += len(lo)
+            if held > MOST:
+                yield from rows()
+                sent += len(names)
+                names, cols, copies, held = [], [], {}, 0
+        if names or copies:
+            yield from rows()
 
     def meet(batches):
         lists, tasks, buckets_of = [], [], []
@@ -207,12 +213,32 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
     """task, doc, data (spans of duplicate starts) for texts with their spans to test (`tests`)."""
 
     def suffixes(batches):
-        held = []
+        kinds = pa.schema([("bucket", pa.int32()), ("told", pa.bool_()), ("data", pa.binary())])
+
+        def rows(x):
+            x = x[np.argsort(x["v"], kind="stable")]
+            head = np.concatenate(([True], x["v"][1:] != x["v"][:-1]))
+            of = np.cumsum(head) - 1
+            # twice here, or offered: settled here, and one row tells the others
+            settled = (np.bincount(of)[of] > 1) | (np.bincount(of, weights=x["at"] < 0)[of] > 0)
+            mine = x[settled & (x["at"] >= 0)]
+            out = [(int(mine["task"][0]), True, mine.tobytes())] if len(mine) else []
+            x["at"][settled] = -1
+            x = x[head]
+            to = (x["v"] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[by])) + 1
+            out.extend((int(to[p[0]]), False, x[p].tobytes()) for p in np.split(by, cuts) if len(p))
+            for i in range(0, len(out), 512):
+                part = pd.DataFrame(out[i : i + 512], columns=kinds.names)
+                yield pa.RecordBatch.from_pandas(part, schema=kinds, preserve_index=False)
+
+        held, size = [], 0
         for b in batches:
             tests = b.column(1).to_pylist()
             for i, _, h, start, _ in _texts(b.column(0).to_pylist()):
                 for t in tests[i]:
-                    s = np.frombuffer(t["data"], dtype="<i4").reshape(-1, 3).astype(np.int64)
+                    s = np.frombuffer(b"".join(t["data"]), dtype="<i4").reshape(-1, 3).astype(np.int64)
                     n = s[:, 2] - s[:, 1] + 1
                     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s[:, 1], n)
                     r = np.zeros(len(at), dtype=SUFFIX)
@@ -220,27 +246,12 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
                     r["task"], r["doc"] = t["task"], t["doc"]
                     r["at"] = np.where(np.repeat(s[:, 0], n) == OFFER, -1, at)
                     held.append(r)
-        if not held:
-            return
-        x = np.concatenate(held)
-        held.clear()
-        x = x[np.lexsort((x["at"], x["v"]))]
-        head = np.concatenate(([True], x["v"][1:] != x["v"][:-1]))
-        of = np.cumsum(head) - 1
-        # twice here, or offered: settled here, and one row tells the others
-        settled = (np.bincount(of)[of] > 1) | (x["at"][head][of] < 0)
-        out = []
-        mine = x[settled & (x["at"] >= 0)]
-        if len(mine):
-            out.append((int(mine["task"][0]), True, mine.tobytes()))
-        x["at"][settled] = -1
-        x = x[head]
-        to = (x["v"] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.diff(to[by])) + 1
-        out.extend((int(to[p[0]]), False, x[p].tobytes()) for p in np.split(by, cuts) if len(p))
-        for i in range(0, len(out), 512):
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out[i : i + 512], columns=["bucket", "told", "data"]), schema=pa.schema([("bucket", pa.int32()), ("told", pa.bool_()), ("data", pa.binary())]))
+                    size += len(r)
+                if size > MOST:
+                    whole, held, size = np.concatenate(held), [], 0
+                    yield from rows(whole)
+        if held:
+            yield from rows(np.concatenate(held))
 
     def meet(batches):
         told, lists = [], []
@@ -284,25 +295,28 @@ def dedup(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     buckets = max(1024, 8 * parts)
     clean = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.select(*keep, clean.alias("_text"), F.xxhash64(clean).alias("h"), F.hash(clean).alias("g"))
-    source = docs.select("h", "g", F.col("_text").alias("text"))
+    row = F.struct(*keep).alias("row")  # a column of their own, whatever they are called
+    docs = docs.select(row, clean.alias("text"), F.xxhash64(clean).alias("h"), F.hash(clean).alias("g"))
+    source = docs.select("h", "g", "text")
     parsed = stash(parse(source, width, parts, buckets), "suffix-parse")
     names = parsed.where("kind = 'map'").select("task", "doc", "h", "g")
-    tests = parsed.where("kind = 'test'").select("task", "doc", "data").join(names, ["task", "doc"])
-    tests = tests.groupBy("h", "g").agg(F.collect_list(F.struct("task", "doc", "data")).alias("tests"))
+    # a document's spans come from many partitions: they meet before the join, which then has a row for each document
+    tests = parsed.where("kind = 'test'").groupBy("task", "doc").agg(F.collect_list("data").alias("data"))
+    tests = tests.join(names, ["task", "doc"]).groupBy("h", "g")
+    tests = tests.agg(F.collect_list(F.struct("task", "doc", "data")).alias("tests"))
     tests = stash(tests, "suffix-tests")
     texts = with_spans(source, tests, "inner", few)
     more = stash(test_suffixes(texts, width, parts, buckets), "suffix-tested")
     full = parsed.where("kind = 'full'").select("task", "doc", "data").unionByName(more)
-    full = full.join(names, ["task", "doc"]).groupBy("h", "g").agg(F.collect_list("data").alias("data"))
+    full = full.groupBy("task", "doc").agg(F.collect_list("data").alias("data")).join(names, ["task", "doc"])
+    full = full.groupBy("h", "g").agg(F.flatten(F.collect_list("data")).alias("data"))
     full = stash(full, "suffix-spans")
-    joined = with_spans(docs, full, "left", few).select(*keep, "_text", "data")
-    n = len(keep)
+    joined = with_spans(docs, full, "left", few).select("row", "text", "data")
 
     def cut(batches):
         for b in batches:
             sizes, removed, kept = [], [], []
-            for t, data in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
+            for t, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = t.encode("utf-8", "surrogatepass")
                 runs = []
                 if data:
@@ -318,11 +332,12 @@ def dedup(
                 kept.append("".join(x.decode("utf-8", "ignore") for x in left) if as_text else b"".join(left))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             made = [pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if as_text else pa.binary())]
-            yield pa.RecordBatch.from_arrays(b.columns[:n] + made, names=[*keep, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["row", "n_bytes", "spans", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in keep)
+    fields = joined.schema["row"].dataType.simpleString()
     kind = "string" if as_text else "binary"
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept {kind}")
+    schema = f"row {fields}, n_bytes long, spans array<struct<start: long, end: long>>, kept {kind}"
+    return joined.mapInArrow(cut, schema).select("row.*", "n_bytes", "spans", "kept")
 
 
 def digest(found: DataFrame) -> DataFrame:
