@@ -22,6 +22,7 @@ each. Very long texts are cut over windows. An empty table gives no piece. Extra
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,45 +43,92 @@ _encoders: dict = {}
 class Encoder:
     """Token ids of whole texts as little-endian bytes; white space parts words, so words are looked up once."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # the generation before: words still in use move to `known`
         self.most = most
 
     def direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in got]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each one piece of a joined text."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            piece = np.array(got.word_ids, dtype=np.int64)
+            cuts = np.searchsorted(piece, np.arange(len(part) + 1)).tolist()
+            if piece[-1] != len(part) - 1:
+                out.extend(self.direct(part))
+                continue
+            ids = np.array(got.ids, dtype=self.kind).tobytes()
+            width = len(ids) // len(piece)
+            out.extend(ids[width * a : width * z] for a, z in zip(cuts[:-1], cuts[1:]))
+        return out
+
     def plain(self, text: str) -> bool:
         """Whether words can be encoded one by one: no special token, no separator that only Python takes for space."""
         return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
         parted: list[list[str] | None] = []
+        out: list[bytes | None] = []
+        new: set[str] = set()
         for t in texts:
-            parted.append((t.lower() if t.isascii() else t).split() if self.plain(t) else None)
-        new = {w for words in parted if words for w in words if w not in known}
+            if not self.plain(t):
+                parted.append(None)
+                out.append(self.direct([t])[0])
+                continue
+            # a sigma's lower case depends on what follows; all other letters stand alone
+            words = (t.lower() if "\u03a3" not in t else t).split()
+            got = list(map(known.get, words))
+            if None in got:
+                new.update(w for w, g in zip(words, got) if g is None)
+                parted.append(words)
+                out.append(None)
+            else:
+                parted.append(None)
+                out.append(b"".join(got))
+        self.learn(new, known, older)
+        return [b"".join(map(known.__getitem__, w)) if o is None else o for w, o in zip(parted, out)]
+
+    def learn(self, new: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> None:
+        """Ids of words that are not known yet: a core of letters and what stands after it are looked up apart."""
         cores: dict[str, tuple[str, str]] = {}
         for w in new:
-            low = w.lower() if w.isascii() else w
-            core = low.rstrip(PUNCTUATION)
-            cores[w] = (core, low[len(core) :]) if core and core[-1].isalpha() else (low, "")
-        ask = [x for x in {x for pair in cores.values() for x in pair} if x and x not in known]
-        for x, ids in zip(ask, self.direct(ask)):
-            known[x] = ids
-        known[""] = b""
-        for w, (core, rest) in cores.items():
-            known[w] = known[core] + known[rest]
-        return [
-            b"".join(map(known.__getitem__, words)) if words is not None else self.direct([t])[0]
-            for t, words in zip(texts, parted)
-        ]
+            if w in older:
+                known[w] = older[w]
+                continue
+            core = w.rstrip(PUNCTUATION)
+            cores[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
+        ask = {x for pair in cores.values() for x in pair if x not in known}
+        for x in [x for x in ask if x in older]:
+            known[x] = older[x]
+            ask.discard(x)
+        # lower-case ASCII letters pass the normalizer and the byte level as they are: the merges alone are left
+        merge, code = self.tokenizer.model.tokenize, "H" if self.kind == "<u2" else "I"
+        plain, rest = [], []
+        for x in ask:
+            if x.isalpha():
+                if x.isascii() and x.islower():
+                    known[x] = array(code, [t.id for t in merge(x)]).tobytes()
+                else:
+                    plain.append(x)
+            else:
+                rest.append(x)
+        known.update(zip(plain, self.together(plain)))
+        known.update(zip(rest, self.direct(rest)))
+        for w, (core, end) in cores.items():
+            known[w] = known[core] + known[end]
 
 
 def encoder(path: str) -> Encoder:
