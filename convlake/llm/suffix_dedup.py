@@ -185,24 +185,43 @@ def named(task: int, x: np.ndarray) -> pa.RecordBatch:
 
 
 def spread(task: np.ndarray, spans: np.ndarray):
-    """Spans (document, kind, first, last) as one row for each document and purpose."""
+    """Spans (document, kind, first, last) as one row for each parsing task and purpose."""
     for kind, chosen in (("full", spans[:, 1] == FULL), ("test", spans[:, 1] != FULL)):
         t, s = task[chosen], spans[chosen]
         if not len(s):
             continue
-        order = np.lexsort((s[:, 2], s[:, 0], t))
+        order = np.argsort(t, kind="stable")
         t, s = t[order], s[order]
-        head = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:, 0] != s[:-1, 0]))))
-        ends = np.append(head[1:], len(s))
-        data = [s[a:z, 1:].astype("<i4").tobytes() for a, z in zip(head, ends)]
+        head = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        data = [x.astype("<i4").tobytes() for x in np.split(s, head[1:])]
         n = len(head)
-        for a in range(0, n, 5000):
-            z = min(n, a + 5000)
-            part = head[a:z]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(part)), pa.array(t[part].astype(np.int32)), pa.array(s[part, 0].astype(np.int32)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int32()), pa.array(data[a:z], pa.binary())],
-                schema=OUT,
-            )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind] * n), pa.array(t[head].astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())],
+            schema=OUT,
+        )
+
+
+def by_document(rows: DataFrame, parts: int) -> DataFrame:
+    """task, doc, data (kind, first, last): the spans of a parsing task's documents meet, one row for each document."""
+
+    def gather(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for task, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(task, []).append(np.frombuffer(data, dtype="<i4").reshape(-1, 4))
+        for task, parts in held.items():
+            s = np.concatenate(parts)
+            s = s[np.argsort(s[:, 0], kind="stable")]
+            head = np.flatnonzero(np.concatenate(([True], s[1:, 0] != s[:-1, 0])))
+            ends = np.append(head[1:], len(s))
+            for i in range(0, len(head), 2000):
+                data = [s[a:z, 1:].tobytes() for a, z in zip(head[i : i + 2000], ends[i : i + 2000])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task] * len(data), pa.int32()), pa.array(s[head[i : i + 2000], 0]), pa.array(data, pa.binary())],
+                    names=["task", "doc", "data"],
+                )
+
+    return rows.select("task", "data").repartition(parts, "task").mapInArrow(gather, "task int, doc int, data binary")
 
 
 #: A tested suffix: its fingerprint, its document (task and number) and start; start -1 for one that is known to repeat.
@@ -210,7 +229,7 @@ SUFFIX = np.dtype([("v", "<u8"), ("task", "<i4"), ("doc", "<i4"), ("at", "<i4")]
 
 
 def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
-    """task, doc, data (spans of duplicate starts) for texts with their spans to test (`tests`)."""
+    """task, data (spans of duplicate starts) for texts with their spans to test (`tests`)."""
 
     def suffixes(batches):
         kinds = pa.schema([("bucket", pa.int32()), ("told", pa.bool_()), ("data", pa.binary())])
@@ -238,7 +257,7 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
             tests = b.column(1).to_pylist()
             for i, _, h, start, _ in _texts(b.column(0).to_pylist()):
                 for t in tests[i]:
-                    s = np.frombuffer(b"".join(t["data"]), dtype="<i4").reshape(-1, 3).astype(np.int64)
+                    s = np.frombuffer(t["data"], dtype="<i4").reshape(-1, 3).astype(np.int64)
                     n = s[:, 2] - s[:, 1] + 1
                     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s[:, 1], n)
                     r = np.zeros(len(at), dtype=SUFFIX)
@@ -275,10 +294,10 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
         last = np.append(head[1:], len(x)) - 1
         spans = np.stack([x["doc"][head], np.zeros(len(head)), x["at"][head], x["at"][last]], axis=1).astype(np.int64)
         for b in spread(x["task"][head], spans):
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(5)], names=["task", "doc", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(5)], names=["task", "data"])
 
     packed = texts.select("text", "tests").mapInArrow(suffixes, "bucket int, told boolean, data binary")
-    return packed.repartition(parts, "bucket").mapInArrow(meet, "task int, doc int, data binary")
+    return packed.repartition(parts, "bucket").mapInArrow(meet, "task int, data binary")
 
 
 def dedup(
@@ -293,23 +312,21 @@ def dedup(
     spark = docs.sparkSession
     small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = max(1024, 8 * parts)
+    buckets = max(256, 4 * parts)
     clean = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(*keep).alias("row")  # a column of their own, whatever they are called
     docs = docs.select(row, clean.alias("text"), F.xxhash64(clean).alias("h"), F.hash(clean).alias("g"))
     source = docs.select("h", "g", "text")
     parsed = stash(parse(source, width, parts, buckets), "suffix-parse")
     names = parsed.where("kind = 'map'").select("task", "doc", "h", "g")
-    # a document's spans come from many partitions: they meet before the join, which then has a row for each document
-    tests = parsed.where("kind = 'test'").groupBy("task", "doc").agg(F.collect_list("data").alias("data"))
+    tests = by_document(parsed.where("kind = 'test'"), parts)
     tests = tests.join(names, ["task", "doc"]).groupBy("h", "g")
     tests = tests.agg(F.collect_list(F.struct("task", "doc", "data")).alias("tests"))
     tests = stash(tests, "suffix-tests")
     texts = with_spans(source, tests, "inner", few)
     more = stash(test_suffixes(texts, width, parts, buckets), "suffix-tested")
-    full = parsed.where("kind = 'full'").select("task", "doc", "data").unionByName(more)
-    full = full.groupBy("task", "doc").agg(F.collect_list("data").alias("data")).join(names, ["task", "doc"])
-    full = full.groupBy("h", "g").agg(F.flatten(F.collect_list("data")).alias("data"))
+    full = by_document(parsed.where("kind = 'full'").select("task", "data").unionByName(more), parts)
+    full = full.join(names, ["task", "doc"]).groupBy("h", "g").agg(F.collect_list("data").alias("data"))
     full = stash(full, "suffix-spans")
     joined = with_spans(docs, full, "left", few).select("row", "text", "data")
 
