@@ -2,8 +2,9 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit). Equal sets form a class, whose smallest id stands for it.
 2. A class whose `SKETCH` smallest hashes are mostly its own cannot link and leaves: of two sets with a Jaccard similarity of
-   0.8, both sketches share 51 of 64 hashes on average, and fewer than `LEAST` with a chance under 1e-12; a set of at
-   most 64 shingles must share 80 of 100. Shared passages alone rarely reach that.
+   0.8, both sketches share 51 of 64 hashes on average, and fewer than `LEAST` with a chance under 1e-12; for a set of
+   at most 64 shingles `sure_overlap` is what any linked set's sketch shows of it for certain: 80 of 100, or less (48 of 64)
+   where the other set may have more than 64 shingles and hide some. Shared passages alone rarely reach that.
 3. A set of n shingles can only link to sets that share one of its first n - T + 1 shingles, T = ceil(0.8 n), in any
    order common to all. That order puts shingles that a bounded sample of documents shares last, then goes by hash:
    it decides speed only. Postings of those shingles are combined in each task before the shuffle: documents of a
@@ -59,6 +60,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 SKETCH, LEAST = 64, 24
 
 
+def sure_overlap(n: int) -> int:
+    """The fewest hashes of a set of n <= SKETCH shingles in the sketch of a set it links to, over all sizes of that set."""
+    sizes = range((4 * n + 4) // 5, 5 * n // 4 + 1)
+    return min((4 * (n + m) + 8) // 9 - max(0, m - SKETCH) for m in sizes)
+
+
 def _packed(columns: list[str], rows: list[tuple]):
     for i in range(0, len(rows), 512):
         yield pd.DataFrame(rows[i : i + 512], columns=columns)
@@ -337,7 +344,8 @@ def group_documents(
     named = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     signed = stash(signatures(docs, size), "jaccard-signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    least = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * 4 / 5)).otherwise(LEAST)
+    sure = F.array(*[F.lit(sure_overlap(n)) for n in range(1, SKETCH + 1)])
+    least = F.when(F.col("n") <= SKETCH, F.get(sure, (F.col("n") - 1).cast("int"))).otherwise(LEAST)
     near = classes.join(sketch_counts(named, size), "s1").where(F.col("shared") >= least)
     near = stash(near.select(F.col("rep").alias("id"), "s1"), "jaccard-near")
     # texts that may link, one of each class

@@ -134,6 +134,18 @@ def test_jaccard_near_copies(spark, block):
     assert groups(documents(spark, rows, 2), few=0, **few) == brute_groups(rows)
 
 
+def test_jaccard_small_set_in_a_larger_one(spark):
+    """A set of at most 64 shingles whose partner has more than its sketch shows."""
+    rows = []
+    for seed in range(60):
+        n, more = [(68, 16), (68, 15), (67, 15), (66, 15)][seed % 4]
+        long = prose(3000 + seed, n + more)
+        rows += [(len(rows) + i, t, "en", "s", 1, "", "", "") for i, t in enumerate((" ".join(long.split()[:n]), long))]
+    want = brute_groups(rows)
+    assert len({c for _, c in want.values()}) == 60
+    assert groups(documents(spark, rows)) == want
+
+
 def test_shingles_and_components(spark):
     h, b = shingle_sets([b"", b"a b", b"A  B", b"a b c d e f", b"a b c d e a b c d e"])
     sizes = np.diff(b).tolist()
