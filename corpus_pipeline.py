@@ -16,11 +16,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, labels))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of the smallest id. Rows without id stay."""
-    groups = jaccard_join.group_documents(docs)
-    spare = groups.where("component < doc_id").select("doc_id")
-    return docs.join(stash(spare, "pipeline-spare"), "doc_id", "left_anti").select(*docs.columns)
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, few: int = 500_000) -> DataFrame:
+    """One row of each group: the one of the smallest id, rows without id last. Null and wordless texts stay.
+
+    Rows are told apart by a key of id and text, so repeated and null ids are no matter. Of rows with one key, the
+    smallest is left. few: up to so many such keys are broadcast to fetch their rows; beyond, the join shuffles.
+    """
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.group_documents(rows, "row_key").where("n > 0").groupBy("row_key").agg(F.first("component").alias("component"))
+    ids = rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    groups = stash(groups.join(ids, "row_key"), "pipeline-groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    first = groups.groupBy("component").agg(best.alias("best")).select("best.row_key")
+    first = stash(first.withColumn("first", F.lit(True)), "pipeline-first")
+    spare = groups.join(first, "row_key", "left").where("first IS NULL OR copies > 1")
+    spare = stash(spare.select("row_key", F.col("first").isNotNull().alias("again")), "pipeline-spare")
+    kept = rows.join(spare, "row_key", "left_anti").select(*docs.columns)
+    again = spare.where("again").select("row_key")
+    n = again.count()
+    if not n:
+        return kept
+    copies = rows.join(F.broadcast(again) if n <= few else again, "row_key", "left_semi")
+    one = copies.groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -165,3 +166,20 @@ def test_pipeline(spark):
     tokens = pieces.agg(F.sum("length")).first()[0]
     assert tokens == pieces.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
     assert zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_pipeline_repeated_and_null_ids(spark, few):
+    """Every distinct text keeps exactly one row, and repeated_substrings leaves it whole."""
+    import corpus_pipeline as P
+
+    a, b, c, d, e, f = (prose(900 + k, 80) for k in range(6))
+    near = " ".join([*d.split()[:-1], "changed"])
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (2, d), (3, near), (None, e), (4, e), (5, f), (5, near), (None, None), (None, None), (6, ""), (6, "")]
+    docs = documents(spark, [(k, t, "en", f"src{i % 2}", None if t is None else len(t), "", "", "") for i, (k, t) in enumerate(rows)])
+    kept = P.stash(P.near_duplicates(spark, docs, SF, few=few), "test-repeated-ids")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(1, a), (None, b), (2, c), (2, d), (4, e), (5, f), (None, None), (None, None), (6, ""), (6, "")]
+    assert kept.columns == docs.columns and got == sorted(want, key=repr)
+    cut = sorted(((r.doc_id, r.text) for r in P.repeated_substrings(spark, kept, SF).collect()), key=repr)
+    assert cut == sorted(((k, t or "") for k, t in got), key=repr)  # a null text is an empty one from here on
