@@ -10,7 +10,7 @@ from .streaming import streams as X
 
 @query("t02_session_windows")
 def _(spark, d):
-    out = X.drain(X.session_windows(X.event_stream(spark, d), "user_id"), "sessions")
+    out = X.drain(X.session_windows(X.event_stream(spark, d), "user_id", late=None), "sessions", "complete")
     return out.select("user_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "n")
 
 
@@ -34,7 +34,8 @@ def _(spark, d):
 @query("t05_marker_rates")
 def _(spark, d):
     flag = F.col("event_type") == "purchase"
-    return X.drain(X.marker_rates(X.event_stream(spark, d), flag, "1 day"), "rates").select(F.unix_micros("start_ts").alias("start_us"), "n", "hits")
+    rates = X.marker_rates(X.event_stream(spark, d), flag, "1 day", late=None)
+    return X.drain(rates, "rates", "complete").select(F.unix_micros("start_ts").alias("start_us"), "n", "hits")
 
 
 @query("t06_validated_batches", "SELECT count(*) AS n FROM events WHERE length(props) > 10")

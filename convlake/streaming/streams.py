@@ -38,25 +38,42 @@ def event_stream(spark: SparkSession, sf_dir: str, files: int = 100) -> DataFram
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table in the shared folder."""
+    """Run a stream over all that is there, into a table in the shared folder.
+
+    complete: each batch writes the whole result so far over that of the last batch but one; the last one counts.
+    """
     spark = stream.sparkSession
     out = shared_path(spark, name)
+    if mode == "complete":
+        last = []
+
+        def write(batch: DataFrame, no: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/{no % 2}")
+            last[:] = [f"{out}/{no % 2}"]
+
+        whole = stream.writeStream.outputMode(mode).option("checkpointLocation", out + "-state").trigger(availableNow=True)
+        whole.foreachBatch(write).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", out + "-state").trigger(availableNow=True)
     writer.format("parquet").option("path", out).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def session_windows(events: DataFrame, key: str, gap: str = "120 minutes", late: str = "1 day") -> DataFrame:
-    """Sessions by inactivity; rows later than `late` are dropped, the last sessions wait for the watermark."""
+def _marked(events: DataFrame, late: str | None) -> DataFrame:
+    return events.withWatermark("ts", late) if late else events
+
+
+def session_windows(events: DataFrame, key: str, gap: str = "120 minutes", late: str | None = "1 day") -> DataFrame:
+    """Sessions by inactivity; rows later than `late` are dropped, the last sessions wait for the watermark. None: all rows count."""
     w = F.session_window("ts", gap)
-    g = events.withWatermark("ts", late).groupBy(F.col(key), w).agg(F.count(F.lit(1)).alias("n"))
+    g = _marked(events, late).groupBy(F.col(key), w).agg(F.count(F.lit(1)).alias("n"))
     return g.select(key, F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("end_ts"), "n")
 
 
-def marker_rates(events: DataFrame, flag: str, window: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
-    """Running rate of a flag in tumbling, or with `slide` in sliding, windows."""
+def marker_rates(events: DataFrame, flag: str, window: str = "1 day", slide: str | None = None, late: str | None = "1 day") -> DataFrame:
+    """Running rate of a flag in tumbling, or with `slide` in sliding, windows; `late` as in session_windows."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    g = events.withWatermark("ts", late).groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("hits"))
+    g = _marked(events, late).groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("hits"))
     return g.select(F.col("window.start").alias("start_ts"), "n", "hits", (F.col("hits") / F.col("n")).alias("rate"))
 
 

@@ -4,6 +4,7 @@ import datetime
 import decimal
 
 import pytest
+from pyspark.sql import Window
 
 import convlake.catalog  # noqa: F401
 from convlake.registry import QUERIES, SQL
@@ -54,3 +55,32 @@ def test_streaming_sessions_agree_with_batch(spark):
     s = sessionize(table(spark, SF, "events"), "user_id", "event_id", "ts", 120)
     whole = s.groupBy("user_id", "session").agg(micros(F.min("ts")).alias("a"), F.count(F.lit(1)).alias("n"))
     assert live and live <= {(r.user_id, r.a, r.n) for r in whole.collect()}
+
+
+def test_streaming_windows_are_whole(spark, tmp_path):
+    """Sessions and rates of the queries are those of the batch forms, also where files come one by one, the latest first."""
+    from pyspark.sql import functions as F
+
+    from convlake.operators.sessions import micros, sessionize
+    from convlake.registry import table
+    from convlake.streaming import streams as X
+
+    events = table(spark, SF, "events")
+    s = sessionize(events, "user_id", "event_id", "ts", 120)
+    sessions = s.groupBy("user_id", "session").agg(micros(F.min("ts")).alias("a"), F.count(F.lit(1)).alias("n"))
+    sessions = sorted((r.user_id, r.a, r.n) for r in sessions.collect())
+    day = F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("a")
+    rates = events.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("hits"))
+    rates = sorted(tuple(r) for r in rates.collect())
+    assert sorted(tuple(r) for r in QUERIES["t02_session_windows"](spark, SF).select("user_id", "start_us", "n").collect()) == sessions
+    assert sorted(tuple(r) for r in QUERIES["t05_marker_rates"](spark, SF).collect()) == rates
+
+    (tmp_path / "events.parquet").mkdir()
+    parts = events.withColumn("k", F.ntile(3).over(Window.orderBy(F.desc("ts"))))
+    for k in (1, 2, 3):
+        parts.where(f"k = {k}").drop("k").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = lambda: X.event_stream(spark, str(tmp_path), files=1)
+    got = X.drain(X.session_windows(stream(), "user_id", late=None), "sessions", "complete").select("user_id", F.unix_micros("start_ts"), "n")
+    assert sorted(tuple(r) for r in got.collect()) == sessions
+    got = X.drain(X.marker_rates(stream(), F.col("event_type") == "purchase", late=None), "rates", "complete").select(F.unix_micros("start_ts"), "n", "hits")
+    assert sorted(tuple(r) for r in got.collect()) == rates
