@@ -79,11 +79,39 @@ def top_k(scored: DataFrame, query: str, by: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def retrieve(queries: DataFrame, memories: DataFrame, persona: str, k: int = 5, max_fan: int | None = None) -> DataFrame:
-    """The k best active memories of each query's persona, by cosine, then id."""
+def query_text(*choices: Column) -> Column:
+    """The first text that is not blank: explicit query, last user message of the context, last user turn, topic."""
+    return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in choices], F.lit(""))
+
+
+def retrieve(queries: DataFrame, memories: DataFrame, persona: str, k: int = 5, own: bool = False, keywords: dict[str, list[str]] | None = None) -> DataFrame:
+    """The k best active memories of each query's persona, by `score` to four places, then age (oldest first), then id.
+
+    queries: q_id and, where known, q_embedding, q_text, q_topic; memories: m_id and, where known, m_embedding, m_text,
+    m_topic, m_importance, m_age_days, status. Without both embeddings word overlap counts; keywords are words of a query
+    that speak for a topic. own: queries are memories themselves, and no query finds itself.
+    """
     active = memories.where("status = 'active'") if "status" in memories.columns else memories
-    pairs = queries.join(active, persona).withColumn("semantic", cosine(F.col("q_embedding"), F.col("m_embedding")))
-    return top_k(pairs, "q_id", [F.desc("semantic"), F.col("m_id")], k)
+    for name, kind in (("q_embedding", "array<float>"), ("q_text", "string"), ("q_topic", "string")):
+        queries = queries if name in queries.columns else queries.withColumn(name, F.lit(None).cast(kind))
+    for name, kind in (("m_embedding", "array<float>"), ("m_text", "string"), ("m_topic", "string"), ("m_importance", "string"), ("m_age_days", "double")):
+        active = active if name in active.columns else active.withColumn(name, F.lit(None).cast(kind))
+    pairs = queries.join(active, persona)
+    if own:
+        pairs = pairs.where(~F.col("q_id").eqNullSafe(F.col("m_id")))
+    q_words, m_words = (T.tokens(F.coalesce(c, F.lit(""))) for c in ("q_text", "m_text"))
+    both = (F.size("q_embedding") > 0) & (F.size("m_embedding") > 0)
+    semantic = F.when(both, cosine(F.col("q_embedding"), F.col("m_embedding"))).otherwise(jaccard(q_words, m_words))
+    topic = F.lower("m_topic")
+    fit = topic == F.lower("q_topic")
+    for name, words in (keywords or {}).items():
+        fit = F.coalesce(fit, F.lit(False)) | ((topic == name.lower()) & F.arrays_overlap(q_words, F.array(*[F.lit(w) for w in words])))
+    topical = F.when(fit & (topic != ""), 1.0).otherwise(0.0)
+    weight = F.lit(None).cast("double")
+    for name, value in IMPORTANCE.items():
+        weight = F.when(F.col("m_importance") == name, value).otherwise(weight)
+    scored = pairs.withColumn("semantic", semantic).withColumn("score", F.round(score(F.col("semantic"), topical, F.coalesce(weight, F.lit(0.6)), F.col("m_age_days")), 4))
+    return top_k(scored, "q_id", [F.desc("score"), F.desc_nulls_last("m_age_days"), F.col("m_id")], k)
 
 
 def select_policy(ranked: DataFrame, query: str, least: float = 0.45, most: int = 2) -> DataFrame:

@@ -121,7 +121,10 @@ def _(spark, d):
 @query("m14_retrieval_job")
 def _(spark, d):
     q, m = _scored(spark, d)
-    return M.retrieve(q, m.withColumn("status", F.lit("active")), "label", 5).where("q_id <> m_id").select("q_id", "m_id", "rank")
+    # the table has vectors only: topic, importance and age as in m12_rank, and every row is active
+    weight = F.when(F.col("m_id") % 3 == 0, "high").when(F.col("m_id") % 3 == 1, "medium").otherwise("low")
+    m = m.withColumns({"status": F.lit("active"), "m_topic": F.when(F.col("m_id") % 2 == 1, "odd"), "m_importance": weight, "m_age_days": (F.col("m_id") % 90).cast("double")})
+    return M.retrieve(q.withColumn("q_topic", F.lit("odd")), m, "label", 5, own=True).select("q_id", "m_id", "rank")
 
 
 @query("m15_access_times", "SELECT user_id, max(event_id) AS seen FROM events GROUP BY 1")

@@ -84,3 +84,37 @@ def test_streaming_windows_are_whole(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sessions
     got = X.drain(X.marker_rates(stream(), F.col("event_type") == "purchase", late=None), "rates", "complete").select(F.unix_micros("start_ts"), "n", "hits")
     assert sorted(tuple(r) for r in got.collect()) == rates
+
+
+def test_retrieval_job(spark):
+    """Five others for each query, by the whole score; inactive rows stay out; text stands in for missing vectors."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from convlake.operators import memory as M
+    from convlake.registry import table
+
+    rows = [(r.vec_id, r.label, [float(x) for x in r.embedding]) for r in table(spark, SF, "embeddings").collect()]
+    unit = {k: [x / math.sqrt(sum(y * y for y in v)) for x in v] for k, _, v in rows}
+    want = set()
+    for q, label, _ in rows:
+        if q % 20 == 0:
+            scored = []
+            for m, other, _ in rows:
+                if other == label and m != q:
+                    cos = max(0.0, min(1.0, sum(x * y for x, y in zip(unit[q], unit[m]))))
+                    s = 0.4 * cos + 0.3 * (m % 2) + 0.2 * (1.0, 0.6, 0.2)[m % 3] + 0.1 * math.exp(-(m % 90) / 30)
+                    scored.append((-round(s, 4), -(m % 90), m))
+            want |= {(q, x[2], i + 1) for i, x in enumerate(sorted(scored)[:5])}
+    assert {tuple(r) for r in QUERIES["m14_retrieval_job"](spark, SF).collect()} == want
+
+    q = spark.createDataFrame([(1, 7, None, " ", "red tea cup", "x"), (2, 7, None, None, " ", "Food")], "q_id long, p long, explicit string, context string, turn string, q_topic string")
+    q = q.withColumn("q_text", M.query_text(F.col("explicit"), F.col("context"), F.col("turn"), F.col("q_topic")))
+    assert [r.q_text for r in q.orderBy("q_id").collect()] == ["red tea cup", "Food"]
+    kept = "m_id long, p long, m_text string, m_topic string, m_importance string, m_age_days double, status string"
+    m = [(1, 7, "red tea cup", None, "low", 900.0, "superseded"), (2, 7, "red tea", None, "low", 900.0, "active"), (3, 7, "green", "food", "low", 900.0, "active"), (4, 7, "blue", None, "high", 900.0, "active"), (5, 8, "red tea cup", "food", "high", 0.0, "active")]
+    m = spark.createDataFrame(m, kept)
+    got = lambda **o: [(r.q_id, r.m_id) for r in M.retrieve(q, m, "p", 2, **o).orderBy("q_id", "rank").collect()]
+    assert got() == [(1, 2), (1, 4), (2, 3), (2, 4)]
+    assert got(keywords={"food": ["tea"]}) == [(1, 3), (1, 2), (2, 3), (2, 4)]
