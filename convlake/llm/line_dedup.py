@@ -3,7 +3,7 @@
 Units are normalised (A-Z lower-cased, white space runs to one blank, trimmed) and reduced to 128-bit digests. Digests are grouped
 globally, with minimum and count combined before the shuffle; the occurrence of lowest rank (id, then place in the
 document) is kept, all others are removed and reported with their offsets in the original text. Units of fewer than `min_words`
-words always stay.
+words, and blank ones, always stay; with `min_words` 1 every other unit is judged.
 
 Only digests that occur twice or more are joined back, from a written table, so a line that a third of all documents has is one
 skewed side of a plain join, which adaptive execution splits. Texts without a removed unit are not shuffled where the keys
@@ -42,7 +42,7 @@ def dedup(
         F.hash(F.col(text), F.col(id_col)).alias("g"),
     )
     units = docs.select("id", "h", "g", F.posexplode(F.split("text", separator)).alias("unit", "line"))
-    units = units.withColumn("line", normal(F.col("line"))).where(F.size(F.split("line", " ")) >= min_words)
+    units = units.withColumn("line", normal(F.col("line"))).where((F.col("line") != "") & (F.size(F.split("line", " ")) >= min_words))
     units = units.select("id", "h", "g", "unit", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), "line").alias("d2"))
     rank = F.struct("id", "h", "g", "unit")
     first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -85,6 +85,14 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """With min_words=1 every line that is not blank is judged; blank lines stay."""
+    rows = [(1, "Menu\n\nfirst text\nMENU "), (2, "menu\n \n\nsecond\nfirst  text"), (3, "\nthird\nMenu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=1).collect()}
+    assert got == {1: "Menu\n\nfirst text", 2: " \n\nsecond", 3: "\nthird"}
+
+
 def brute_groups(rows, least=0.8):
     def shingles(t):
         w = [x for x in re.split(r"[ \t-\r]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
