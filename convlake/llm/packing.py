@@ -14,7 +14,7 @@ having to see another's tokens.
 3. Each row gets its task's offset by a join on that small table, and is cut in place. Tokens are not shuffled by key.
 
 The last tokens that do not fill a window are laid out as windows whose lengths are powers of two, without padding.
-Queues are at most `max_queues`; beyond, the largest sources have their own and the others share 64 by hash.
+Queues are at most `max_queues`; beyond, the largest sources and those with a weight have their own and the others share 64 by hash.
 
 Nulls: a null text is empty, so a document of the end token alone; a null source is a queue. Repeated rows are packed
 each. Very long texts are cut over windows. An empty table gives no piece. Extra columns stay out.
@@ -203,17 +203,20 @@ class Schedule:
         return [x[order] for x in parts]
 
 
-def queue_names(docs: DataFrame, source: str, max_queues: int) -> set[str] | None:
-    """Sources with a queue of their own; None where all have one. Only the largest `max_queues` reach the driver."""
+def queue_names(docs: DataFrame, source: str, max_queues: int, weights: dict[str, float] | None = None) -> set[str] | None:
+    """Sources with a queue of their own, all with a weight among them; None where all have one. Only the largest `max_queues` reach the driver."""
     counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("q")).count()
     top = [r.q for r in counts.orderBy(F.desc("count"), "q").limit(max_queues + 1).collect()]
-    return None if len(top) <= max_queues else set(top[: max_queues - TAIL])
+    return None if len(top) <= max_queues else set(top[: max_queues - TAIL]) | set(weights or ())
 
 
 def tokenize(docs: DataFrame, id_col: str, text: str, source: str, path: str, end_id: int, own: set[str] | None) -> DataFrame:
     """id, task, queue, place (in the queue, within the task), n, ids (bytes)."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("queue"))
-    tail = F.concat(F.lit("~"), F.pmod(F.xxhash64("queue"), F.lit(TAIL)).cast("string"))
+    mark = "~"
+    while any(q.startswith(mark) for q in own or ()):  # no shared queue is named like a source's own
+        mark += "~"
+    tail = F.concat(F.lit(mark), F.pmod(F.xxhash64("queue"), F.lit(TAIL)).cast("string"))
     if own is not None:
         kept = kept.withColumn("queue", F.when(F.col("queue").isin(sorted(own)), F.col("queue")).otherwise(tail))
 
@@ -257,7 +260,7 @@ def pack(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = queue_names(docs, source, max_queues)
+    own = queue_names(docs, source, max_queues, weights)
     table = stash(tokenize(docs, id_col, text, source, path, end_id, own), "packing-tokens")
     sums = table.groupBy("task", "queue").agg(F.sum("n").alias("sum"))
     before = W.partitionBy("queue").orderBy("task").rowsBetween(W.unboundedPreceding, -1)

@@ -115,6 +115,18 @@ def test_packing_mixture(spark):
     assert len(full) > 10 and all(abs(w["b"] - 2048 * share) <= 2 * 128 for w in full)
 
 
+def test_packing_weights_beyond_the_queues(spark):
+    """A small source with a weight keeps its queue and share, and one named like a shared queue its own rows."""
+    names = [*["big"] * 40, *["~5"] * 3, *["small"] * 2, *[f"s{k:02}" for k in range(80)]]
+    rows = [(k, prose(k, 100), "en", q, 1, "", "", "") for k, q in enumerate(names)]
+    pieces = packing.pack(documents(spark, rows), PATH, window=256, grain=32, weights={"small": 1.0, "big": 1.0}, max_queues=66).collect()
+    assert {p.doc_id for p in pieces if p.queue == "small"} == {43, 44}
+    assert {p.doc_id for p in pieces if p.queue == "~5"} <= {40, 41, 42}
+    assert {p.queue for p in pieces if p.sequence_id == 0} == {"small", "big"}
+    pieces = packing.pack(documents(spark, rows), PATH, max_queues=66).collect()
+    assert {p.doc_id for p in pieces if p.queue == "~5"} == {40, 41, 42}
+
+
 def test_schedule_many_queues():
     rng = np.random.default_rng(1)
     totals = rng.integers(1, 5000, 50)
