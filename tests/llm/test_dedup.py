@@ -55,42 +55,88 @@ def test_suffix_dedup_as_text_and_empty(spark):
     assert suffix_dedup.dedup(documents(spark, []), ["doc_id"]).count() == 0
 
 
-def brute_lines(rows, least=5):
-    norm = lambda x: re.sub(r"[ \t-\r]+", " ", x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).strip(" ")
+def brute_units(text, unit):
+    """Units by words: (start, end, normal form, words)."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", text)]
+    heads, norm = [], []
+    for k, (a, z) in enumerate(words):
+        gap = text[words[k - 1][1] : a] if k else ""
+        ends = gap.count("\n") >= (2 if unit == "paragraph" else 1) or unit == "sentence" and text[words[k - 1][1] - 1] in ".!?"
+        if k == 0 or ends:
+            heads.append(a if k else 0)
+            norm.append([])
+        norm[-1].append(text[a:z].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return [(a, z, tuple(n)) for a, z, n in zip(heads, [*heads[1:], len(text)], norm)]
+
+
+def brute_lines(rows, unit="sentence", least=30):
     docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, out = set(), {}
     for k, t in docs:
-        kept = []
-        for x in t.split("\n"):
-            n = norm(x)
-            if len(n.split(" ")) >= least and n in seen:
-                continue
+        parts = brute_units(t, unit)
+        spare = []
+        for _, _, n in parts:
+            spare.append(n in seen)
             seen.add(n)
-            kept.append(x)
-        out[k, t] = "\n".join(kept)
+        kept, i = "", 0
+        while i < len(parts):
+            j = i
+            while j < len(parts) and spare[j]:
+                j += 1
+            run = parts[i : j or None] if j > i else []
+            if run and sum(len(n) for _, _, n in run) >= least:
+                i = j
+                continue
+            for a, z, _ in run or parts[i : i + 1]:
+                kept += t[a:z]
+            i = max(j, i + 1)
+        out[k, t] = kept if parts else t
     return out
 
 
-def test_line_dedup(spark):
+SENTENCES = [prose(700 + k, 4 + k % 9).capitalize() + (". " if k % 5 else ".\n" if k % 3 else "!\n \n") for k in range(60)]
+
+
+def sentence_rows():
+    """Documents of shared sentences, so that runs of all lengths repeat; upper case, odd spaces and accents among them."""
+    rng = np.random.default_rng(5)
     rows = corpus()
-    want = brute_lines(rows)
-    found = line_dedup.dedup(documents(spark)).collect()
-    assert len(found) == len(rows)
-    expected = collections.Counter((r[0], want.get((r[0], r[1]))) for r in rows)
-    assert collections.Counter((r.doc_id, r.text) for r in found) == expected
+    for k in range(40):
+        parts = [prose(5000 + 10 * k + i, 9) + ". " for i in range(4)]
+        at = int(rng.integers(0, 50))
+        parts[2:2] = SENTENCES[at : at + int(rng.integers(1, 9))]
+        text = ("  \u00e9 " if k % 4 == 0 else "") + "".join(parts)
+        rows.append((1000 + k, text.upper() if k % 7 == 0 else text.replace(". ", ".\t \x0b"), "en", "s", 1, "", "", ""))
+    return rows
+
+
+@pytest.mark.parametrize("unit, least, few", [("sentence", 30, 500_000), ("sentence", 1, 0), ("line", 12, 500_000), ("paragraph", 1, 0)])
+def test_line_dedup(spark, unit, least, few):
+    rows = sentence_rows()
+    want = brute_lines(rows, unit, least)
+    found = line_dedup.dedup(documents(spark, rows), unit=unit, min_words=least, few=few).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in found) == collections.Counter((r[0], want.get((r[0], r[1]))) for r in rows)
     by_id = {r[0]: r[1] for r in rows}
+    cut = 0
     for r in found:
+        if r.doc_id is None:
+            continue
+        left, at = "", 0
         for s in r.removed:  # offsets are of the original
-            assert by_id[r.doc_id][s.start : s.end] == by_id[r.doc_id].split("\n")[s.unit]
-    assert line_dedup.dedup(documents(spark, [])).count() == 0
+            assert (s.start, s.end) == brute_units(by_id[r.doc_id], unit)[s.unit][:2]
+            left, at = left + by_id[r.doc_id][at : s.start], s.end
+        assert not r.removed or left + by_id[r.doc_id][at:] == r.text
+        cut += bool(r.removed)
+    assert cut > 3
+    assert line_dedup.dedup(documents(spark, []), unit=unit).count() == 0
 
 
 def test_line_dedup_short_lines(spark):
-    """With min_words=1 every line that is not blank is judged; blank lines stay."""
-    rows = [(1, "Menu\n\nfirst text\nMENU "), (2, "menu\n \n\nsecond\nfirst  text"), (3, "\nthird\nMenu")]
+    """With min_words=1 every unit is judged, the space after it goes with it."""
+    rows = [(1, "Menu\n\nfirst text\nMENU "), (2, "menu\n \n\nsecond\nfirst  text"), (3, "\nthird\nMenu"), (4, " \n ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=1).collect()}
-    assert got == {1: "Menu\n\nfirst text", 2: " \n\nsecond", 3: "\nthird"}
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs, unit="line", min_words=1).collect()}
+    assert got == {1: "Menu\n\nfirst text\n", 2: "second\n", 3: "\nthird\n", 4: " \n "}
 
 
 def brute_groups(rows, least=0.8):
