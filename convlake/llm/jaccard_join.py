@@ -1,18 +1,18 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip), and its groups.
 
 1. Every text becomes its set of distinct word shingles (64-bit). Equal sets form a class, whose smallest id stands for it.
-2. A class whose `SKETCH` smallest hashes are mostly its own cannot link and leaves: of two sets with a Jaccard similarity of
-   0.8, both sketches share 51 of 64 hashes on average, and fewer than `LEAST` with a chance under 1e-12; for a set of
-   at most 64 shingles `sure_overlap` is what any linked set's sketch shows of it for certain: 80 of 100, or less (48 of 64)
-   where the other set may have more than 64 shingles and hide some. Shared passages alone rarely reach that.
+2. Two sets of n and m shingles link only if they have o = ceil(4 (n + m) / 9) in common, so their first n - o + l and m - o + l
+   shingles, in one order for all, have l in common, whatever l. Every set shows its n - T + `depth`(n) smallest hashes,
+   T = ceil(0.8 n), and a class with fewer of them among those that others show than the least depth of any partner
+   leaves: it cannot link. The bound is exact, for all sizes. Shared passages alone rarely reach it.
 3. A set of n shingles can only link to sets that share one of its first n - T + 1 shingles, T = ceil(0.8 n), in any
    order common to all. That order puts shingles that a bounded sample of documents shares last, then goes by hash:
    it decides speed only. Postings of those shingles are combined in each task before the shuffle: documents of a
    task with one shingle and near sizes become a chain and send one interval, so a shingle that a third of all
    documents has sends one row for each task. Shared shingles tie documents to families (too large rather than too small).
-4. The texts of families meet, some families to a block. In a block, DivideSkip merges the short inverted lists of
-   a query document and probes the long ones by binary search for the candidates that can still reach the overlap T;
-   each is then decided on exact counts. Documents of one known group are not compared again.
+4. The texts of families meet, some families to a block. In a block, DivideSkip parts the inverted lists of a query document:
+   the short ones are merged by a heap that skips what cannot reach the overlap any more, the long ones are probed by
+   binary search for the candidates left; each is decided on exact counts. Documents of one known group are not compared again.
 5. A family beyond `block` documents is split into blocks, each with a few pivots of the whole family. Afterwards every
    document outside the family's largest group is a query against all blocks. So no group is one task's work, and no
    link between different groups is lost.
@@ -24,10 +24,13 @@ kept out. Whole texts count, however long.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, shingle_sets, small_batches, stash, text_chunks
@@ -57,13 +60,20 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n long, s1 long, s2 long")
 
 
-SKETCH, LEAST = 64, 24
+def depth(n: int) -> int:
+    """How many common shingles a set of n shows for."""
+    return n // 8 + 1
+
 
+def shown(s: np.ndarray) -> np.ndarray:
+    """The smallest hashes of a sorted set that must hold depth(n) of those it shares with a linked set."""
+    n = len(s)
+    return s[: n - (4 * n + 4) // 5 + depth(n)]
 
-def sure_overlap(n: int) -> int:
-    """The fewest hashes of a set of n <= SKETCH shingles in the sketch of a set it links to, over all sizes of that set."""
-    sizes = range((4 * n + 4) // 5, 5 * n // 4 + 1)
-    return min((4 * (n + m) + 8) // 9 - max(0, m - SKETCH) for m in sizes)
+
+def partner_depth(n: Column) -> Column:
+    """The least depth of a set that one of n shingles can link to: that of ceil(0.8 n) shingles."""
+    return F.floor(F.floor((4 * n + 4) / 5) / 8) + 1
 
 
 def _packed(columns: list[str], rows: list[tuple]):
@@ -77,17 +87,17 @@ def _shuffle_size(spark: SparkSession) -> tuple[int, int]:
     return parts, max(1024, 8 * parts)
 
 
-def sketch_counts(docs: DataFrame, size: int) -> DataFrame:
-    """s1, shared: how many hashes of a set's sketch other sets' sketches have, too."""
+def shown_counts(docs: DataFrame, size: int) -> DataFrame:
+    """s1, shared: how many of the hashes that a set shows are shown by other sets, too."""
     parts, buckets = _shuffle_size(docs.sparkSession)
 
-    def sketches(batches):
+    def show(batches):
         seen, held = set(), []
         for b in batches:
             for _, s in _sets(b["text"], size):
                 if len(s) and (name := int(mix(s, 3).sum(dtype=np.uint64))) not in seen:
                     seen.add(name)
-                    held.append((s[:SKETCH], name))
+                    held.append((shown(s), name))
         if not held:
             return
         hashes = np.concatenate([x for x, _ in held])
@@ -126,7 +136,7 @@ def sketch_counts(docs: DataFrame, size: int) -> DataFrame:
             names, of = np.unique(node, return_inverse=True)
             yield pd.DataFrame({"s1": names.view(np.int64), "shared": np.bincount(of, weights=count).astype(np.int64)})
 
-    packed = docs.select("text").mapInPandas(sketches, "bucket int, told boolean, data binary")
+    packed = docs.select("text").mapInPandas(show, "bucket int, told boolean, data binary")
     counts = packed.repartition(parts, "bucket").mapInPandas(meet, "s1 long, shared long")
     return counts.groupBy("s1").agg(F.sum("shared").alias("shared"))
 
@@ -227,6 +237,37 @@ def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInPandas(meet, "a long, b long")
 
 
+def merge_skip(lists: list[list[int]], least: int) -> dict[int, int]:
+    """Numbers that occur in `least` or more of the sorted lists, with their counts, by a heap over the lists' heads.
+
+    A number that occurs too rarely is passed over together with all below the head that `least` lists must reach.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    found: dict[int, int] = {}
+    while len(heap) >= least:
+        top = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            found[top] = len(popped)
+            to = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            to = heap[0][0]
+        for i in popped:
+            x = lists[i]
+            at[i] = bisect_left(x, to, at[i])
+            if at[i] < len(x):
+                heapq.heappush(heap, (x[at[i]], i))
+    return found
+
+
 class Lists:
     """Inverted lists of the sets of one block, for T-occurrence search."""
 
@@ -249,17 +290,13 @@ class Lists:
         # the longest lists are probed, not merged; a quarter of the needed occurrences must still come from short ones
         long = min(need - 1, 3 * need // 4)
         short, rest = names[order[: n - long]], names[order[n - long :]]
-        runs = self.start[short + 1] - self.start[short]
-        ends = np.cumsum(runs)
-        at = np.arange(ends[-1]) - np.repeat(ends - runs, runs) + np.repeat(self.start[short], runs)
-        count = np.bincount(self.owner[at], minlength=len(self.sets))
-        able = (count >= need - long) & (group != group[x])
-        able &= (5 * self.sizes >= 4 * n) & (4 * self.sizes <= 5 * n)
-        found = np.flatnonzero(able)
-        if not len(found):
-            return found
-        overlap = count[found]
-        if len(rest):
+        others = short[self.start[short + 1] - self.start[short] > 1]  # the lists of one are x alone
+        merged = merge_skip([self.owner[self.start[s] : self.start[s + 1]].tolist() for s in others], need - long)
+        found, count = (np.array(list(v), dtype=np.int64) for v in (merged.keys(), merged.values()))
+        able = group[found] != group[x]
+        able &= (5 * self.sizes[found] >= 4 * n) & (4 * self.sizes[found] <= 5 * n)
+        found, overlap = found[able], count[able]
+        if len(found) and len(rest):
             want = rest[:, None] * len(self.sets) + found[None, :]
             place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
             overlap = overlap + (self.keys[place] == want).sum(axis=0)
@@ -270,10 +307,6 @@ def local_groups(sets: list[np.ndarray], queries: np.ndarray | None = None, pivo
     """The group number of every set: linked sets have one. With `queries`, only pairs with a query are looked for."""
     m = len(sets)
     group = np.arange(m)
-    if m == 2:
-        a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return np.zeros(2, dtype=int) if 9 * both >= 4 * (len(a) + len(b)) else group
     lists = Lists(sets)
 
     def ask(x: int) -> None:
@@ -288,6 +321,8 @@ def local_groups(sets: list[np.ndarray], queries: np.ndarray | None = None, pivo
             # a pivot from the largest group so far; its own group is not compared again
             big = np.bincount(group).argmax()
             inside = np.flatnonzero(group == big)
+            if len(inside) == m:
+                break
             ask(int(inside[(_ * 7919) % len(inside)]))
         big = np.bincount(group).argmax()
         todo = np.flatnonzero(group != big)
@@ -344,9 +379,7 @@ def group_documents(
     named = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     signed = stash(signatures(docs, size), "jaccard-signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    sure = F.array(*[F.lit(sure_overlap(n)) for n in range(1, SKETCH + 1)])
-    least = F.when(F.col("n") <= SKETCH, F.get(sure, (F.col("n") - 1).cast("int"))).otherwise(LEAST)
-    near = classes.join(sketch_counts(named, size), "s1").where(F.col("shared") >= least)
+    near = classes.join(shown_counts(named, size), "s1").where(F.col("shared") >= partner_depth(F.col("n")))
     near = stash(near.select(F.col("rep").alias("id"), "s1"), "jaccard-near")
     # texts that may link, one of each class
     if near.count() <= few:
@@ -395,6 +428,7 @@ def group_documents(
         links = found.select(F.col("a").alias("rep"), F.col("b").alias("component"))
     # each class takes its group, each document its class
     groups = classes.join(links, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    groups = stash(groups, "jaccard-classes")  # read anew, so that a class with very many copies is a side that can be split
     out = signed.join(groups, ["s1", "s2"], "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n", own.alias("component"))

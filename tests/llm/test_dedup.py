@@ -210,3 +210,30 @@ def test_shingles_and_components(spark):
     nodes, roots = graph.forest(np.array([5, 6, 1]), np.array([6, 9, 2]))
     assert dict(zip(nodes.tolist(), roots.tolist())) == {1: 1, 2: 1, 5: 5, 6: 5, 9: 5}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_jaccard_at_the_threshold(spark):
+    """Pairs of all sizes at, or one shingle under, a similarity of 0.8; the smaller one inside the larger or both with words of their own."""
+    rows = []
+    for seed, n in enumerate([1, 2, 4, 5, 6, 8, 9, 12, 20, 31, 36, 40, 64, 72, 99, 100, 128, 180, 320, 400] * 3):
+        words = prose(9000 + seed, 2 * n + 60).split()
+        base = words[: n + 4]
+        if seed % 3 == 0:  # inside: n of n / 0.8 shingles
+            other = words[: n + 4 + n // 4 + (seed // 3) % 2]
+        else:  # the last k words differ: n - k of n + k shingles in common
+            k = n // 9 + (seed // 3) % 2
+            other = base[: len(base) - k] + [f"z{seed}x{i}" for i in range(k)]
+        rows += [(len(rows) + i, " ".join(t), "en", "s", 1, "", "", "") for i, t in enumerate((base, other))]
+    want = brute_groups(rows)
+    assert 20 < len(rows) - len({c for _, c in want.values()}) < 60
+    assert groups(documents(spark, rows)) == want
+    assert groups(documents(spark, rows, 7), few=0) == want
+
+
+def test_merge_skip():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        lists = [sorted(set(rng.integers(0, 30, rng.integers(0, 20)).tolist())) for _ in range(rng.integers(1, 12))]
+        least = int(rng.integers(1, 7))
+        counts = collections.Counter(x for v in lists for x in v)
+        assert jaccard_join.merge_skip(lists, least) == {k: n for k, n in counts.items() if n >= least}
