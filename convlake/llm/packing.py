@@ -22,6 +22,10 @@ each. Very long texts are cut over windows. An empty table gives no piece. Extra
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+import unicodedata
 from array import array
 from dataclasses import dataclass
 
@@ -36,18 +40,60 @@ from .common import small_batches, stash
 
 FIXED = 16  # quanta are in 1/65536 of a token
 TAIL = 64
+SPACES = re.compile(r"[ \t\n\r]+")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The normalizer and the word split that words can be encoded apart for.
+ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _encoders: dict = {}
 
 
+@functools.cache
+def odd_characters() -> re.Pattern:
+    """Finds what the fast way does not take: all but printable ASCII, tab, line ends, and letters that stay one letter in NFC and in lower case."""
+
+    def plain(c: str) -> bool:
+        low = c.lower()
+        return c.isalpha() and len(low) == 1 and low.isalpha() and low.upper().lower() == low and unicodedata.is_normalized("NFC", c + low) and not unicodedata.decomposition(c).startswith("<")
+
+    # blocks of European alphabets without marks of their own; a Greek sigma is lower-cased by its neighbours
+    letters = [chr(c) for c in range(0xA1, 0x530) if plain(chr(c)) and chr(c) not in "Σςσ"]
+    return re.compile("[^\x20-\x7e\t\n\r" + "".join(letters) + "]")
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian bytes; white space parts words, so words are looked up once."""
+    """Token ids of whole texts as little-endian bytes; white space parts words, so words are looked up once.
+
+    Words of ordinary letters, with punctuation after them, go the fast way; a word with any other character is encoded by the
+    tokenizer as it stands, between spaces. Where the tokenizer's file is not of the kind that this holds for, or a text
+    has a mark of a special token, the tokenizer encodes whole texts.
+    """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model = made.get("model", {})
+        merges = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not (model.get("dropout") or model.get("ignore_merges"))
+        special = made.get("added_tokens", [])
+        known = all(made.get(k) == v for k, v in ASSUMED.items())
+        self.fast = bool(known and merges and not made.get("post_processor") and all("<|" in t["content"] and not t["normalized"] for t in special))
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}  # the generation before: words still in use move to `known`
         self.most = most
@@ -72,24 +118,22 @@ class Encoder:
             out.extend(ids[width * a : width * z] for a, z in zip(cuts[:-1], cuts[1:]))
         return out
 
-    def plain(self, text: str) -> bool:
-        """Whether words can be encoded one by one: no special token, no separator that only Python takes for space."""
-        return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.fast:
+            return self.direct(texts)
         if len(self.known) > self.most:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
         parted: list[list[str] | None] = []
         out: list[bytes | None] = []
         new: set[str] = set()
+        odd = odd_characters().search
         for t in texts:
-            if not self.plain(t):
+            if "<|" in t:
                 parted.append(None)
                 out.append(self.direct([t])[0])
                 continue
-            # a sigma's lower case depends on what follows; all other letters stand alone
-            words = (t.lower() if "\u03a3" not in t else t).split()
+            words = SPACES.split(t) if odd(t) else t.lower().split()
             got = list(map(known.get, words))
             if None in got:
                 new.update(w for w, g in zip(words, got) if g is None)
@@ -104,11 +148,12 @@ class Encoder:
     def learn(self, new: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> None:
         """Ids of words that are not known yet: a core of letters and what stands after it are looked up apart."""
         cores: dict[str, tuple[str, str]] = {}
+        odd = odd_characters().search
         for w in new:
             if w in older:
                 known[w] = older[w]
                 continue
-            core = w.rstrip(PUNCTUATION)
+            core = w if odd(w) else w.rstrip(PUNCTUATION)
             cores[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
         ask = {x for pair in cores.values() for x in pair if x not in known}
         for x in [x for x in ask if x in older]:
@@ -118,7 +163,7 @@ class Encoder:
         merge, code = self.tokenizer.model.tokenize, "H" if self.kind == "<u2" else "I"
         plain, rest = [], []
         for x in ask:
-            if x.isalpha():
+            if x.isalpha() and not odd(x):
                 if x.isascii() and x.islower():
                     known[x] = array(code, [t.id for t in merge(x)]).tobytes()
                 else:

@@ -145,6 +145,27 @@ def test_words_are_encoded_as_texts():
         assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_any_unicode_text_is_encoded_as_by_the_tokenizer():
+    e, t = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert e.fast
+    rng = np.random.default_rng(4)
+    blocks = ["abcXYZ", " \t\n", ".,'-!#s", "0123", "\u0130\u03a3\u03c3\u03c2\u00df\u0149\u01c5", "\u0301\u0307\u0345\u00b7\u2019", "\x00\x1c\x1f\x85\u00a0\u2028\u3000\u200b\ufeff"]
+    wide = [chr(c) for c in range(0x80, 0x3000) if chr(c).isprintable()] + list("\u65e5\u672c\uac00\u1100\u1161\U0001f600\U00010400\U0001d400\ufb01")
+    texts = ["\u0130- \u03a3", "a\u0130. \u03a3", "\u0130,\n\u03a3", "don\u2019T 'S", "x\u0345 \u0391\u03a3\u0301."]
+    for k in range(20_000):
+        pool = list("".join(rng.choice(blocks, 3))) + [str(x) for x in rng.choice(wide, 4)]
+        texts.append("".join(rng.choice(pool, int(rng.integers(1, 14)))))
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        got = [np.frombuffer(b, dtype=e.kind).tolist() for b in e.encode(part)]
+        want = [x.ids for x in t.encode_batch(part, add_special_tokens=False)]
+        assert got == want, [x for x, a, b in zip(part, got, want) if a != b][:5]
+    other = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.fast
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(b, dtype=other.kind).tolist() for b in other.encode(texts[:200])] == [x.ids for x in plain.encode_batch(texts[:200], add_special_tokens=False)]
+
+
 def test_pipeline(spark):
     """Each stage against what it says it keeps."""
     import corpus_pipeline as P
