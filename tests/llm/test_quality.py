@@ -122,6 +122,48 @@ def test_html():
     assert len(html_extract.main_text(long)) == 6 * 50_000 - 1
 
 
+LONG = "Some words of the article, long enough to count, with commas, and more of them for good measure, as articles have."
+HARD = [
+    (f"<article><p>{LONG}</p><svg width=1/><p>after</p></article>", f"{LONG} after"),
+    (f"<article><p title=it's>{LONG}</p><p>it's</p></article>", f"{LONG} it's"),
+    (f'<article><p title="a>b" class=x data-y=\'>\'>{LONG}</p></article>', LONG),
+    (f"<article><div class='post-header'><h1>Title</h1></div><p class='share'>{LONG}</p><p class=reply>Yes, said the minister.</p></article>", f"Title {LONG} Yes, said the minister."),
+    (f"<article><div class=header><h1>Title</h1></div><p>{LONG}</p></article>", f"Title {LONG}"),
+    (f"<body><div class=header>Site name</div><div><p>{LONG}</p><div class=share><a href=x>Tweet</a> <a href=y>Mail</a></div><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    (f"<div><p>{LONG}</p><div class=notice><p>{LONG}</p></div><div class='reply'><p>{LONG}</p></div></div>", LONG),
+    (f"<article><p>{LONG}<script src=a/>var x = '<p>no</p>';</script><p>end</article>", f"{LONG} end"),
+    (f"<article><p>{LONG}<script src='a'/><p>mid<script>no()</script><p>end</article>", f"{LONG} mid end"),
+    (f"<article><b><p>{LONG}</b> tail</p><p>end</article>", f"{LONG} tail end"),
+    (f"<article><p>{LONG}</p><!-- open <p>gone</p>", LONG),
+    (f"<article><p>{LONG} 1 < 2 <3</p><p>x <a ", f"{LONG} 1 < 2 <3 x <a"),
+    (f"<article><button>Go<p>{LONG}</p></article>", ""),
+]
+
+
+@pytest.mark.parametrize("page, want", HARD)
+def test_html_hard_markup(page, want):
+    assert html_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", '"', '<a b="', "<a b='>\">", "<div>", "<b>", "<li><b>", "</b>", "<!-", "<script/>", "<p>x", "<a href=x>y</a> ", '<a x=">"', "<svg>", "&", "<td><i>"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        html_extract.main_text("<p>" + unit * (n // len(unit)) + ("</div>" if unit == "<div>" else ""))
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 1
+
+
+def test_html_keys_of_any_name(spark):
+    df = spark.createDataFrame([(1, "t", "h", 5, "<p>a b"), (1, "t", "h", 5, "<p>a b"), (2, None, None, None, None)], "page_id int, text string, row string, n_chars int, _html string")
+    out = html_extract.extract(df, ["page_id", "row"], html="_html").collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in out) == [(1, "a b", 3), (1, "a b", 3), (2, "", 0)]
+    assert html_extract.extract(df.limit(0), ["page_id"], html="_html").count() == 0
+
+
 @pytest.mark.parametrize("table", ["pages"])
 def test_html_articles(spark, table):
     import html as h
