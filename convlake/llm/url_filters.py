@@ -1,25 +1,29 @@
 """URL filter by host and path rules, and by a path-template tree where no rule fits.
 
-Every host has a tree of path segments. Segments that look variable (digits, hex, long mixed slugs) and
-segments of a node with very many rare children become wildcards. A branch stays apart from its parent only
-if its labelled share of bad URLs differs significantly from it; similar branches are merged. The share is
-smoothed from the whole table down to host and template, and a template at or over `reject` is blocked, provided
-that at least the share `evidence` of the URLs below the node that decides is labelled.
-
-Work is on distinct (host, template) counts, not on URLs; counts combine before each shuffle, so a host with a
-third of all URLs costs no more than its distinct templates.
+1. Every host has a tree of path segments. Segments that look variable (digits, hex, long mixed slugs) are wildcards, as are rare
+   ones (under `min_support` URLs) of a node with more than `max_children`; that is repeated until no node has such children.
+2. Branches of a node that have labels are merged where they are statistically similar: a branch leaves its group if its bad share
+   differs from that of the rest of the group by a two-sample test, the worse and the better ones each form a group of their
+   own, and those are tested again until no group parts. Merged branches share their counts.
+3. Purity (share of bad URLs) is smoothed from the table over templates that hosts share down to the host: from the table's share,
+   along the template's nodes with the counts of all hosts, then along them with the host's merged counts; each step weighs what it
+   comes from like `weight` URLs. The host as a whole counts only where at least the share `evidence` of its URLs is labelled.
+   A template at or over `reject` is blocked.
+
+Work is on distinct (host, template) counts and nodes, not on URLs, by sums and joins alone; counts combine before each shuffle,
+so a host with a third of all URLs costs no more than its distinct templates. Paths of any depth count whole.
 
 Nulls: a null URL or one without "://" has an empty host and path, no rule and the verdict of the empty
-template. Repeated rows each get their row. An empty table gives an empty result. Extra columns are kept aside.
+template. Repeated rows each get their row. An empty table gives an empty result. Input columns named host, path, rule or
+verdict come back with `_in` added to their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, stash
 
 #: (rule, verdict) of the registered query.
 RULES = [
@@ -53,61 +57,84 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def typed_segments(path: Column, depth: int) -> Column:
-    """At most `depth` segments; variable-looking ones are wildcards, deeper ones fold into one wildcard."""
+def typed_segments(path: Column) -> Column:
+    """The path's segments; variable-looking ones are wildcards."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    typed = F.transform(
-        segments,
-        lambda s: F.when(s.rlike(r"[0-9]|%|^[0-9A-Fa-f-]{16,}$") | (F.length(s) > 40), F.lit("*")).otherwise(s),
-    )
-    return F.when(F.size(typed) > depth, F.concat(F.slice(typed, 1, depth), F.array(F.lit("*")))).otherwise(typed)
+    variable = lambda s: s.rlike(r"[0-9]|%|^[0-9A-Fa-f-]{16,}$") | (F.length(s) > 40)
+    return F.transform(segments, lambda s: F.when(variable(s), F.lit("*")).otherwise(s))
+
+
+def key_of(segments: Column, depth: Column) -> Column:
+    """Key of a node: its depth in the tree and the segments above and at it."""
+    return F.xxhash64(F.slice(segments, F.lit(1), depth))
+
+
+def generalise(counts: DataFrame, max_children: int, min_support: int) -> DataFrame:
+    """(host, segs, n, labelled, bad) with gen: segs whose rare segments at nodes with very many children are wildcards."""
+    rows = counts.withColumn("gen", F.col("segs"))
+    node = ["host", "d", "up"]
+    while True:
+        parts = rows.select("host", "segs", "gen", "n", F.posexplode("gen").alias("d", "seg"))
+        parts = parts.withColumn("up", key_of(F.col("gen"), F.col("d")))
+        support = stash(parts.groupBy(*node, "seg").agg(F.sum("n").alias("n")), "url-segments")
+        many = support.groupBy(*node).agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > max_children)
+        rare = support.where((F.col("n") < min_support) & (F.col("seg") != "*")).join(many, node).select(*node, "seg")
+        hit = stash(parts.join(rare, [*node, "seg"]).groupBy("host", "segs").agg(F.collect_set("d").alias("at")), "url-wildcards")
+        if hit.isEmpty():
+            return rows
+        wild = F.transform("gen", lambda s, i: F.when(F.array_contains("at", i), F.lit("*")).otherwise(s))
+        rows = rows.join(hit, ["host", "segs"], "left").withColumn("gen", F.when(F.col("at").isNull(), F.col("gen")).otherwise(wild))
+        rows = stash(rows.drop("at"), "url-templates")
+
+
+def merge_branches(nodes: DataFrame, z: float) -> DataFrame:
+    """host, d, key, m_labelled, m_bad of every labelled node: the counts of the siblings it is merged with."""
+    at = nodes.where("labelled > 0").select("host", "d", "key", "up", "labelled", "bad", F.lit("").alias("kin"))
+    kin = ["host", "d", "up", "kin"]
+    while True:
+        sums = at.groupBy(*kin).agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad"))
+        both = at.join(sums, kin)
+        rest, share = F.col("m_labelled") - F.col("labelled"), F.col("m_bad") / F.col("m_labelled")
+        gap = F.col("bad") / F.col("labelled") - (F.col("m_bad") - F.col("bad")) / F.when(rest > 0, rest)
+        noise = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / F.when(rest > 0, rest)))
+        side = F.when(gap > z * noise, "+").when(gap < -z * noise, "-").otherwise("=")
+        both = stash(both.withColumn("side", side), "url-branches")
+        if both.where("side <> '='").isEmpty():
+            return both.select("host", "d", "key", "m_labelled", "m_bad")
+        at = both.withColumn("kin", F.concat("kin", "side")).drop("side", "m_labelled", "m_bad")
 
 
 def template_verdicts(
-    counts: DataFrame, depth: int, max_children: int, min_support: int, z: float, weight: float, reject: float,
+    counts: DataFrame, max_children: int = 32, min_support: int = 20, z: float = 2.58, weight: float = 10.0, reject: float = 0.7,
     evidence: float = 0.5,
 ) -> DataFrame:
-    """(host, segs) rows with n, bad, labelled -> (host, segs, template, purity, blocked)."""
-    t = counts.withColumn("path", F.lit(""))
-    # wildcards by cardinality, from the top down
-    for d in range(depth + 1):
-        seg = F.when(F.size("segs") > d, F.element_at("segs", d + 1))
-        t = t.withColumn("seg", seg)
-        child = W.partitionBy("host", "path", "seg")
-        t = t.withColumn("support", F.sum("n").over(child)).withColumn(
-            "head", (F.row_number().over(child.orderBy("segs")) == 1).cast("int")
-        )
-        t = t.withColumn("children", F.sum("head").over(W.partitionBy("host", "path")))
-        wild = (F.col("children") > max_children) & (F.col("support") < min_support)
-        step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("seg")))
-        )
-        t = t.withColumn("path", F.concat("path", step)).withColumn(f"t{d}", F.col("path"))
-    t = t.drop("seg", "support", "head", "children", "path")
-    total = t.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
+    """(host, segs) rows with n, labelled, bad -> host, segs, template, purity, blocked."""
+    rows = stash(generalise(counts, max_children, min_support), "url-rows")
+    templates = rows.groupBy("host", "gen").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    steps = templates.withColumn("d", F.explode(F.sequence(F.lit(0), F.size("gen"))))
+    steps = steps.withColumns({"key": key_of(F.col("gen"), F.col("d")), "up": key_of(F.col("gen"), F.greatest(F.col("d") - 1, F.lit(0)))})
+    nodes = steps.groupBy("host", "d", "key", "up").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    nodes = stash(nodes, "url-nodes")
+    shared = nodes.groupBy("d", "key").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    total = nodes.where("d = 0").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
     prior = ((total.bad or 0) + 1.0) / ((total.labelled or 0) + 2.0)
-    # shares from the host down; a branch whose share is like its parent's takes its parent's
-    purity, kept, cover = F.lit(prior), F.lit(""), F.lit(0.0)
-    for d in range(-1, depth + 1):
-        keys = ["host"] + ([f"t{d}"] if d >= 0 else [])
-        w = W.partitionBy(*keys)
-        n, bad = F.sum("labelled").over(w), F.sum("bad").over(w)
-        t = t.withColumns({"_n": n, "_b": bad, "_share": F.sum("labelled").over(w) / F.sum("n").over(w)})
-        t = t.withColumn("_up", purity)
-        gap = F.abs(F.col("_b") / F.col("_n") - F.col("_up"))
-        noise = F.sqrt(F.col("_up") * (1 - F.col("_up")) / F.col("_n"))
-        apart = (F.col("_n") > 0) & (gap > z * noise)
-        own = (F.col("_b") + weight * F.col("_up")) / (F.col("_n") + weight)
-        t = t.withColumn("_p", F.when(apart, own).otherwise(F.col("_up")))
-        if d >= 0:
-            t = t.withColumn("_k", F.when(apart, F.col(f"t{d}")).otherwise(kept))
-        else:
-            t = t.withColumn("_k", F.lit(""))
-        t = t.withColumn("_c", F.when(apart | F.lit(d < 0), F.col("_share")).otherwise(cover))
-        t = t.withColumns({f"p{d + 1}": F.col("_p"), f"k{d + 1}": F.col("_k"), f"c{d + 1}": F.col("_c")})
-        purity, kept, cover = F.col(f"p{d + 1}"), F.col(f"k{d + 1}"), F.col(f"c{d + 1}")
-    blocked = (purity >= reject) & (cover >= evidence)
-    return t.select("host", "segs", kept.alias("template"), purity.alias("purity"), blocked.alias("blocked"))
+    told = (F.col("d") > 0) | (F.col("labelled") >= evidence * F.col("n"))
+    own = nodes.join(merge_branches(nodes, z), ["host", "d", "key"], "left").join(shared, ["d", "key"])
+    own = own.select(
+        "host", "d", "key", "all_labelled", "all_bad",
+        *[F.when(told, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("m_labelled", "m_bad")],
+    )
+    chain = F.sort_array(F.collect_list(F.struct("d", "all_labelled", "all_bad", "m_labelled", "m_bad")))
+    found = steps.select("host", "gen", "d", "key").join(own, ["host", "d", "key"]).groupBy("host", "gen").agg(chain.alias("chain"))
+
+    def smooth(start: Column, labelled: str, bad: str) -> Column:
+        return F.aggregate("chain", start, lambda p, c: (c[bad] + weight * p) / (c[labelled] + weight))
+
+    purity = smooth(smooth(F.lit(prior), "all_labelled", "all_bad"), "m_labelled", "m_bad")
+    found = found.select("host", "gen", purity.alias("purity"))
+    out = rows.join(found, ["host", "gen"])
+    template = F.concat(F.lit("/"), F.array_join("gen", "/")).alias("template")
+    return out.select("host", "segs", template, "purity", (F.round("purity", 12) >= reject).alias("blocked"))
 
 
 def filter_urls(
@@ -115,43 +142,30 @@ def filter_urls(
     url: str = "url",
     rules: list[tuple[str, str]] | None = None,
     label: Column | None = None,
-    depth: int = 4,
-    max_children: int = 32,
-    min_support: int = 20,
-    z: float = 2.58,
-    weight: float = 10.0,
-    reject: float = 0.7,
+    **options,
 ) -> DataFrame:
     """`pages` with host, path, rule, verdict (allow or block).
 
     label: 1 for a URL known to be bad, 0 for a good one, null for others; by default what the rules say.
+    options: those of template_verdicts.
     """
     rules = RULES if rules is None else rules
-    rule, said = rule_column(F.col("_host"), F.col("_path"), rules)
-    df = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    df = df.withColumns({"_rule": rule, "_said": said, "_segs": typed_segments(F.col("_path"), depth)})
-    known = F.when(F.col("_said") == "block", 1).when(F.col("_said") == "allow", 0) if label is None else label
-    counts = (
-        df.withColumn("_known", known)
-        .groupBy(F.col("_host").alias("host"), F.col("_segs").alias("segs"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("_known").alias("labelled"),
-            F.coalesce(F.sum("_known"), F.lit(0)).alias("bad"),
-        )
+    rule, said = rule_column(F.col("host"), F.col("path"), rules)
+    known = F.lit(None).cast("int") if label is None else label.cast("int")
+    df = pages.select(F.struct(*pages.columns).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), known.alias("known"))
+    df = df.withColumns({"rule": rule, "said": said, "segs": typed_segments(F.col("path"))})
+    if label is None:
+        df = df.withColumn("known", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
+    counts = df.groupBy("host", "segs").agg(
+        F.count(F.lit(1)).alias("n"), F.count("known").alias("labelled"), F.coalesce(F.sum("known"), F.lit(0)).alias("bad")
     )
     # only the rejected templates are joined back: the rest is the default
-    out = template_verdicts(counts, depth, max_children, min_support, z, weight, reject).where("blocked")
-    out = out.select(F.col("host").alias("_h"), F.col("segs").alias("_s"), F.lit(True).alias("_bad"))
-    df = df.join(out, (F.col("_host") == F.col("_h")) & (F.col("_segs") == F.col("_s")), "left")
-    method = F.when(F.col("_bad"), "block").otherwise("allow")
-    return df.select(
-        *[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_rule").alias("rule"),
-        F.coalesce("_said", method).alias("verdict"),
-    )
+    out = template_verdicts(stash(counts, "url-counts"), **options).where("blocked").select("host", "segs", "blocked")
+    df = df.join(stash(out, "url-rejected"), ["host", "segs"], "left")
+    method = F.when(F.col("blocked"), "block").otherwise("allow")
+    made = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("said", method)}
+    kept = [F.col("row")[c].alias(c + "_in" if c in made else c) for c in pages.columns]
+    return df.select(*kept, *[v.alias(c) for c, v in made.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

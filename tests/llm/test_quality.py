@@ -89,6 +89,7 @@ def test_urls(spark):
     assert (got[2].host, got[2].path) == ("b.example.com", "/en/1") and (got[9].host, got[9].path) == ("", "")
     assert (got[10].host, got[10].path) == ("b", "") and got[11].host == "y:" and all(r.verdict in ("allow", "block") for r in got.values())
     assert url_filters.filter_urls(df.limit(0)).count() == 0
+    assert all(r.host_in == "clash" for r in got.values())
 
 
 def test_url_templates(spark):
@@ -101,6 +102,85 @@ def test_url_templates(spark):
     assert all((r.verdict == "block") == ("/bad/" in r.url) for r in out)
 
 
+def brute_templates(rows, max_children, min_support, z, weight, reject, evidence):
+    """The tree of url_filters for (host, segments, label) URLs: blocked or not, URL by URL."""
+    import math
+    from collections import Counter, defaultdict
+
+    gen = [list(s) for _, s, _ in rows]
+    while True:
+        support = Counter((h, tuple(g[:d]), g[d]) for (h, _, _), g in zip(rows, gen) for d in range(len(g)))
+        children = Counter((h, up) for h, up, _ in support)
+        rare = {k for k, n in support.items() if n < min_support and k[2] != "*" and children[k[:2]] > max_children}
+        if not rare:
+            break
+        gen = [["*" if (h, tuple(g[:d]), g[d]) in rare else g[d] for d in range(len(g))] for (h, _, _), g in zip(rows, gen)]
+    own, shared, sizes = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), Counter()
+    for (h, _, y), g in zip(rows, gen):
+        for d in range(len(g) + 1):
+            sizes[h, tuple(g[:d])] += 1
+            for t in (own[h, tuple(g[:d])], shared[tuple(g[:d])]):
+                t[0] += y is not None
+                t[1] += y or 0
+    groups = defaultdict(list)
+    for (h, p), (n, _) in own.items():
+        if n:
+            groups[h, p[:-1], len(p)].append((h, p))
+    merged, todo = {}, list(groups.values())
+    while todo:
+        group = todo.pop()
+        gl, gb = (sum(own[k][i] for k in group) for i in (0, 1))
+        parts = defaultdict(list)
+        for k in group:
+            n, b = own[k]
+            share, rest = gb / gl, gl - n
+            gap, noise = (b / n - (gb - b) / rest, math.sqrt(share * (1 - share) * (1 / n + 1 / rest))) if rest else (0, 1)
+            parts["+" if gap > z * noise else "-" if gap < -z * noise else "="].append(k)
+        if len(parts) == 1:
+            merged.update({k: (gl, gb) for k in group})
+        else:
+            todo.extend(parts.values())
+    labelled = [y for _, _, y in rows if y is not None]
+    out = []
+    for (h, _, _), g in zip(rows, gen):
+        p = (sum(labelled) + 1) / (len(labelled) + 2)
+        nodes = [tuple(g[:d]) for d in range(len(g) + 1)]
+        for t in nodes:
+            p = (shared[t][1] + weight * p) / (shared[t][0] + weight)
+        for t in nodes:
+            n, b = merged.get((h, t), (0, 0))
+            if not t and own[h, t][0] < evidence * sizes[h, t]:
+                n = b = 0
+            p = (b + weight * p) / (n + weight)
+        out.append(round(p, 12) >= reject)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_tree(spark, seed):
+    """Against a tree in plain Python: wildcards below wildcards, merged siblings, hosts without labels, deep paths."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(1500):
+        host = r.choice(["a.org", "b.org", "c.org", "d.net", "e.net"])
+        kind = r.choice(["ads", "news", "blog", "shop", "x", "y"])
+        path = [kind] + [r.choice(["p", "q"]) + r.choice("abcdefghijk") + r.choice("lmno") for _ in range(r.randrange(3))]
+        if i % 50 == 0:
+            path += ["deep"] * 40
+        bad = r.random() < {"ads": 0.95, "shop": 0.8, "x": 0.75, "blog": 0.5}.get(kind, 0.1) * (1 if host != "b.org" else 0.6)
+        rows.append((host, path, int(bad) if host != "e.net" and r.random() < (0.7 if host == "a.org" else 0.3) else None))
+    df = spark.createDataFrame([(i, f"http://{h}/{'/'.join(p)}", y) for i, (h, p, y) in enumerate(rows)], "i int, url string, y int").repartition(3)
+    options = {"max_children": 8, "min_support": 6, "z": 1.5, "weight": 10.0, "reject": 0.7, "evidence": 0.5}
+    got = {x.i: x.verdict == "block" for x in url_filters.filter_urls(df, rules=[], label=F.col("y"), **options).collect()}
+    want = brute_templates(rows, **options)
+    assert [got[i] for i in range(len(rows))] == want and 0.1 < sum(want) / len(want) < 0.9
+    assert any(w for w, (h, _, _) in zip(want, rows) if h == "e.net")  # a host without labels learns from the others
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="cookie-notice"><p>We use cookies, many, many of them, all the time, believe us.</p></div>
 <div id=content><div class="post"><h2>Caf&eacute; &amp; more</h2><p>First   paragraph, long enough to count, with commas, and <b>bold</b>
