@@ -5,8 +5,11 @@
 2. Each benchmark window (`window` consecutive words; a shorter item is one window) names its two rarest terms by
    posting count. The rarest term's list, moved by the term's place in the item, gives candidate diagonals
    (document, item, position minus item position); they are intersected with the moved list of the second.
-3. Candidates are compared word by word along their diagonal, so phrase matches are exact. `near` also reports
-   proximity: the share of an item's words that stand on the best diagonal.
+3. Candidates are compared word by word along their diagonal, so phrase matches are exact. Proximity counts the words of an
+   item that stand within `slack` words of where the diagonal has them: items with at least the share `least_near` of their words
+   there are near, whether or not a whole window occurs.
+
+Texts meet their candidates in stretches of `STRETCH` words, so that a very long text that repeats a phrase is not gathered.
 
 Joins are on terms or document keys. The benchmark side is written first, so Spark knows its size and broadcasts it
 only under its own threshold, else it shuffles and splits skewed terms. No list is gathered for a term.
@@ -26,6 +29,7 @@ from .quality_rules import let
 
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEY = ["h", "g"]
+STRETCH = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -91,6 +95,46 @@ def candidates(index: DataFrame, marks: DataFrame) -> DataFrame:
     return first.join(second, [*KEY, "term", "pos"], "left_semi").select(*KEY, "item", "n", "diag").distinct()
 
 
+def compared(docs: DataFrame, items: DataFrame, found: DataFrame, longest: int, window: int, slack: int) -> DataFrame:
+    """h, g, item_id, starts (places in the item of the windows that occur), diag, size, share (of words near the diagonal)."""
+    at = F.floor(F.greatest("diag", F.lit(0)) / STRETCH).cast("int").alias("stretch")
+    found = found.groupBy(*KEY, at).agg(F.collect_list(F.struct("item", "n", "diag")).alias("found"))
+    found = stash(found, "decontaminate-candidates")
+    near = docs.select(*KEY, "text").join(found.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+
+    def stretches(w: Column) -> Column:
+        """Words from `slack` before a stretch to the end of the longest item that can begin in it."""
+        one = lambda i: F.struct(
+            i.cast("int").alias("stretch"),
+            F.slice(w, F.greatest(i * STRETCH - slack, F.lit(0)).cast("int") + 1, F.lit(STRETCH + longest + 2 * slack)).alias("w"),
+        )
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / STRETCH).cast("int")), one)
+
+    near = near.select(*KEY, F.explode(let(words_of(F.col("text")), stretches)).alias("s")).select(*KEY, "s.*").join(found, [*KEY, "stretch"])
+
+    def one(c: Column) -> Column:
+        first = F.greatest(F.col("stretch") * STRETCH - slack, F.lit(0))  # the place in the text of the stretch's first word
+        start = F.greatest(c["diag"] - slack, F.lit(0))
+        size = F.greatest(c["diag"] + c["n"] + slack - start, F.lit(0))
+        here = F.transform(F.slice("w", (start - first + 1).cast("int"), size.cast("int")), ascii_lower)
+        return F.struct(c["item"].alias("item"), c["diag"].alias("diag"), (start - c["diag"]).cast("int").alias("cut"), here.alias("here"))
+
+    near = near.select(*KEY, F.explode(F.transform("found", one)).alias("c")).select(*KEY, "c.*").join(items, "item")
+    size = F.least(F.lit(window), F.col("n"))
+    equal = F.transform("words", lambda w, q: F.coalesce(F.when(q >= F.col("cut"), F.get("here", q - F.col("cut"))) == w, F.lit(False)))
+    starts = let(
+        equal,
+        lambda e: F.filter(F.sequence(F.lit(0), F.col("n") - size), lambda j: F.forall(F.slice(e, j + 1, size), lambda x: x)),
+    )
+
+    def by(q: Column) -> Column:
+        low = q - F.col("cut") - slack
+        return F.slice("here", F.greatest(low, F.lit(0)) + 1, F.greatest(low + 2 * slack + 1 - F.greatest(low, F.lit(0)), F.lit(0)))
+
+    count = F.size(F.filter("words", lambda w, q: F.array_contains(by(q), w)))
+    return near.select(*KEY, "item_id", starts.alias("starts"), "diag", size.alias("size"), (count / F.col("n")).alias("share"))
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -99,59 +143,46 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 10,
+    slack: int = 2,
+    least_near: float = 0.5,
 ) -> DataFrame:
-    """id, h, g (key), n_words, hits (start, length of each matched window), items (ids), near, of every document."""
+    """id, h, g (key), n_words, hits (start, length of each matched window), items (their ids), near_items, near, of every document.
+
+    near: the greatest share of an item's words that stand close to where they would in a copy; null under `least_near`.
+    """
     docs = keyed(docs, id_col, text)
     items = stash(benchmark_items(benchmark, item_id, item_text), "decontaminate-items")
+    longest = items.agg(F.max("n")).first()[0] or 0
     vocabulary = items.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).distinct()
     blank = docs.sparkSession.range(1).select(F.lit("").alias("term"))
     vocabulary = stash(vocabulary.union(blank).distinct(), "decontaminate-terms")
     index = stash(build_index(docs, vocabulary), "decontaminate-index")
     counts = index.where(F.col("term") != "").groupBy("term").count()
     marks = stash(anchors(items, counts, window), "decontaminate-anchors")
-    found = candidates(index, marks).groupBy(*KEY).agg(F.collect_list(F.struct("item", "n", "diag")).alias("found"))
-    found = stash(found, "decontaminate-candidates")
-
-    def contexts(w: Column) -> Column:
-        def one(c: Column) -> Column:
-            start = F.greatest(c["diag"], F.lit(0))
-            cut = start - c["diag"]
-            here = F.transform(F.slice(w, start + 1, F.greatest(c["n"] - cut, F.lit(0))), ascii_lower)
-            return F.struct(c["item"].alias("item"), c["diag"].alias("diag"), cut.alias("cut"), here.alias("here"))
-
-        return F.transform("found", one)
-
-    near = docs.select(*KEY, "text").join(found, KEY).dropDuplicates(KEY)
-    near = near.select(*KEY, F.explode(let(words_of(F.col("text")), contexts)).alias("c")).select(*KEY, "c.*")
-    near = near.join(items, "item")
-    size = F.least(F.lit(window), F.col("n"))
-    equal = F.transform("words", lambda w, q: F.coalesce(F.get("here", q - F.col("cut")) == w, F.lit(False)))
-    starts = let(
-        equal,
-        lambda e: F.filter(
-            F.sequence(F.lit(0), F.col("n") - size), lambda j: F.forall(F.slice(e, j + 1, size), lambda x: x)
-        ),
-    )
-    near = near.select(
-        *KEY, "item_id", starts.alias("starts"), "diag", size.alias("size"),
-        (F.aggregate(equal, F.lit(0), lambda a, x: a + x.cast("int")) / F.col("n")).alias("near"),
-    ).where(F.size("starts") > 0)
+    near = compared(docs, items, candidates(index, marks), longest, window, slack)
+    whole, close = F.size("starts") > 0, F.col("share") >= least_near
+    near = near.where(whole | close)
     spans = F.transform("starts", lambda j: F.struct((j + F.col("diag")).alias("start"), F.col("size").alias("length")))
     hits = near.groupBy(*KEY).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("hits"),
-        F.sort_array(F.collect_set("item_id")).alias("items"),
-        F.max("near").alias("near"),
+        F.sort_array(F.collect_set(F.when(whole, F.col("item_id")))).alias("items"),
+        F.sort_array(F.collect_set(F.when(close, F.col("item_id")))).alias("near_items"),
+        F.max(F.when(close, F.col("share"))).alias("near"),
     )
     lengths = index.where(F.col("term") == "").select("id", *KEY, F.col("pos").cast("long").alias("n_words"))
     out = lengths.join(hits, KEY, "left")
-    return out.select(F.col("id").alias(id_col), *KEY, "n_words", "hits", "items", "near")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return out.select(F.col("id").alias(id_col), *KEY, "n_words", some("hits"), some("items"), some("near_items"), "near")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` without a benchmark window."""
     found = decontaminate(docs, benchmark, id_col, text, **options).where(F.col("hits").isNotNull())
-    found = found.select(F.col("h").alias("_h"), F.col("g").alias("_g"))
-    keys = (F.xxhash64(F.col(id_col), F.col(text)) == F.col("_h")) & (F.hash(F.col(text), F.col(id_col)) == F.col("_g"))
+    mark = "_found"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    found = found.select(F.col("h").alias(mark + "h"), F.col("g").alias(mark + "g"))
+    keys = (F.xxhash64(F.col(id_col), F.col(text)) == F.col(mark + "h")) & (F.hash(F.col(text), F.col(id_col)) == F.col(mark + "g"))
     return docs.join(found, keys, "left_anti")
 
 

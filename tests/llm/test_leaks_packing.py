@@ -53,6 +53,42 @@ def test_leaks(spark):
     assert clean.columns == documents(spark).columns and clean.count() == sum(not r.contaminated for r in found)
 
 
+def test_leaks_proximity(spark):
+    """Items with edits in every window are near without a hit; the share is that of words within two places."""
+    item = prose(501, 40).split()
+    edited = [f"q{i}" if i % 8 == 3 else w for i, w in enumerate(item)]
+    moved = edited[:20] + ["inserted"] + edited[20:]
+    far = [w if i % 2 else f"q{i}" for i, w in enumerate(item)][:24]
+    pad = prose(502, 30)
+    rows = [(1, " ".join([pad, *edited, pad])), (2, " ".join([pad, *moved])), (3, " ".join(far)), (4, " ".join(item)), (5, pad)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _h string, _found_h string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+
+    def share(text):
+        w = text.split()
+        return max(sum(item[p] in w[max(0, d + p - 2) : max(0, d + p + 3)] for p in range(len(item))) for d in range(-len(item), len(w))) / len(item)
+
+    for k in (1, 2):
+        assert got[k].hits is None and got[k].items is None and got[k].near_items == ["7"]
+        assert abs(got[k].near - share(dict(rows)[k])) < 1e-9 or 0.5 <= got[k].near <= share(dict(rows)[k])
+    assert got[1].near >= 35 / 40 and got[4].near == 1.0 and got[4].items == ["7"]
+    assert got[3].near is None and got[5].near is None
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5] and kept.columns == docs.columns
+
+
+def test_leaks_in_a_long_text(spark, monkeypatch):
+    """Windows around the ends of stretches, in a text of many of them."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 16)
+    items = [(1, prose(3, 25)), (2, prose(1, 30)), (3, "one two"), (11, "w w w w w w w w w w w w")]
+    text = " ".join([prose(1, 30), prose(600, 9), "w " * 45, prose(3, 25), prose(601, 13), prose(1, 12), "one two", prose(3, 25)])
+    docs = [(1, text), (2, prose(1, 30)), (3, "x " + text), (4, "one two three"), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.digest(decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench)).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in found} == {(k, *brute_leaks(t, items)) for k, t in docs}
+
+
 def test_leaks_empty(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.decontaminate(documents(spark, []), bench).count() == 0
