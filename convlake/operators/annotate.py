@@ -19,16 +19,22 @@ def language_tag(text: Column, primary: list[str], secondary: list[str], distinc
     """primary, secondary, mixed or unknown by counts of lexicon words; of distinct words, or of all."""
     low = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
     low = F.array_distinct(low) if distinct else low
-    p, s = _hits(low, primary), _hits(low, secondary)
-    script = text.rlike(T.DEVANAGARI)
-    tag = F.when(script & (F.size(low) == 0), "other").when(F.size(low) == 0, "unknown")
-    tag = tag.when((p > 0) & (s > 0), F.when(p >= s, "primary").otherwise("mixed"))
-    return tag.when(p > 0, "primary").when(s > 0, "secondary").otherwise("unknown")
+    one = lambda w: F.struct(F.size(w).alias("n"), _hits(w, primary).alias("p"), _hits(w, secondary).alias("s"))
+
+    def tag(c: Column) -> Column:
+        n, p, s = c["n"], c["p"], c["s"]
+        out = F.when((n == 0) & text.rlike(T.DEVANAGARI), "other").when(n == 0, "unknown")
+        out = out.when((p > 0) & (s > 0), F.when(p >= s, "primary").otherwise("mixed"))
+        return out.when(p > 0, "primary").when(s > 0, "secondary").otherwise("unknown")
+
+    # words and counts are made once: each step binds what the next one reads
+    return F.transform(F.transform(F.array(low), one), tag)[0]
 
 
 def tone(text: Column, rules: list[Rule]) -> Column:
     """First matching rule; else neutral for up to four characters, casual for others."""
-    return first_match(F.lower(text), rules, "casual")
+    short = F.length(T.strip(text)) <= 4
+    return F.when(first_match(F.lower(text), rules, "") != "", first_match(F.lower(text), rules, "")).when(short, "neutral").otherwise("casual")
 
 
 def topic_scores(examples: DataFrame, key: str, prompt: str, target: str, context: str, topics: list[tuple]) -> DataFrame:
@@ -81,21 +87,6 @@ def dialogue_state(text: Column, n_turns: Column) -> Column:
     return F.when(n_turns <= 1, "opening").otherwise(first_match(F.lower(T.strip(text)), params.STATE, "ongoing"))
 
 
-def last_clause(text: Column) -> Column:
-    """What follows the last sentence end before the final one."""
-    parts = F.filter(F.split(T.strip(text), r"(?<=[.!?])\s+"), lambda x: x != "")
-    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-
-
-def intent(text: Column, previous: Column) -> Column:
-    """Two rules on the turn before, then the ordered patterns over the text (questions over its last clause)."""
-    low = F.lower(T.strip(text))
-    before = F.lower(F.coalesce(previous, F.lit("")))
-    yes = params.INTENT[4].column(low)
-    adjacent = F.when(yes & before.rlike(r"(^|[^a-z])(come|join|let us)[^a-z]"), "agreement").when(yes & before.contains("plan"), "planning")
-    return F.coalesce(adjacent, first_match(low, params.INTENT, "casual_chat"))
-
-
 def ambiguity(text: Column, nouns: list[str]) -> Column:
     """high for up to two words without a known noun, medium for up to five, else low."""
     n = F.size(T.words(text))

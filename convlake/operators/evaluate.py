@@ -7,38 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Response strategies by state, intent, ambiguity: first match.
-STRATEGIES = [
-    ("close", "state = 'closing'"), ("clarify", "ambiguity = 'high'"), ("answer", "intent = 'answer_request'"), ("agree", "intent = 'agreement'"),
-    ("coordinate", "intent IN ('planning', 'invitation')"), ("decline", "intent = 'disagreement'"), ("joke", "state = 'banter'"), ("acknowledge", "intent = 'information'"),
-    ("react", "intent = 'reaction'"),
-]
-TONES = [("warm", "state = 'closing'"), ("playful", "state = 'banter'"), ("direct", "topic = 'time'")]
-TEMPLATE = {"default": "Respond with {strategy} in a {tone} tone about {topic}."}
-
-
-def first_of(rules: list[tuple[str, str]], default: str) -> Column:
-    out = None
-    for label, condition in rules:
-        out = F.when(F.expr(condition), label) if out is None else out.when(F.expr(condition), label)
-    return out.otherwise(default)
-
-
-def first_of_sql(rules: list[tuple[str, str]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {c} THEN '{x}'" for x, c in rules) + f" ELSE '{default}' END"
-
-
-CONFIDENCE = "0.5 + CASE WHEN ambiguity = 'low' THEN 0.2 ELSE 0.0 END + CASE WHEN intent <> 'casual_chat' THEN 0.15 ELSE 0.0 END + CASE WHEN topic <> 'casual_chat' THEN 0.1 ELSE 0.0 END - CASE WHEN ambiguity = 'high' THEN 0.25 ELSE 0.0 END"
-
-
-def plan(context: DataFrame) -> DataFrame:
-    """Strategy, tone, confidence (in [0.1, 1]) and instruction for each analysed conversation."""
-    df = context.withColumns({"strategy": first_of(STRATEGIES, "engage"), "tone": first_of(TONES, "casual")})
-    confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.expr(CONFIDENCE).cast("double"))), 2)
-    line = F.format_string("Respond with %s in a %s tone about %s.", "strategy", "tone", "topic")
-    return df.withColumns({"confidence": confidence, "instruction": line})
-
-
 def similarity(a: Column, b: Column) -> dict[str, Column]:
     """Length ratio, word overlap, emoji and punctuation agreement, and their mean; both empty 1, one empty 0."""
     x, y = F.length(a), F.length(b)

@@ -114,9 +114,30 @@ def retrieve(queries: DataFrame, memories: DataFrame, persona: str, k: int = 5,
     return top_k(scored, "q_id", [F.desc("score"), F.desc_nulls_last("m_age_days"), F.col("m_id")], k)
 
 
-def select_policy(ranked: DataFrame, query: str, least: float = 0.45, most: int = 2) -> DataFrame:
-    """The first `most` memories of each query at or over `least`, as an array of ids."""
-    good = top_k(ranked.where(F.col("semantic") >= least), query, [F.desc("semantic"), F.col("m_id")], most)
+def search_score(q_embedding: Column, m_embedding: Column, q_words: Column, m_words: Column) -> Column:
+    """0.7 times the cosine of the vectors (0 where one is missing) and 0.3 times the word overlap."""
+    both = (F.size(q_embedding) > 0) & (F.size(m_embedding) > 0)
+    return 0.7 * F.when(both, cosine(q_embedding, m_embedding)).otherwise(0.0) + 0.3 * jaccard(q_words, m_words)
+
+
+def select_policy(
+    ranked: DataFrame, query: str, least: float = 0.45, most: int = 2, by: str = "semantic", topic: str | None = None, state: str | None = None
+) -> DataFrame:
+    """The first `most` memories of each query at or over `least` by the column `by`, as an array of ids.
+
+    topic: the query's topic; a memory with a topic (m_topic) must have the same one, or for small talk be general itself.
+    state: the query's state; closing conversations get none. Rows that a status column calls other than active are left out.
+    """
+    good = ranked.where(F.col(by) >= least)
+    if "status" in ranked.columns:
+        good = good.where("status = 'active'")
+    if state:
+        good = good.where(~F.lower(state).eqNullSafe("closing"))
+    if topic:
+        wanted, own = F.lower(F.coalesce(topic, F.lit(""))), F.lower(F.coalesce("m_topic", F.lit("")))
+        loose = wanted.isin("casual_chat", "other")
+        good = good.where((own == "") | F.when(loose, own.isin("casual_chat", "general")).otherwise(own == wanted))
+    good = top_k(good, query, [F.desc(by), F.col("m_id")], most)
     ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "m_id"))), lambda x: x["m_id"])
     return good.groupBy(query).agg(ids.alias("memory_ids"))
 

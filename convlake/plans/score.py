@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from .. import params
 from ..operators import annotate as A
+from ..operators import decide as D
+from ..operators import memory as M
 from ..operators import windows as N
 
 NOUNS = ["order", "plan", "price", "page", "la", "the"]
@@ -21,12 +23,33 @@ def context_analysis(turns: DataFrame, key: str = "conv_id", order: str = "turn"
     )
     last = last.where("r = 1")
     text = F.coalesce(F.when(F.col("role") == "user", F.col("text")), "last_user", "text")
+    last = D.intent(last.withColumn("said", text), F.col("said"), F.col("before"))
+    said = F.col("said")
     last = last.select(
         key,
-        text.alias("last_user_message"),
-        A.dialogue_state(text, F.col("n")).alias("state"),
-        A.intent(text, F.col("before")).alias("intent"),
-        A.ambiguity(text, NOUNS).alias("ambiguity"),
+        said.alias("last_user_message"),
+        A.dialogue_state(said, F.col("n")).alias("state"),
+        "intent",
+        A.ambiguity(said, NOUNS).alias("ambiguity"),
+        "low",
+        F.col("before").alias("activity"),
     )
     shape = N.alternation(turns, key, order).select(key, "depth", "rate")
     return last.join(shape, key).join(A.window_topic(turns, key, order, params.TOPICS), key)
+
+
+def plan_conversations(turns: DataFrame, ranked: DataFrame | None = None, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """One response plan for each conversation.
+
+    ranked: memories found for each (`key`, m_id, m_topic, score), of which the selection policy keeps what fits; none for
+    closing conversations. A conversation without a text gets the fallback: state ongoing, intent unknown.
+    """
+    context = context_analysis(turns, key, order)
+    if ranked is not None:
+        known = ranked.join(context.select(key, "state", F.col("topic").alias("q_topic")), key)
+        chosen = M.select_policy(known, key, by="score", topic="q_topic", state="state")
+        context = context.join(chosen, key, "left")
+    else:
+        context = context.withColumn("memory_ids", F.lit(None).cast("array<long>"))
+    context = context.withColumn("use_memory", F.coalesce(F.size("memory_ids") > 0, F.lit(False)))
+    return D.plan(context.fillna({"low": "", "state": "ongoing", "intent": "unknown", "ambiguity": "high", "activity": ""}))

@@ -8,6 +8,7 @@ from . import params
 from .functions import text as T
 from .functions.rules import first_match_sql
 from .operators import annotate as A
+from .operators import decide as D
 from .operators import windows as N
 from .registry import query, table
 
@@ -34,12 +35,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", A.language_tag(F.col("text"), params.PRIMARY, params.SECONDARY, False).alias("tag"))
 
 
-@query("a03_tone", f"SELECT doc_id, {first_match_sql('lower(text)', params.TONE, 'casual')} AS tone FROM documents")
+@query("a03_tone", f"SELECT doc_id, CASE WHEN t <> '' THEN t WHEN length({_STRIP}) <= 4 THEN 'neutral' ELSE 'casual' END AS tone FROM (SELECT doc_id, text, {first_match_sql('lower(text)', params.TONE, '')} AS t FROM documents)")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", A.tone(F.col("text"), params.TONE).alias("tone"))
 
 
-@query("a04_tone_second", f"SELECT doc_id, {first_match_sql('lower(text)', params.TONE_2, 'casual')} AS tone FROM documents")
+@query("a04_tone_second", f"SELECT doc_id, CASE WHEN t <> '' THEN t WHEN length({_STRIP}) <= 4 THEN 'neutral' ELSE 'casual' END AS tone FROM (SELECT doc_id, text, {first_match_sql('lower(text)', params.TONE_2, '')} AS t FROM documents)")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", A.tone(F.col("text"), params.TONE_2).alias("tone"))
 
@@ -161,9 +162,27 @@ def last_turns(spark, d):
     return df.where("r = 1").select("conv_id", "n", "text", "before")
 
 
-@query("a16_state_example", f"SELECT conv_id, turn, {first_match_sql(f'lower({_STRIP})', params.STATE, 'ongoing')} AS state FROM conversations")
+_WORDS = params.DECISION_WORDS
+_LOW = lambda c: rf"regexp_replace(lower(coalesce({c}, '')), '^\s+|\s+$', '', 'g')"
+_COUNT = lambda c: rf"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''))"
+_HAS = lambda c, name: f"regexp_matches({c}, '{_WORDS[name]}')"
+
+
+@query(
+    "a16_state_example",
+    f"""WITH t AS (SELECT conv_id, turn, text, row_number() OVER w - 1 AS depth, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
+      OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    l AS (SELECT conv_id, turn, depth, {_LOW('before')} AS u, {_LOW('text')} AS s FROM t)
+    SELECT conv_id, turn, CASE WHEN {_HAS('s', 'closing')} OR {_HAS('u', 'closing')} THEN 'closing' WHEN {_HAS('u', 'banter')} OR {_HAS('s', 'banter')} THEN 'banter'
+      WHEN {_HAS('s', 'agreed')} AND {_COUNT('s')} <= 4 THEN 'agreement' WHEN contains(u, '?') OR {_HAS('u', 'asks')} THEN 'inquiry'
+      WHEN depth <= 1 AND ({_HAS('u', 'opening')} OR {_COUNT('u')} <= 2) THEN 'opening' ELSE 'ongoing' END AS state FROM l""",
+)
 def _(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", A.first_match(F.lower(T.strip(F.col("text"))), params.STATE, "ongoing").alias("state"))
+    from pyspark.sql import Window as W
+
+    df = N.last_user(table(spark, d, "conversations"), "conv_id", "turn")
+    df = df.withColumn("depth", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
+    return df.select("conv_id", "turn", D.example_state(F.col("last_user"), F.col("text"), F.col("depth")).alias("state"))
 
 
 @query("a17_state_window", f"WITH {_LAST} SELECT conv_id, CASE WHEN n <= 1 THEN 'opening' ELSE {first_match_sql(f'lower({_STRIP})', params.STATE, 'ongoing')} END AS state FROM last")
@@ -171,14 +190,24 @@ def _(spark, d):
     return last_turns(spark, d).select("conv_id", A.dialogue_state(F.col("text"), F.col("n")).alias("state"))
 
 
-_YES = params.INTENT[4].sql(f"lower({_STRIP})")
-_INTENT = f"""CASE WHEN {_YES} AND regexp_matches(lower(coalesce(before, '')), '(^|[^a-z])(come|join|let us)[^a-z]') THEN 'agreement'
-    WHEN {_YES} AND contains(lower(coalesce(before, '')), 'plan') THEN 'planning' ELSE {first_match_sql(f'lower({_STRIP})', params.INTENT, 'casual_chat')} END"""
+#: low, clause, before and n_words of the last turns, and their intent.
+_UTTER = rf"""u0 AS (SELECT conv_id, n, text, {_LOW('text')} AS low, {_LOW('before')} AS before FROM last),
+    u AS (SELECT *, {_COUNT('low')} AS n_words, coalesce(list_filter(list_transform(regexp_split_to_array(low, '[.!?;\n]+'), lambda x: trim(x)), lambda x: x <> '')[-1], low) AS clause FROM u0),
+    i AS (SELECT *, {D.first_of_sql(params.INTENT_RULES, 'unknown')} AS intent FROM u)"""
+
+
+@query("a18_intent", f"WITH {_LAST}, {_UTTER} SELECT conv_id, intent FROM i")
+def _(spark, d):
+    return D.intent(last_turns(spark, d), F.col("text"), F.col("before")).select("conv_id", "intent")
 
 
-@query("a18_intent", f"WITH {_LAST} SELECT conv_id, {_INTENT} AS intent FROM last")
+@query(
+    "a18_intent_all",
+    f"WITH last AS (SELECT conv_id * 1000 + turn AS conv_id, 1 AS n, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), {_UTTER} SELECT conv_id AS k, intent FROM i",
+)
 def _(spark, d):
-    return last_turns(spark, d).select("conv_id", A.intent(F.col("text"), F.col("before")).alias("intent"))
+    p = pairs(spark, d)
+    return D.intent(p, F.col("target"), F.col("prompt")).select("k", "intent")
 
 
 _NOUNS = ["order", "plan", "price", "page", "la", "the"]

@@ -9,8 +9,9 @@ from . import params
 from .operators import evaluate as E
 from .operators import memory as M
 from .operators import relational as R
-from .plans.score import context_analysis
-from .queries_annotate import _AMBIGUITY, _INTENT, _STRIP, last_turns, pairs
+from .operators import decide as D
+from .plans.score import plan_conversations
+from .queries_annotate import _AMBIGUITY, _LAST, _STRIP, _UTTER, last_turns, pairs
 from .functions.rules import first_match_sql
 from .operators import annotate as A
 from .registry import query, table
@@ -134,11 +135,23 @@ def _(spark, d):
     return M.touch(base, e, "user_id", "seen")
 
 
-@query("m16_selection", f"WITH {_SCORED} SELECT q_id, string_agg(m_id::VARCHAR, ',' ORDER BY rank) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(semantic, 9) DESC, m_id) AS rank FROM s WHERE round(semantic, 9) >= 0.45) WHERE rank <= 2 GROUP BY 1")
+@query(
+    "m16_selection",
+    f"""WITH {_SCORED}, p AS (SELECT *, CASE q_id % 3 WHEN 0 THEN 'casual_chat' WHEN 1 THEN 'odd' ELSE 'even' END AS q_topic, CASE m_id % 4 WHEN 0 THEN 'even' WHEN 1 THEN 'odd' WHEN 2 THEN 'general' END AS m_topic FROM s),
+    g AS (SELECT * FROM p WHERE round(semantic, 9) >= 0.1 AND q_id % 7 <> 0 AND (m_topic IS NULL OR CASE WHEN q_topic = 'casual_chat' THEN m_topic IN ('casual_chat', 'general') ELSE m_topic = q_topic END))
+    SELECT q_id, string_agg(m_id::VARCHAR, ',' ORDER BY rank) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(semantic, 9) DESC, m_id) AS rank FROM g) WHERE rank <= 2 GROUP BY 1""",
+)
 def _(spark, d):
     q, m = _scored(spark, d)
     df = q.join(m, "label").where("q_id <> m_id").withColumn("semantic", F.round(R.cosine(F.col("q_embedding"), F.col("m_embedding")), 9))
-    return M.select_policy(df, "q_id").select("q_id", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
+    three, four = F.col("q_id") % 3, F.col("m_id") % 4
+    df = df.withColumns({
+        "q_topic": F.when(three == 0, "casual_chat").when(three == 1, "odd").otherwise("even"),
+        "m_topic": F.when(four == 0, "even").when(four == 1, "odd").when(four == 2, "general"),
+        "state": F.when(F.col("q_id") % 7 == 0, "closing").otherwise("ongoing"),
+    })
+    chosen = M.select_policy(df, "q_id", least=0.1, topic="q_topic", state="state")
+    return chosen.select("q_id", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("m17_changes", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'")
@@ -152,44 +165,54 @@ def _(spark, d):
 
 # --- decisions and evaluation ------------------------------------------------------------------------
 
-_CTX = f"""last AS (SELECT conv_id, n, text, before FROM (SELECT conv_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, count(*) OVER (PARTITION BY conv_id) AS n,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1), x AS (SELECT conv_id,
-    CASE WHEN n <= 1 THEN 'opening' ELSE {first_match_sql(f'lower({_STRIP})', params.STATE, 'ongoing')} END AS state, {_INTENT} AS intent, {_AMBIGUITY} AS ambiguity,
-    CASE WHEN n % 2 = 0 THEN 'time' ELSE 'casual_chat' END AS topic FROM last)"""
+_CTX = f"""{_LAST}, {_UTTER}, c AS (SELECT conv_id, low, intent, before AS activity, n AS depth, n % 3 = 0 AS use_memory,
+    CASE WHEN n <= 1 THEN 'opening' ELSE {first_match_sql(f'lower({_STRIP})', params.STATE, 'ongoing')} END AS state, {_AMBIGUITY} AS ambiguity,
+    CASE conv_id % 5 WHEN 0 THEN 'time' WHEN 1 THEN 'places' WHEN 2 THEN 'things' WHEN 3 THEN 'people' ELSE 'casual_chat' END AS topic FROM i),
+    x AS (SELECT *, {D.first_of_sql(params.STRATEGY_RULES, 'react')} AS strategy, {D.first_of_sql(params.TONE_RULES, 'casual')} AS tone FROM c)"""
 _NOUNS = ["order", "plan", "price", "page", "la", "the"]
 
 
-def _context(spark, d):
-    t = F.col("text")
-    topic = F.when(F.col("n") % 2 == 0, "time").otherwise("casual_chat")
-    return last_turns(spark, d).select(
-        "conv_id", A.dialogue_state(t, F.col("n")).alias("state"), A.intent(t, F.col("before")).alias("intent"), A.ambiguity(t, _NOUNS).alias("ambiguity"), topic.alias("topic")
-    )
+def _plans(spark, d):
+    """Plans of all conversations; the table has no topics and no memories of its own, so they follow from id and length."""
+    t, k = F.col("text"), F.col("conv_id") % 5
+    topic = F.when(k == 0, "time").when(k == 1, "places").when(k == 2, "things").when(k == 3, "people").otherwise("casual_chat")
+    df = D.intent(last_turns(spark, d), t, F.col("before"))
+    return D.plan(
+        df.select(
+            "conv_id", "low", "intent", F.col("before").alias("activity"), F.col("n").alias("depth"), (F.col("n") % 3 == 0).alias("use_memory"),
+            A.dialogue_state(t, F.col("n")).alias("state"), A.ambiguity(t, _NOUNS).alias("ambiguity"), topic.alias("topic"),
+        )
+    )
 
 
-@query("e01_strategy", f"WITH {_CTX} SELECT conv_id, {E.first_of_sql(E.STRATEGIES, 'engage')} AS strategy FROM x")
+@query("e01_strategy", f"WITH {_CTX} SELECT conv_id, strategy FROM x")
 def _(spark, d):
-    return E.plan(_context(spark, d)).select("conv_id", "strategy")
+    return _plans(spark, d).select("conv_id", "strategy")
 
 
-@query("e02_tone", f"WITH {_CTX} SELECT conv_id, {E.first_of_sql(E.TONES, 'casual')} AS tone FROM x")
+@query("e02_tone", f"WITH {_CTX} SELECT conv_id, tone FROM x")
 def _(spark, d):
-    return E.plan(_context(spark, d)).select("conv_id", "tone")
+    return _plans(spark, d).select("conv_id", "tone")
+
+
+_SURE = D.confidence("intent", "ambiguity", "depth", "strategy", "use_memory")
 
 
-@query("e03_confidence", f"WITH {_CTX} SELECT conv_id, round(least(1.0, greatest(0.1, ({E.CONFIDENCE})::DOUBLE)), 2) AS confidence FROM x")
+@query("e03_confidence", f"WITH {_CTX} SELECT conv_id, ({_SURE})::DOUBLE AS confidence FROM x")
 def _(spark, d):
-    return E.plan(_context(spark, d)).select("conv_id", "confidence")
+    return _plans(spark, d).select("conv_id", "confidence")
 
 
-@query("e04_instruction", f"WITH {_CTX} SELECT conv_id, 'Respond with ' || {E.first_of_sql(E.STRATEGIES, 'engage')} || ' in a ' || {E.first_of_sql(E.TONES, 'casual')} || ' tone about ' || topic || '.' AS instruction FROM x")
+@query("e04_instruction", f"WITH {_CTX} SELECT conv_id, {D.instruction_sql()} AS instruction FROM x")
 def _(spark, d):
-    return E.plan(_context(spark, d)).select("conv_id", "instruction")
+    return _plans(spark, d).select("conv_id", "instruction")
 
 
 @query("e05_plan_job")
 def _(spark, d):
-    return E.plan(context_analysis(table(spark, d, "conversations")))
+    turns = table(spark, d, "conversations")
+    facts = M.extract_facts(turns, "conv_id", "turn").select("conv_id", F.col("turn").alias("m_id"), F.col("topic").alias("m_topic"), F.lit(0.6).alias("score"))
+    return plan_conversations(turns, facts)
 
 
 _PAIR = """p AS (SELECT conv_id, turn, a, b FROM (SELECT conv_id, turn, text AS b, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations) WHERE a IS NOT NULL),
