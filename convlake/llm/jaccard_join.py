@@ -134,11 +134,21 @@ def shown_counts(docs: DataFrame, size: int) -> DataFrame:
             node, count = np.append(node, got), np.append(count, np.ones(len(got), dtype=np.uint64))
         if len(node):
             names, of = np.unique(node, return_inverse=True)
-            yield pd.DataFrame({"s1": names.view(np.int64), "shared": np.bincount(of, weights=count).astype(np.int64)})
+            count = np.bincount(of, weights=count).astype(np.uint64)
+            to = (names % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[by])) + 1
+            yield from _packed(["bucket", "data"], [(int(to[p[0]]), names[p].tobytes() + count[p].tobytes()) for p in np.split(by, cuts)])
+
+    def total(batches):
+        got = [np.frombuffer(data, dtype=np.uint64).reshape(2, -1) for b in batches for data in b["data"]]
+        if got:
+            names, of = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+            yield pd.DataFrame({"s1": names.view(np.int64), "shared": np.bincount(of, weights=np.concatenate([x[1] for x in got])).astype(np.int64)})
 
     packed = docs.select("text").mapInPandas(show, "bucket int, told boolean, data binary")
-    counts = packed.repartition(parts, "bucket").mapInPandas(meet, "s1 long, shared long")
-    return counts.groupBy("s1").agg(F.sum("shared").alias("shared"))
+    counts = packed.repartition(parts, "bucket").mapInPandas(meet, "bucket int, data binary")
+    return counts.repartition(parts, "bucket").mapInPandas(total, "s1 long, shared long")
 
 
 def shared_shingles(docs: DataFrame, size: int, rows: int, longest: int, most: int) -> np.ndarray:
@@ -290,12 +300,17 @@ class Lists:
         # the longest lists are probed, not merged; a quarter of the needed occurrences must still come from short ones
         long = min(need - 1, 3 * need // 4)
         short, rest = names[order[: n - long]], names[order[n - long :]]
-        others = short[self.start[short + 1] - self.start[short] > 1]  # the lists of one are x alone
-        merged = merge_skip([self.owner[self.start[s] : self.start[s + 1]].tolist() for s in others], need - long)
-        found, count = (np.array(list(v), dtype=np.int64) for v in (merged.keys(), merged.values()))
-        able = group[found] != group[x]
-        able &= (5 * self.sizes[found] >= 4 * n) & (4 * self.sizes[found] <= 5 * n)
-        found, overlap = found[able], count[able]
+        runs = self.start[short + 1] - self.start[short]
+        last = np.cumsum(runs)
+        at = np.arange(last[-1]) - np.repeat(last - runs, runs) + np.repeat(self.start[short], runs)
+        able = (group != group[x]) & (5 * self.sizes >= 4 * n) & (4 * self.sizes <= 5 * n)
+        owner = self.owner[at]
+        keep = able[owner]
+        ends = np.cumsum(np.concatenate(([0], keep)))[last].tolist()
+        owner = owner[keep].tolist()
+        lists = [owner[i:j] for i, j in zip([0, *ends[:-1]], ends) if i < j]
+        merged = merge_skip(lists, need - long)
+        found, overlap = (np.array(list(v), dtype=np.int64) for v in (merged.keys(), merged.values()))
         if len(found) and len(rest):
             want = rest[:, None] * len(self.sets) + found[None, :]
             place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
@@ -362,7 +377,7 @@ def group_documents(
     id_col: str = "doc_id",
     text: str = "text",
     size: int = 5,
-    block: int = 3000,
+    block: int = 1000,
     pivots: int = 24,
     sample_rows: int = 8000,
     sample_longest: int = 50_000,
@@ -391,7 +406,7 @@ def group_documents(
     families = connected_components(family_links(texts, size, shared), "jaccard-families")
     member = stash(near.join(families, F.col("s1") == F.col("node")).select("id", F.col("root").alias("family")), "jaccard-members")
     sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    groups = max(1, -(-member.count() // 1000))
+    groups = max(1, -(-member.count() // block))
     # block: several small families, or a part of a large one
     own = F.when(F.col("m") <= block, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(
         F.xxhash64("family", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)))
