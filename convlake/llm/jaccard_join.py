@@ -11,8 +11,8 @@
    task with one shingle and near sizes become a chain and send one interval, so a shingle that a third of all
    documents has sends one row for each task. Shared shingles tie documents to families (too large rather than too small).
 4. The texts of families meet, some families to a block. In a block, DivideSkip parts the inverted lists of a query document:
-   the short ones are merged by a heap that skips what cannot reach the overlap any more, the long ones are probed by
-   binary search for the candidates left; each is decided on exact counts. Documents of one known group are not compared again.
+   the short ones are merged by a heap that skips what cannot reach the overlap any more (counted at once where they
+   hold more than `MERGED` entries), the long ones are probed by binary search for the candidates left; each is decided on exact counts. Documents of one known group are not compared again.
 5. A family beyond `block` documents is split into blocks, each with a few pivots of the whole family. Afterwards every
    document outside the family's largest group is a query against all blocks. So no group is one task's work, and no
    link between different groups is lost.
@@ -278,6 +278,9 @@ def merge_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
+MERGED = 2000  # so many entries of short lists are merged by a heap; more are counted in one go, with the same result
+
+
 class Lists:
     """Inverted lists of the sets of one block, for T-occurrence search."""
 
@@ -306,11 +309,16 @@ class Lists:
         able = (group != group[x]) & (5 * self.sizes >= 4 * n) & (4 * self.sizes <= 5 * n)
         owner = self.owner[at]
         keep = able[owner]
-        ends = np.cumsum(np.concatenate(([0], keep)))[last].tolist()
-        owner = owner[keep].tolist()
-        lists = [owner[i:j] for i, j in zip([0, *ends[:-1]], ends) if i < j]
-        merged = merge_skip(lists, need - long)
-        found, overlap = (np.array(list(v), dtype=np.int64) for v in (merged.keys(), merged.values()))
+        owner, least = owner[keep], need - long
+        if len(owner) <= MERGED:
+            ends = np.cumsum(np.concatenate(([0], keep)))[last].tolist()
+            owner = owner.tolist()
+            merged = merge_skip([owner[i:j] for i, j in zip([0, *ends[:-1]], ends) if i < j], least)
+            found, overlap = (np.array(list(v), dtype=np.int64) for v in (merged.keys(), merged.values()))
+        else:
+            count = np.bincount(owner, minlength=len(self.sets))
+            found = np.flatnonzero(count >= least)
+            overlap = count[found]
         if len(found) and len(rest):
             want = rest[:, None] * len(self.sets) + found[None, :]
             place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
@@ -377,7 +385,7 @@ def group_documents(
     id_col: str = "doc_id",
     text: str = "text",
     size: int = 5,
-    block: int = 1000,
+    block: int = 3000,
     pivots: int = 24,
     sample_rows: int = 8000,
     sample_longest: int = 50_000,
@@ -406,7 +414,7 @@ def group_documents(
     families = connected_components(family_links(texts, size, shared), "jaccard-families")
     member = stash(near.join(families, F.col("s1") == F.col("node")).select("id", F.col("root").alias("family")), "jaccard-members")
     sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    groups = max(1, -(-member.count() // block))
+    groups = max(1, -(-member.count() // 1000))
     # block: several small families, or a part of a large one
     own = F.when(F.col("m") <= block, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(
         F.xxhash64("family", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)))

@@ -237,3 +237,27 @@ def test_merge_skip():
         least = int(rng.integers(1, 7))
         counts = collections.Counter(x for v in lists for x in v)
         assert jaccard_join.merge_skip(lists, least) == {k: n for k, n in counts.items() if n >= least}
+
+
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_block_groups_by_heap_and_by_count(monkeypatch, most):
+    """Both ways to merge the short lists give the groups of all pairs."""
+    monkeypatch.setattr(jaccard_join, "MERGED", most)
+    rng = np.random.default_rng(8)
+    sets = []
+    for family in range(4):
+        base = rng.choice(10_000, 60, replace=False) + 10_000 * (family // 2)
+        for _ in range(25):
+            s = base.copy()
+            k = int(rng.integers(0, 16))
+            s[rng.choice(60, k, replace=False)] = rng.integers(50_000, 90_000, k)
+            sets.append(np.unique(s[: int(rng.integers(48, 61))]).astype(np.uint64))
+    got = jaccard_join.local_groups(sets)
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) > 4 and len({(a, b) for a, b in zip(root, got.tolist())}) == len(set(root)) == len(set(got.tolist()))
