@@ -37,7 +37,7 @@ SIZE = 512  # of a content vector
 
 
 def features(docs: DataFrame, id_col: str, text: str, source: str, lang: str, n_chars: str, whole: bool = False) -> DataFrame:
-    """id (with `whole`, a struct of the row), text, then TEXT and META features as doubles."""
+    """id and text (with `whole`, a struct of the row alone), then TEXT and META features as doubles."""
     t = F.coalesce(F.col(text), F.lit(""))
     distinct = let(F.split(t, SPACES), lambda w: F.size(F.array_distinct(w)) / F.size(w))
     hashed = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(n))
@@ -65,7 +65,7 @@ def features(docs: DataFrame, id_col: str, text: str, source: str, lang: str, n_
         "marks": F.col("marks") / words,
         "distinct": F.col("distinct"),
     }
-    return df.select("id", "text", *[figures[c].cast("double").alias(c) for c in TEXT], *[F.col(c).cast("double") for c in META])
+    return df.select("id", *([] if whole else ["text"]), *[figures[c].cast("double").alias(c) for c in TEXT], *[F.col(c).cast("double") for c in META])
 
 
 def content(texts: list[str | None]) -> np.ndarray:
@@ -276,7 +276,8 @@ def columns_of(columns: dict[str, str]) -> dict[str, str]:
     return {"text": "text", "source": "source", "lang": "lang", "n_chars": "n_chars"} | columns
 
 
-def _score(figures: DataFrame, judge: Judge | None) -> DataFrame:
+def _score(figures: DataFrame, judge: Judge | None, inside: str | None = None) -> DataFrame:
+    """inside: the field of id that is the text, where it is not a column."""
     shared = figures.sparkSession.sparkContext.broadcast(judge)
     names = ["id", "text_score", "meta_score", "score", "kept"]
 
@@ -286,8 +287,9 @@ def _score(figures: DataFrame, judge: Judge | None) -> DataFrame:
             one = np.ones(b.num_rows)
             a = m = s = one
             if judge and b.num_rows:
-                x = np.column_stack([b.column(i + 2).to_numpy(zero_copy_only=False) for i in range(len(TEXT) + len(META))])
-                a, m, s = judge.scores(x, content(b.column(1).to_pylist()))
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in [*TEXT, *META]])
+                texts = b.column(0).field(b.column(0).type.get_field_index(inside)) if inside else b.column("text")
+                a, m, s = judge.scores(x, content(texts.to_pylist()))
             kept = s >= (judge.threshold if judge else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (a, m, s, kept))], names=names)
 
@@ -305,7 +307,7 @@ def keep_good(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", **co
     """The rows of `docs` that are kept, with all their columns."""
     small_batches(docs.sparkSession)
     figures = features(docs, id_col, whole=True, **columns_of(columns))
-    return _score(figures, judge).where("kept").select("id.*")
+    return _score(figures, judge, columns_of(columns)["text"]).where("kept").select("id.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
