@@ -16,9 +16,16 @@ FORMATS = [
     "d/M/yy, H:mm", "d/M/yyyy, H:mm", "M/d/yy, H:mm", "M/d/yyyy, H:mm", "d/M/yy, H:mm:ss", "d/M/yyyy, H:mm:ss",
     "yyyy-MM-dd, H:mm", "yyyy-MM-dd H:mm:ss",
 ]
-MEDIA = ["<Media omitted>", "image omitted", "video omitted", "audio omitted", "sticker omitted", "document omitted", "GIF omitted", "Contact card omitted", "file attached"]
+#: Whole messages of these kinds, and what a notice holds; matched without regard to case.
+MEDIA = [
+    "<Media omitted>", "image omitted", "video omitted", "audio omitted", "sticker omitted", "GIF omitted", "document omitted",
+    "Contact card omitted", r"Location: https://maps\.google\.com.*",
+]
 DELETED = ["This message was deleted", "You deleted this message"]
-SYSTEM = ["end-to-end encrypted", "created group", "added", "left", "changed the subject", "security code changed", "missed voice call"]
+SYSTEM = [
+    "Messages and calls are end-to-end encrypted", "^Waiting for this message", "security code changed", "changed their phone number",
+    "changed the subject to", "created group", "added you",
+]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,13 +45,13 @@ def timestamp(raw: Column) -> Column:
 
 def message_type(speaker: Column, text: Column) -> Column:
     body = T.strip(F.coalesce(text, F.lit("")))
-    any_of = lambda xs: F.lower(body).rlike("|".join(x.lower() for x in xs))
+    whole = lambda xs: body.rlike(r"(?is)^(?:" + "|".join(xs) + r")\z")
     return (
         F.when(speaker == "SYSTEM", "system")
         .when(body == "", "empty")
-        .when(any_of(MEDIA), "media")
-        .when(any_of(DELETED), "deleted")
-        .when(any_of(SYSTEM[:1]), "system")
+        .when(whole(MEDIA), "media")
+        .when(whole(DELETED), "deleted")
+        .when(body.rlike("(?i)" + "|".join(SYSTEM)), "system")
         .when(body.rlike(r"^https?://\S+$"), "url")
         .otherwise("text")
     )
@@ -66,9 +73,11 @@ def parse(lines: DataFrame, persona: str | None = None) -> tuple[DataFrame, Data
     out = df.where("_m > 0").groupBy("path", "_m").agg(F.min("line_no").alias("line_number"), F.min_by("_raw", "line_no").alias("raw_timestamp"), parts.alias("_p"))
     body = F.array_join(F.transform("_p", lambda p: p["t"]), "\n")
     out = out.withColumn("_b", body)
-    named = F.instr("_b", ": ") > 0
-    speaker = F.when(named, F.split_part("_b", F.lit(": "), F.lit(1))).otherwise("SYSTEM")
-    text = F.when(named, F.expr("substring(_b, instr(_b, ': ') + 2)")).otherwise(F.col("_b"))
+    # the speaker stands on the header's line, whatever follows it
+    out = out.withColumn("_h", F.col("_p")[0]["t"])
+    named = F.instr("_h", ": ") > 0
+    speaker = F.when(named, F.split_part("_h", F.lit(": "), F.lit(1))).otherwise("SYSTEM")
+    text = F.when(named, F.expr("substring(_b, instr(_h, ': ') + 2)")).otherwise(F.col("_b"))
     out = out.withColumns({"speaker": speaker, "text": text, "timestamp": timestamp(F.col("raw_timestamp"))})
     out = out.withColumns({
         "message_type": message_type(F.col("speaker"), F.col("text")),
@@ -77,4 +86,4 @@ def parse(lines: DataFrame, persona: str | None = None) -> tuple[DataFrame, Data
         "contains_devanagari": F.col("text").rlike(T.DEVANAGARI),
         "is_persona": F.col("speaker").eqNullSafe(F.lit(persona)),
     })
-    return out.drop("_p", "_m", "_b"), orphans
+    return out.drop("_p", "_m", "_b", "_h"), orphans

@@ -36,6 +36,22 @@ def test_messages(chat):
     assert m[8].timestamp is None and m[8].raw_timestamp.startswith("14.02.2025")
 
 
+def test_message_types(spark, tmp_path):
+    bodies = [
+        ("Bo: image omitted", "media"), ("Bo: I saw image omitted", "text"), ("Bo: Location: https://maps.google.com/?q=1", "media"), ("Bo: THIS message was deleted", "deleted"),
+        ("Bo: he said This message was deleted", "text"), ("Bo: your security code changed today", "system"), ("Bo: Waiting for this message", "system"),
+        ("Bo: I am Waiting for this message", "text"), ("Bo: www.x.example", "text"), ("Bo: http://x.example/a b", "text"), ("Bo:  ", "empty"),
+    ]
+    lines = [f"01/02/2025, 10:{i:02d} - {b}" for i, (b, _) in enumerate(bodies)]
+    lines += ["01/02/2025, 11:00 - Ana created group", "more: of the notice"]
+    (tmp_path / "b.txt").write_text("\n".join(lines), encoding="utf-8")
+    m, _ = chat_export.parse(chat_export.lines(spark, str(tmp_path)))
+    got = {r.line_number: r for r in m.collect()}
+    assert [(b, got[i + 1].message_type) for i, (b, want) in enumerate(bodies) if got[i + 1].message_type != want] == []
+    last = got[len(bodies) + 1]
+    assert last.speaker == "SYSTEM" and last.message_type == "system" and last.text == "Ana created group\nmore: of the notice"
+
+
 def test_turns_of_exports(spark, tmp_path):
     from convlake.plans.build_corpus import build, from_exports
 
