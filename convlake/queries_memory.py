@@ -10,7 +10,7 @@ from .operators import evaluate as E
 from .operators import memory as M
 from .operators import relational as R
 from .operators import decide as D
-from .plans.score import plan_conversations
+from .plans.score import context_analysis, plan_conversations
 from .queries_annotate import _AMBIGUITY, _LAST, _STRIP, _UTTER, last_turns, pairs
 from .functions.rules import first_match_sql
 from .operators import annotate as A
