@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 # Element names of HTML and usual class words of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,6 +328,7 @@ def extract(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     small_batches(pages.sparkSession)
     kept = pages.select(F.struct(*keys).alias("row"), F.col(html).alias("html"))  # keys of any name
 
+    @lean
     def run(batches):
         for b in batches:
             text = [main_text(x) for x in b.column(1).to_pylist()]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_sets, small_batches, stash, text_chunks
+from .common import lean, mix, release, shingle_sets, small_batches, stash, text_chunks
 from .graph import connected_components, forest
 
 
@@ -48,6 +48,7 @@ def _sets(texts, size: int):
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """id, n (set size), s1 and s2 (128-bit signature of the set)."""
 
+    @lean
     def run(batches):
         for b in batches:
             n, s1, s2 = (np.zeros(b.num_rows, dtype=t) for t in (np.int64, np.uint64, np.uint64))
@@ -91,6 +92,7 @@ def shown_counts(docs: DataFrame, size: int) -> DataFrame:
     """s1, shared: how many of the hashes that a set shows are shown by other sets, too."""
     parts, buckets = _shuffle_size(docs.sparkSession)
 
+    @lean
     def show(batches):
         seen, held = set(), []
         for b in batches:
@@ -117,6 +119,7 @@ def shown_counts(docs: DataFrame, size: int) -> DataFrame:
         out.extend((int(to[p[0]]), False, hashes[p].tobytes() + node[p].tobytes()) for p in np.split(by, cuts))
         yield from _packed(["bucket", "told", "data"], out)
 
+    @lean
     def meet(batches):
         told, lists = [], []
         for b in batches:
@@ -140,6 +143,7 @@ def shown_counts(docs: DataFrame, size: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(to[by])) + 1
             yield from _packed(["bucket", "data"], [(int(to[p[0]]), names[p].tobytes() + count[p].tobytes()) for p in np.split(by, cuts)])
 
+    @lean
     def total(batches):
         got = [np.frombuffer(data, dtype=np.uint64).reshape(2, -1) for b in batches for data in b["data"]]
         if got:
@@ -157,6 +161,7 @@ def shared_shingles(docs: DataFrame, size: int, rows: int, longest: int, most: i
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     some = docs.where((place < rows / max(total, 1)) & (F.length("text") <= longest)).select("text")
 
+    @lean
     def run(batches):
         got = [s for b in batches for _, s in _sets(b["text"], size)]
         if got:
@@ -192,6 +197,7 @@ def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
     def pack(bucket, links, *arrays):
         return bucket, links, np.concatenate([np.asarray(x).astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64) for x in arrays]).tobytes()
 
+    @lean
     def postings(batches):
         late, seen, held = order.value, set(), []
         for b in batches:
@@ -227,6 +233,7 @@ def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
                 out.append(pack(int(to[part[0]]), False, shingle[part], node[part], low[part], high[part]))
         yield from _packed(["bucket", "links", "data"], out)
 
+    @lean
     def meet(batches):
         links, lists = [], []
         for b in batches:
@@ -357,7 +364,7 @@ def local_groups(sets: list[np.ndarray], queries: np.ndarray | None = None, pivo
 def _block_links(size: int):
     """Links (a, b) of the documents of one block: `family`, `id`, `text`, `ask` (whether a pair needs this row's partner)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["family", "id"], kind="stable").drop_duplicates(["family", "id", "ask"])
         all_sets = [s for _, s in _sets(pdf["text"], size)]
         ids, fam, asks = pdf["id"].to_numpy(), pdf["family"].to_numpy(), pdf["ask"].to_numpy()
@@ -377,6 +384,11 @@ def _block_links(size: int):
         none = np.zeros(0, dtype=np.int64)
         return pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = links(pdf)
+        release()
+        return found
+
     return run
 
 

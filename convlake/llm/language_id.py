@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, small_batches
+from .common import BASE, lean, mix, small_batches
 
 UNKNOWN = "und"
 GRAMS = (2, 3, 4)
@@ -213,6 +213,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).alias("_text"))
 
+    @lean
     def run(batches):
         for b in batches:
             got = [shared.value.predict(t) for t in b.column(len(keep)).to_pylist()]

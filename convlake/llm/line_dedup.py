@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, SPACE, mix, powers, prefix_hash, small_batches, span_hash, stash, text_chunks, with_spans
+from .common import LOWER_TABLE, SPACE, lean, mix, powers, prefix_hash, small_batches, span_hash, stash, text_chunks, with_spans
 
 #: Line breaks that end a unit, and whether a sentence mark does.
 UNITS = {"line": (1, False), "paragraph": (2, False), "sentence": (1, True)}
@@ -68,6 +68,7 @@ def units_of(texts: list[bytes], unit: str):
 def unit_table(docs: DataFrame, unit: str) -> DataFrame:
     """id, h, g, unit (place in the text), words, d1, d2 of every unit."""
 
+    @lean
     def run(batches):
         for b in batches:
             for first, part in text_chunks(b.column(3).to_pylist()):
@@ -112,6 +113,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unit: str
     spare = spare.where(F.aggregate("words", F.lit(0), lambda a, x: a + x) >= min_words)
     joined = with_spans(docs, stash(spare, "lines-spare"), "left", few).select("id", "text", "units", "words")
 
+    @lean
     def cut(batches):
         kind = pa.list_(pa.struct([("unit", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:

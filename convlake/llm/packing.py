@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches, stash
+from .common import lean, small_batches, stash
 
 FIXED = 16  # quanta are in 1/65536 of a token
 TAIL = 64
@@ -265,6 +265,7 @@ def tokenize(docs: DataFrame, id_col: str, text: str, source: str, path: str, en
     if own is not None:
         kept = kept.withColumn("queue", F.when(F.col("queue").isin(sorted(own)), F.col("queue")).otherwise(tail))
 
+    @lean
     def run(batches):
         tokens = encoder(path)
         end = np.array([end_id], dtype=tokens.kind).tobytes()
@@ -318,6 +319,7 @@ def pack(
     placed = table.join(offsets.select("task", "queue", "before"), ["task", "queue"])
     placed = placed.select("id", "queue", (F.col("place") + F.col("before")).alias("place"), "n", "ids")
 
+    @lean
     def run(batches):
         plan, number = shared.value
         for b in batches:

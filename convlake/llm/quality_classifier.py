@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, SPACE, mix, prefix_hash, small_batches, span_hash, text_chunks
+from .common import LOWER_TABLE, SPACE, lean, mix, prefix_hash, small_batches, span_hash, text_chunks
 from .quality_rules import SPACES, base_figures, let
 
 TEXT = ["word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "marks", "distinct"]
@@ -214,6 +214,7 @@ def vectors(figures: DataFrame) -> DataFrame:
     """`figures` with the content vector in place of the text."""
     names = [c for c in figures.columns if c != "text"]
 
+    @lean
     def run(batches):
         for b in batches:
             made = pa.array([x.tobytes() for x in content(b.column("text").to_pylist())], pa.binary())
@@ -281,6 +282,7 @@ def _score(figures: DataFrame, judge: Judge | None, inside: str | None = None) -
     shared = figures.sparkSession.sparkContext.broadcast(judge)
     names = ["id", "text_score", "meta_score", "score", "kept"]
 
+    @lean
     def run(batches):
         judge = shared.value
         for b in batches:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, small_batches, span_hash, stash, text_chunks, with_spans
+from .common import lean, mix, prefix_hash, small_batches, span_hash, stash, text_chunks, with_spans
 
 GRAM, SPARSE, DENSE, TAIL = 8, 48, 16, 50
 HOT, MOST = 8, 400_000  # contexts of one K that a task sends; rows that a task holds before it packs them
@@ -71,6 +71,7 @@ def parse(docs: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
     """kind, task, doc, h, g, data: names of documents, and families that are duplicate (full) or to be tested (test)."""
     schema = "bucket int, kind string, task int, data binary"
 
+    @lean
     def phrases(batches):
         task = TaskContext.get().partitionId()
         seen: dict[tuple[int, int], int] = {}
@@ -136,6 +137,7 @@ def parse(docs: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
         if names or copies:
             yield from rows()
 
+    @lean
     def meet(batches):
         lists, tasks, buckets_of = [], [], []
         for b in batches:
@@ -204,6 +206,7 @@ def spread(task: np.ndarray, spans: np.ndarray):
 def by_document(rows: DataFrame, parts: int) -> DataFrame:
     """task, doc, data (kind, first, last): the spans of a parsing task's documents meet, one row for each document."""
 
+    @lean
     def gather(batches):
         held: dict[int, list[np.ndarray]] = {}
         for b in batches:
@@ -231,6 +234,7 @@ SUFFIX = np.dtype([("v", "<u8"), ("task", "<i4"), ("doc", "<i4"), ("at", "<i4")]
 def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
     """task, data (spans of duplicate starts) for texts with their spans to test (`tests`)."""
 
+    @lean
     def suffixes(batches):
         kinds = pa.schema([("bucket", pa.int32()), ("told", pa.bool_()), ("data", pa.binary())])
 
@@ -272,6 +276,7 @@ def test_suffixes(texts: DataFrame, width: int, parts: int, buckets: int) -> Dat
         if held:
             yield from rows(np.concatenate(held))
 
+    @lean
     def meet(batches):
         told, lists = [], []
         for b in batches:
@@ -330,6 +335,7 @@ def dedup(
     full = stash(full, "suffix-spans")
     joined = with_spans(docs, full, "left", few).select("row", "text", "data")
 
+    @lean
     def cut(batches):
         for b in batches:
             sizes, removed, kept = [], [], []
