@@ -47,14 +47,27 @@ def release() -> None:
         trim(0)
 
 
-def lean(run):
-    """`run` for mapInArrow or mapInPandas, which gives its memory back at the end of each task.
+#: What a worker holds for the next task of the same kind, by name; a task of another kind drops it.
+CACHES: dict[str, dict] = {}
+
+
+def forget(keeps: str | None) -> None:
+    """Drop the caches of other kinds of tasks."""
+    if other := CACHES.keys() - {keeps}:
+        for name in other:
+            del CACHES[name]
+        release()
+
+
+def lean(run, keeps: str | None = None):
+    """`run` for mapInArrow or mapInPandas, which gives its memory back at the end of each task. keeps: the name of its cache.
 
     Workers wait for the next task with all that the allocators keep for themselves, beside an executor whose heap is full.
     """
 
     @functools.wraps(run)
     def task(batches):
+        forget(keeps)
         try:
             yield from run(batches)
         finally:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mix, release, shingle_sets, small_batches, stash, text_chunks
+from .common import forget, lean, mix, release, shingle_sets, small_batches, stash, text_chunks
 from .graph import connected_components, forest
 
 
@@ -385,6 +385,7 @@ def _block_links(size: int):
         return pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget(None)
         found = links(pdf)
         release()
         return found

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import lean, small_batches, stash
+from .common import CACHES, lean, small_batches, stash
 
 FIXED = 16  # quanta are in 1/65536 of a token
 TAIL = 64
@@ -58,7 +58,6 @@ ASSUMED = {
         ],
     },
 }
-_encoders: dict = {}
 
 
 @functools.cache
@@ -177,9 +176,11 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder of a tokenizer's file, which stays in the worker between tasks that tokenize."""
+    kept = CACHES.setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 @dataclass
@@ -265,7 +266,7 @@ def tokenize(docs: DataFrame, id_col: str, text: str, source: str, path: str, en
     if own is not None:
         kept = kept.withColumn("queue", F.when(F.col("queue").isin(sorted(own)), F.col("queue")).otherwise(tail))
 
-    @lean
+    @functools.partial(lean, keeps="encoders")
     def run(batches):
         tokens = encoder(path)
         end = np.array([end_id], dtype=tokens.kind).tobytes()
