@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, phrases, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_quality_rules": quality_rules.query,
     "op10_html_extraction": html_extract.query,
+    "op11_phrase_mining": phrases.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_phrase_mining": phrases.SQL,
 }
