@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, phrases, quality_classifier, quality_rules, suffix_dedup, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, phrases, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_html_extraction": html_extract.query,
     "op11_phrase_mining": phrases.query,
+    "op12_secret_scan": secret_scan.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op11_phrase_mining": phrases.SQL,
+    "op12_secret_scan": secret_scan.SQL,
 }
