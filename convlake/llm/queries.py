@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, phrases, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
+from . import decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, phrases, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters, vector_codes
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_extraction": html_extract.query,
     "op11_phrase_mining": phrases.query,
     "op12_secret_scan": secret_scan.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": quality_rules.SQL,
     "op11_phrase_mining": phrases.SQL,
     "op12_secret_scan": secret_scan.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
