@@ -35,7 +35,7 @@ def condition_sql(text: str, words: dict[str, str]) -> str:
 def first_of(rules: list[tuple[str, str]], default: str, words: dict[str, str] | None = None) -> Column:
     """The label of the first rule whose condition holds."""
     words = params.DECISION_WORDS if words is None else words
-    out = F
+    out = None
     for label, text in rules:
         out = F.when(condition(text, words), label) if out is None else out.when(condition(text, words), label)
     return F.lit(default) if out is None else out.otherwise(default)
@@ -48,7 +48,7 @@ def first_of_sql(rules: list[tuple[str, str]], default: str, words: dict[str, st
 
 def last_clause(text: Column) -> Column:
     """What follows the last sentence end that has something after it."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?;\n]+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"[.!?;\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), text)
 
 
@@ -62,8 +62,8 @@ def utterance(df: DataFrame, text: Column, before: Column) -> DataFrame:
 def intent(df: DataFrame, text: Column, before: Column, words: dict[str, str] | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """`df` with low, clause, before, n_words and intent.
 
-    First what answers an invitation or a proposal, then requests, plans, invitations that are no report or appointment, questions (by
-    their last clause), consent in few words or to a question, refusal, reports, reactions, pleasantries; else a long statement informs.
+    First bare words and short replies to an invitation or a proposal, then requests, plans, invitations, questions (by their last
+    clause), assent, dissent, statements, reactions, pleasantries; else a long text informs.
     """
     return utterance(df, text, before).withColumn("intent", first_of(rules or params.INTENT_RULES, "unknown", words))
 
@@ -75,17 +75,18 @@ def example_state(last_user: Column, target: Column, depth: Column, words: dict[
     has = lambda c, name: c.rlike(words[name])
     short = F.size(T.words(user)) <= 2
     return (
-        F.when(has(said, "closing") | has(user, "closing"), "closing")
-        .when(has(user, "banter") | has(said, "banter"), "banter")
-        .when(has(said, "agreed") & (F.size(T.words(said)) <= 4), "agreement")
-        .when(user.contains("?") | user.rlike(words["asks"]), "inquiry")
-        .when((depth <= 1) & (has(user, "opening") | short), "opening")
+        F.when(has(said, "leaves") | has(user, "leaves"), "closing")
+        .when(has(user, "jokes") | has(said, "jokes"), "banter")
+        .when(has(said, "assents") & (F.size(T.words(said)) <= 4), "agreement")
+        .when(user.contains("?") | has(user, "asks_first"), "inquiry")
+        .when((depth <= 1) & (has(user, "greets") | short), "opening")
         .otherwise("ongoing")
     )
 
 
 def confidence(intent: str, ambiguity: str, depth: str, strategy: str, memory: str) -> str:
     """Five terms (intent, ambiguity, depth, strategy, memory) as SQL over these columns; their sum, in [0.1, 1], to two places."""
+    # The terms in hundredths.
     terms = [
         f"CASE WHEN {intent} IN ('question', 'invitation', 'agreement', 'planning', 'disagreement') THEN 25 WHEN {intent} IN ('information', 'reaction') THEN 20 ELSE 15 END",
         f"CASE WHEN {ambiguity} = 'low' THEN 35 WHEN {ambiguity} = 'medium' THEN 20 ELSE 5 END",
@@ -97,23 +98,19 @@ def confidence(intent: str, ambiguity: str, depth: str, strategy: str, memory: s
 
 
 def instruction_sql(columns: dict[str, str] | None = None) -> str:
-    """The sentence of the strategy, with tone and topic in place, and what it says about memories; SQL for either engine."""
+    """`aim: ...; tone: ...; topic: ...; memories: ...` of a strategy; SQL for either engine."""
     name = {"strategy": "strategy", "tone": "tone", "topic": "topic", "memory": "use_memory"} | (columns or {})
-    clause = f"CASE WHEN {name['memory']} THEN ' {params.MEMORY_CLAUSE[0]}' ELSE ' {params.MEMORY_CLAUSE[1]}' END"
-
-    def parts(template: str, remembers: bool) -> str:
-        cut = re.split(r"\{(\w+)\}", template)
-        made = [f"'{x}'" if i % 2 == 0 else name[x] for i, x in enumerate(cut) if x]
-        return "concat(" + ", ".join([*made, clause] if remembers else made) + ")"
-
-    cases = " ".join(f"WHEN {name['strategy']} = '{s}' THEN {parts(t, m)}" for s, (t, m) in params.INSTRUCTIONS.items())
-    return f"CASE {cases} ELSE {parts(params.INSTRUCTION, True)} END"
+    of = lambda pick, other: f"CASE {name['strategy']} " + " ".join(f"WHEN '{s}' THEN {pick(x)}" for s, x in params.AIMS.items()) + f" ELSE {other} END"
+    given, none, off = (f"'{x}'" for x in params.MEMORY_NOTES)
+    notes = f"CASE WHEN {name['memory']} THEN {given} ELSE {none} END"
+    aim, memory = of(lambda x: f"'{x[0]}'", f"'{params.AIM}'"), of(lambda x: notes if x[1] else off, notes)
+    return f"concat('aim: ', {aim}, '; tone: ', {name['tone']}, '; topic: ', {name['topic']}, '; memories: ', {memory})"
 
 
 def plan(context: DataFrame, words: dict[str, str] | None = None) -> DataFrame:
     """Strategy, tone, confidence and instruction of analysed conversations.
 
-    context: low (last user text, lower case), intent, state, ambiguity, topic, depth, activity and, where known, use_memory.
+    context: low (last user text, lower case), intent, state, ambiguity, topic, depth and, where known, use_memory.
     """
     if "use_memory" not in context.columns:
         context = context.withColumn("use_memory", F.lit(False))

@@ -162,7 +162,7 @@ def last_turns(spark, d):
     return df.where("r = 1").select("conv_id", "n", "text", "before")
 
 
-_WORDS = params.DECISION_WORDS
+_WORDS = {k: v.replace("'", "''") for k, v in params.DECISION_WORDS.items()}
 _LOW = lambda c: rf"regexp_replace(lower(coalesce({c}, '')), '^\s+|\s+$', '', 'g')"
 _COUNT = lambda c: rf"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''))"
 _HAS = lambda c, name: f"regexp_matches({c}, '{_WORDS[name]}')"
@@ -173,9 +173,9 @@ _HAS = lambda c, name: f"regexp_matches({c}, '{_WORDS[name]}')"
     f"""WITH t AS (SELECT conv_id, turn, text, row_number() OVER w - 1 AS depth, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
       OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     l AS (SELECT conv_id, turn, depth, {_LOW('before')} AS u, {_LOW('text')} AS s FROM t)
-    SELECT conv_id, turn, CASE WHEN {_HAS('s', 'closing')} OR {_HAS('u', 'closing')} THEN 'closing' WHEN {_HAS('u', 'banter')} OR {_HAS('s', 'banter')} THEN 'banter'
-      WHEN {_HAS('s', 'agreed')} AND {_COUNT('s')} <= 4 THEN 'agreement' WHEN contains(u, '?') OR {_HAS('u', 'asks')} THEN 'inquiry'
-      WHEN depth <= 1 AND ({_HAS('u', 'opening')} OR {_COUNT('u')} <= 2) THEN 'opening' ELSE 'ongoing' END AS state FROM l""",
+    SELECT conv_id, turn, CASE WHEN {_HAS('s', 'leaves')} OR {_HAS('u', 'leaves')} THEN 'closing' WHEN {_HAS('u', 'jokes')} OR {_HAS('s', 'jokes')} THEN 'banter'
+      WHEN {_HAS('s', 'assents')} AND {_COUNT('s')} <= 4 THEN 'agreement' WHEN contains(u, '?') OR {_HAS('u', 'asks_first')} THEN 'inquiry'
+      WHEN depth <= 1 AND ({_HAS('u', 'greets')} OR {_COUNT('u')} <= 2) THEN 'opening' ELSE 'ongoing' END AS state FROM l""",
 )
 def _(spark, d):
     from pyspark.sql import Window as W
