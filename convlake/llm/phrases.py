@@ -7,9 +7,10 @@ half is the largest cell that ends in a phrase, over all stripes. The stripe of
 
 Levels 1 to `longest` each pass over the whole texts. A phrase can only be frequent if its first and its last m - 1 words are,
 so a task keeps cells between frequent ones; it asks a bit table of a fixed size (`bits`; a wrong yes costs a cell in the
-shuffle and changes no result, as the merged counts decide). Tasks merge their own stripes and hold up to `held` cells. The
-shuffle sorts partial stripes, and tasks merge them as they stream by. A prefix with more than one in `share` of all words
-(there are at most `share` of them) is split by suffix into 16 segments, each with a sum and a maximum of its own.
+shuffle and changes no result, as the merged counts decide). Tasks merge their own stripes and hold up to `held` cells. Stripes
+go through the shuffle in packs, by buckets of prefixes, sorted by bucket; a task merges one bucket at a time as packs stream
+by. A prefix with more than one in `share` of all words (there are at most `share` of them) is split by suffix into 16
+segments in buckets of their own, each with a sum and a maximum.
 
 Phrases are 64-bit hashes of language and words until the end; words, counted as strings, give their names. Scores are
 computed in decimals of 38 digits.
@@ -35,7 +36,7 @@ from .common import BASE, LOWER, LOWER_TABLE, UPPER, lean, mix, prefix_hash, sma
 STOPS = b".,;:!?\n\x0b\x0c\r"
 STOP, GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 STOP[list(STOPS)] = GAP[list(STOPS + b" \t")] = True
-SEGMENTS, ROW = 16, 1 << 16
+ROW = 1 << 16
 
 
 def join_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -121,26 +122,29 @@ def merged(p: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return p[new], s[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def partial_stripes(docs: DataFrame, level: int, table, hot: list[int], held: int) -> DataFrame:
-    """p, seg and the cells (s, n) of the stripes of frequent phrases of level - 1 words, merged within tasks."""
+def partial_stripes(docs: DataFrame, level: int, table, hot: list[int], buckets: int, held: int) -> DataFrame:
+    """Packs of stripes of frequent phrases of level - 1 words, merged within tasks: prefixes p with k cells each, cells (s, n)."""
     width = level - 1
     heavy = np.array(sorted(x & (2**64 - 1) for x in hot), dtype=np.uint64)
 
     def rows(p, s, n):
-        seg = np.where(np.isin(p, heavy), s >> np.uint64(60), np.uint64(0)).astype(np.int32)
-        order = np.lexsort((s, seg, p))
-        p, s, n, seg = p[order], s[order], n[order], seg[order]
         if not len(p):
             return
-        edge = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (seg[1:] != seg[:-1]))))
-        run = np.arange(len(p)) - np.repeat(edge, np.diff(np.append(edge, len(p))))
-        edge = np.flatnonzero(run % ROW == 0)
-        ends = np.append(edge, len(p))
-        for a in range(0, len(edge), ROW):
-            b = min(a + ROW, len(edge))
-            lo, hi, cut = ends[a], ends[b], pa.array((ends[a : b + 1] - ends[a]).astype(np.int32))
-            cells = [pa.ListArray.from_arrays(cut, pa.array(x[lo:hi].view(np.int64))) for x in (s, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(p[edge[a:b]].view(np.int64)), pa.array(seg[edge[a:b]]), *cells], names=["p", "seg", "s", "n"])
+        seg = np.where(np.isin(p, heavy), s >> np.uint64(60), np.uint64(0))
+        bucket = (mix(p ^ seg, 5) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((s, p, bucket))
+        p, s, n, bucket = p[order], s[order], n[order], bucket[order]
+        new = np.concatenate(([True], (p[1:] != p[:-1]) | (bucket[1:] != bucket[:-1])))
+        start = np.flatnonzero(new | (np.arange(len(p)) % ROW == 0))
+        size = np.diff(np.append(start, len(p))).astype(np.int32)
+        row = np.flatnonzero(np.concatenate(([True], (bucket[start[1:]] != bucket[start[:-1]]) | (start[1:] // ROW != start[:-1] // ROW))))
+        by_prefix = np.append(row, len(start)).astype(np.int32)
+        by_cell = np.append(start, len(p))[by_prefix].astype(np.int32)
+        lists = [(by_prefix, p[start].view(np.int64)), (by_prefix, size), (by_cell, s.view(np.int64)), (by_cell, n)]
+        lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for cut, x in lists]
+        out = pa.RecordBatch.from_arrays([pa.array(bucket[start[row]]), *lists], names=["bucket", "p", "k", "s", "n"])
+        for at in range(0, len(row), 256):
+            yield out.slice(at, 256)
 
     def count(batches):
         bits, seen, own, cells = np.frombuffer(table.value, dtype=np.uint8), {}, [], 0
@@ -168,18 +172,14 @@ def partial_stripes(docs: DataFrame, level: int, table, hot: list[int], held: in
         if own:
             yield from rows(*merged(*(np.concatenate(x) for x in zip(*own, strict=True))))
 
-    return docs.mapInArrow(lean(count), "p long, seg int, s array<long>, n array<long>")
+    return docs.mapInArrow(lean(count), "bucket int, p array<long>, k array<int>, s array<long>, n array<long>")
 
 
 def merge_stripes(parts: DataFrame, least: int) -> DataFrame:
     """p, total and best (of a segment) and its frequent cells: h of the longer phrase, s, n."""
 
-    def finish(p, seg, s, n):
-        order = np.lexsort((s, seg, p))
-        p, seg, s, n = p[order], seg[order], s[order], n[order]
-        cell = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))
-        p, seg, s, n = p[cell], seg[cell], s[cell], np.add.reduceat(n, cell)
-        edge = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (seg[1:] != seg[:-1]))))
+    def finish(p, s, n):
+        edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
         longer = (s != 0) & (n >= least)
         cut = np.concatenate(([0], np.cumsum(longer)))[np.append(edge, len(p))].astype(np.int32)
         lists = [x[longer].view(np.int64) for x in (join_hash(p, s), s, n)]
@@ -190,25 +190,27 @@ def merge_stripes(parts: DataFrame, least: int) -> DataFrame:
         )
 
     def merge(batches):
-        left = None
+        own, cells, least_cells, now = [], 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = batch.column("s").value_lengths().to_numpy(zero_copy_only=False)
-            got = [np.repeat(batch.column("p").to_numpy().view(np.uint64), size), np.repeat(batch.column("seg").to_numpy(), size)]
-            got += [batch.column("s").flatten().to_numpy().view(np.uint64), batch.column("n").flatten().to_numpy()]
-            if left is not None:
-                got = [np.concatenate(x) for x in zip(left, got, strict=True)]
-            last = np.flatnonzero((got[0] != got[0][-1]) | (got[1] != got[1][-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield finish(*[x[:cut] for x in got])
-            p, s, n = merged(*(got[k][cut:] for k in (0, 2, 3)))
-            left = [p, np.full(len(p), got[1][-1]), s, n]
-        if left is not None:
-            yield finish(*left)
-
-    parts = parts.repartition("p", "seg").sortWithinPartitions("p", "seg")
+            bucket = batch.column("bucket").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
+                if now is not None and bucket[a] != now:
+                    yield finish(*merged(*(np.concatenate(x) for x in zip(*own, strict=True))))
+                    own, cells, least_cells = [], 0, 0
+                now, part = bucket[a], batch.slice(a, b - a)
+                p, k, s, n = (part.column(c).flatten().to_numpy() for c in ("p", "k", "s", "n"))
+                own.append((np.repeat(p, k).view(np.uint64), s.view(np.uint64), n))
+                cells += len(s)
+                if cells > 2 * least_cells + (1 << 19):
+                    own = [merged(*(np.concatenate(x) for x in zip(*own, strict=True)))]
+                    cells = least_cells = len(own[0][0])
+        if own:
+            yield finish(*merged(*(np.concatenate(x) for x in zip(*own, strict=True))))
+
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
     return parts.mapInArrow(lean(merge), "p long, total long, best long, h array<long>, s array<long>, n array<long>")
 
 
@@ -243,18 +245,20 @@ def cut_score(a: Column, left: Column, right: Column) -> Column:
 
 def mine(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80,
-    bits: int = 1 << 27, share: int = 1024, held: int = 1_000_000,
+    bits: int = 1 << 27, share: int = 1024, held: int = 1_000_000, buckets: int | None = None,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best `top` phrases of each language.
 
     least: occurrences of a candidate; longest: its most words; covered: percent of its occurrences that a longer candidate with
     its words must have to displace it. bits, share, held: sizes of the bit table, of the list of hot prefixes, of a task's stripes.
+    buckets: of prefixes, merged one at a time; 4,096, or eight for each shuffle partition if that is more.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     words = stash(vocabulary(docs, held // 4).where(F.col("word").isNull() | (F.col("f") >= least)), "phrases-words")
     n = words.where("word IS NULL").select("lang", F.col("f").alias("n"))
+    buckets = buckets or max(4096, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = n.agg(F.sum("n")).first()[0] or 0
     none = F.array().cast("array<long>")
     phrases = words.where("word IS NOT NULL").select("lang", "h", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("lefts"), none.alias("rights"))
@@ -262,7 +266,7 @@ def mine(
     for level in range(2, longest + 1):
         hot = [r.h for r in phrases.where(F.col("f") * share >= whole).select("h").collect()]
         table = spark.sparkContext.broadcast(bit_table(phrases, bits))
-        stripes = stash(merge_stripes(partial_stripes(docs, level, table, hot, held), least), f"phrases-stripes-{level}")
+        stripes = stash(merge_stripes(partial_stripes(docs, level, table, hot, buckets, held), least), f"phrases-stripes-{level}")
         table.destroy()
         longer = stripes.select("p", F.inline(F.arrays_zip("h", "s", "n")))
         whole_stripes = stripes.groupBy("p").agg(F.sum("total").alias("total"), F.max("best").alias("best"))

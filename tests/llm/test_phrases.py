@@ -53,7 +53,7 @@ def corpus():
     return rows + rows[:5]
 
 
-@pytest.mark.parametrize("options", [{}, {"held": 40, "share": 10**6}, {"bits": 1 << 10, "top": 7}, {"covered": 50, "longest": 3}])
+@pytest.mark.parametrize("options", [{}, {"held": 40, "share": 10**6, "buckets": 5}, {"bits": 1 << 10, "top": 7}, {"covered": 50, "longest": 3}])
 def test_against_brute_force(spark, monkeypatch, options):
     rows = corpus()
     df = spark.createDataFrame([(i, t, x, "h", i, "p") for i, (t, x) in enumerate(rows)], KIND).repartition(5)
