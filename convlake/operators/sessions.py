@@ -6,31 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordered import numbered
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def sessionize(df: DataFrame, key: str, order: str, ts: str, gap_minutes: float) -> DataFrame:
+def sessionize(df: DataFrame, key: str, order: str, ts: str, gap_minutes: float, at: list[float] | None = None) -> DataFrame:
     """Adds session (from 0): a new one where the gap to the row before is strictly over `gap_minutes`.
 
     A row without time, or after one without, opens none; rows keep file order, so a clock that goes back opens none.
+    at: values of `order` that cut a key's rows into ranges for tasks of their own (`ordered.cuts`).
     """
-    w = W.partitionBy(key).orderBy(order)
-    gap = micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w)
-    new = F.coalesce((gap > int(gap_minutes * 60_000_000)).cast("int"), F.lit(0))
-    df = df.withColumn("_new", new)
-    run = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.withColumn("session", run.cast("long")).drop("_new")
+    limit = int(gap_minutes * 60_000_000)
+    return numbered(df, [key], order, [ts], lambda now, before: micros(now(ts)) - micros(before(ts)) > limit, "session", at=at)
 
 
-def bursts(df: DataFrame, keys: list[str], order: str, speaker: str, text: str, ts: str) -> DataFrame:
-    """Runs of one speaker become a turn: text joined by line ends, first and last time, ids in order."""
-    w = W.partitionBy(*keys).orderBy(order)
-    new = (~F.col(speaker).eqNullSafe(F.lag(speaker).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    df = df.withColumn("_new", new).withColumn("_turn", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+def bursts(df: DataFrame, keys: list[str], order: str, speaker: str, text: str, ts: str, at: list[float] | None = None) -> DataFrame:
+    """Runs of one speaker become a turn: text joined by line ends, first and last time, ids in order. at: as in sessionize."""
+    df = numbered(df, keys, order, [speaker], lambda now, before: ~now(speaker).eqNullSafe(before(speaker)), "_turn", at=at)
     part = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    out = df.groupBy(*keys, F.col("_turn").cast("long").alias("turn")).agg(
+    out = df.groupBy(*keys, F.col("_turn").alias("turn")).agg(
         F.first(speaker).alias("speaker"),
         part.alias("_p"),
         F.min_by(ts, order).alias("start_ts"),

@@ -11,6 +11,7 @@ from .operators import relational as R
 from .operators import sessions as S
 from .operators import splits as D
 from .operators import windows as N
+from .operators.ordered import cuts
 from .registry import query, table
 
 GAP = 720
@@ -159,7 +160,8 @@ _SESSIONS = f"""s AS (
 
 
 def _sessions(spark, d):
-    return S.sessionize(table(spark, d, "events"), "user_id", "event_id", "ts", GAP)
+    events = table(spark, d, "events")
+    return S.sessionize(events, "user_id", "event_id", "ts", GAP, cuts(events, "event_id"))
 
 
 @query("n01_sessionize", f"WITH {_SESSIONS} SELECT event_id, user_id, session FROM s")
@@ -180,7 +182,7 @@ _BURSTS = f"""{_SESSIONS}, b AS (
 )
 def _(spark, d):
     df = _sessions(spark, d).withColumn("line", F.col("event_id").cast("string"))
-    out = S.bursts(df, ["user_id", "session"], "event_id", "event_type", "line", "ts")
+    out = S.bursts(df, ["user_id", "session"], "event_id", "event_type", "line", "ts", cuts(table(spark, d, "events"), "event_id"))
     return out.select(
         "user_id", "session", "turn", "speaker", "text", S.micros(F.col("start_ts")).alias("start_us"),
         S.micros(F.col("end_ts")).alias("end_us"), F.size("message_ids").cast("long").alias("n"),
