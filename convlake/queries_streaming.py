@@ -8,9 +8,18 @@ from .registry import query
 from .streaming import streams as X
 
 
-@query("t02_session_windows")
+#: Rows of the table come in any order within its time; state is kept that long.
+LATE = "60 days"
+
+
+@query(
+    "t02_session_windows",
+    """WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+      SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 7200000000)::INT, 0) AS new FROM events))
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 7200000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, session""",
+)
 def _(spark, d):
-    out = X.drain(X.session_windows(X.event_stream(spark, d), "user_id", late=None), "sessions", "complete")
+    out = X.drain_all(X.session_windows(X.event_stream(spark, d), "user_id", late=LATE), "sessions", lambda s: X.open_sessions(s, "user_id"))
     return out.select("user_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "n")
 
 
@@ -31,11 +40,14 @@ def _(spark, d):
     return X.drain(X.upsert_changes(X.event_stream(spark, d), "user_id", "event_id", "event_type"), "upsert")
 
 
-@query("t05_marker_rates")
+@query(
+    "t05_marker_rates",
+    "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS start_us, count(*) AS n, count_if(event_type = 'purchase')::BIGINT AS hits FROM events GROUP BY 1",
+)
 def _(spark, d):
     flag = F.col("event_type") == "purchase"
-    rates = X.marker_rates(X.event_stream(spark, d), flag, "1 day", late=None)
-    return X.drain(rates, "rates", "complete").select(F.unix_micros("start_ts").alias("start_us"), "n", "hits")
+    rates = X.marker_rates(X.event_stream(spark, d), flag, "1 day", late=LATE)
+    return X.drain_all(rates, "rates", X.open_rates).select(F.unix_micros("start_ts").alias("start_us"), "n", "hits")
 
 
 @query("t06_validated_batches", "SELECT count(*) AS n FROM events WHERE length(props) > 10")

@@ -61,6 +61,23 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_all(stream: DataFrame, name: str, still_open: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a windowed stream with a watermark over all that is there: windows that it closed, and those its state still holds at the end.
+
+    The state holds what the watermark has not passed, and is read once after the last batch (the final flush); rows that come
+    later than the watermark allows are dropped. still_open: rows of the result from the state's key and value.
+    """
+    spark = stream.sparkSession
+    out = shared_path(spark, name)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True)
+    run = writer.format("parquet").option("path", out).start()
+    run.awaitTermination()
+    done = spark.read.schema(stream.schema).parquet(out)
+    if not run.lastProgress or not run.lastProgress["stateOperators"]:
+        return done
+    return done.unionByName(still_open(spark.read.format("statestore").load(out + "-state")))
+
+
 def _marked(events: DataFrame, late: str | None) -> DataFrame:
     return events.withWatermark("ts", late) if late else events
 
@@ -72,6 +89,12 @@ def session_windows(events: DataFrame, key: str, gap: str = "120 minutes", late:
     return g.select(key, F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("end_ts"), "n")
 
 
+def open_sessions(state: DataFrame, key: str) -> DataFrame:
+    """Sessions that `session_windows` still holds."""
+    w = "value.session_window."
+    return state.select(F.col(f"value.{key}"), F.col(w + "start").alias("start_ts"), F.col(w + "end").alias("end_ts"), F.col("value.count").alias("n"))
+
+
 def marker_rates(events: DataFrame, flag: str, window: str = "1 day", slide: str | None = None, late: str | None = "1 day") -> DataFrame:
     """Running rate of a flag in tumbling, or with `slide` in sliding, windows; `late` as in session_windows."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
@@ -79,6 +102,15 @@ def marker_rates(events: DataFrame, flag: str, window: str = "1 day", slide: str
     return g.select(F.col("window.start").alias("start_ts"), "n", "hits", (F.col("hits") / F.col("n")).alias("rate"))
 
 
+def open_rates(state: DataFrame) -> DataFrame:
+    """Windows that `marker_rates` still holds; the state's two counts stand in the order of the aggregates."""
+    fields = state.schema["value"].dataType.fields
+    value = F.col("value").cast("struct<" + ", ".join(f"v{i}: {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ">")
+    n, hits = value[f"v{len(fields) - 2}"], value[f"v{len(fields) - 1}"]
+    window = F.col("key")[state.schema["key"].dataType.names[0]]
+    return state.select(window["start"].alias("start_ts"), n.alias("n"), hits.alias("hits"), (hits / n).alias("rate"))
+
+
 def drop_adjacent(events: DataFrame, key: str, order: str, same: str) -> DataFrame:
     """Rows that differ in `same` from the row of their key before; the last value is the state."""
 
