@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 
 from . import params
 from .operators import evaluate as E
+from .operators import lifecycle as L
 from .operators import memory as M
 from .operators import relational as R
 from .operators import decide as D
+from .operators.ordered import cuts
 from .plans.score import context_analysis, plan_conversations
 from .queries_annotate import _AMBIGUITY, _LAST, _STRIP, _UTTER, last_turns, pairs
 from .functions.rules import first_match_sql
@@ -88,6 +90,45 @@ def _(spark, d):
     return out.select("user_id", "value", "created", "updated", "importance", "merged", "status")
 
 
+# The events table as candidates: some event types answer one question (a slot), the others are remarks.
+_VERB = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.VERBS.items()) + " ELSE w END"
+_LIFE = f"""c AS (SELECT user_id AS persona, event_id AS pos, CASE WHEN event_type IN ('view', 'error') THEN event_type || ' ' || props ELSE 'I prefer ' || event_type END AS content, event_id % 3 AS rank FROM events),
+    f AS (SELECT *, array_to_string(list_transform(list_filter({_TOK.format('content')}, lambda w: w NOT IN ({_FILL})), lambda w: {_VERB}), ' ') AS norm FROM c),
+    s AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(norm, '{p}') THEN '{s}'" for s, p in L.SLOTS)} END AS slot,
+      CASE {' '.join(f"WHEN regexp_matches(norm, '{p}') THEN regexp_extract(norm, '{p}', 1)" for s, p in L.SLOTS)} END AS value FROM f),
+    r AS (SELECT *, CASE WHEN slot IS NULL THEN 0 ELSE sum(new) OVER (PARTITION BY persona, slot ORDER BY pos ROWS UNBOUNDED PRECEDING) END AS run FROM (
+      SELECT *, coalesce((value <> lag(value) OVER (PARTITION BY persona, slot ORDER BY pos))::INT, 0) AS new FROM s)),
+    g AS (SELECT persona, slot, run, norm, min(pos) AS m_id, arg_min(content, pos) AS content, max(rank) AS rank, max(pos) AS last, count(*) AS merged FROM r GROUP BY ALL),
+    h AS (SELECT persona, slot, run, min(m_id) AS head FROM g WHERE slot IS NOT NULL GROUP BY ALL)"""
+
+
+def _remarks(spark, d, df=None):
+    e = table(spark, d, "events") if df is None else df
+    odd = F.col("event_type").isin("view", "error")
+    content = F.when(odd, F.concat_ws(" ", "event_type", "props")).otherwise(F.concat(F.lit("I prefer "), "event_type"))
+    level = F.get(F.array(*map(F.lit, L.RANKS)), (F.col("event_id") % 3).cast("int"))
+    return L.candidates(e.withColumns({"content": content, "importance": level}), "user_id", "event_id", "content", "importance")
+
+
+@query(
+    "m09_life_cycle",
+    f"""WITH {_LIFE} SELECT g.persona, g.m_id, g.content, g.slot, ['low', 'medium', 'high'][g.rank + 1] AS importance, coalesce(h.head, g.last) AS updated, g.merged,
+    CASE WHEN h.head IS NULL THEN 'active' ELSE 'superseded' END AS status, h.head AS superseded_by FROM g LEFT JOIN h ON h.persona = g.persona AND h.slot = g.slot AND h.run = g.run + 1""",
+)
+def _(spark, d):
+    out = L.memories(_remarks(spark, d), cuts(table(spark, d, "events"), "event_id"))
+    return out.select("persona", "m_id", "content", "slot", "importance", "updated", "merged", "status", "superseded_by")
+
+
+ACTIONS_SQL = f"""WITH {_LIFE} SELECT r.persona, r.pos AS "at", g.m_id, CASE WHEN r.run > 0 AND r.pos = h.head THEN 'superseded' WHEN r.pos = g.m_id THEN 'created' ELSE 'merged' END AS action
+    FROM r JOIN g ON g.persona = r.persona AND g.slot IS NOT DISTINCT FROM r.slot AND g.run = r.run AND g.norm = r.norm LEFT JOIN h ON h.persona = r.persona AND h.slot = r.slot AND h.run = r.run"""
+
+
+@query("m09_actions", ACTIONS_SQL)
+def _(spark, d):
+    return L.actions(_remarks(spark, d), cuts(table(spark, d, "events"), "event_id"))
+
+
 @query("m10_list", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def _(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))

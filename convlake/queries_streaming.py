@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import lifecycle as L
+from .queries_memory import ACTIONS_SQL, _remarks
 from .registry import query
 from .streaming import streams as X
 
@@ -40,6 +42,12 @@ def _(spark, d):
     return X.drain(X.upsert_changes(X.event_stream(spark, d), "user_id", "event_id", "event_type"), "upsert")
 
 
+@query("t04_life_cycle", ACTIONS_SQL)
+def _(spark, d):
+    with X.rocksdb(spark):
+        return X.drain(L.stream_actions(_remarks(spark, d, X.event_stream(spark, d))), "memories")
+
+
 @query(
     "t05_marker_rates",
     "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS start_us, count(*) AS n, count_if(event_type = 'purchase')::BIGINT AS hits FROM events GROUP BY 1",
