@@ -11,6 +11,7 @@ from .operators import relational as R
 from .operators import sessions as S
 from .operators import splits as D
 from .operators import windows as N
+from .operators.neighbours import near_pairs
 from .operators.ordered import cuts
 from .registry import query, table
 
@@ -353,10 +354,22 @@ def _(spark, d):
     SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
 )
 def _(spark, d):
-    e = table(spark, d, "embeddings")
-    b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("w"))
-    pairs = e.select("label", F.col("vec_id").alias("a"), "embedding").join(b, "label").where("a < b")
-    return pairs.where(R.cosine(F.col("embedding"), F.col("w")) >= 0.9).select("a", "b")
+    return near_pairs(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.9, miss=1e-6)[0].select("a", "b")
+
+
+@query(
+    "j06_near_copies",
+    """WITH o AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    e AS (FROM o UNION ALL SELECT vec_id + 1000000, label, list_transform(v, lambda x, i: x * (1 + 0.1 * ((i * vec_id) % 7 - 3) / 3.0)) FROM o WHERE vec_id % 5 = 0)
+    SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98""",
+)
+def _(spark, d):
+    """Every fifth vector has a near copy beside it: the table itself has none at 0.98."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    bent = F.transform("v", lambda x, i: x * (1 + 0.1 * (F.pmod((i + 1) * F.col("vec_id"), F.lit(7)) - 3) / 3.0))
+    e = e.unionByName(e.where("vec_id % 5 = 0").withColumn("v", bent).withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    return near_pairs(e, ["label"], "vec_id", "v", miss=1e-6)[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

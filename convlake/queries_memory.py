@@ -11,9 +11,11 @@ from .operators import lifecycle as L
 from .operators import memory as M
 from .operators import relational as R
 from .operators import decide as D
+from .operators.neighbours import search
 from .operators.ordered import cuts
 from .plans.score import context_analysis, plan_conversations
 from .queries_annotate import _AMBIGUITY, _LAST, _STRIP, _UTTER, last_turns, pairs
+from .functions import text as T
 from .functions.rules import first_match_sql
 from .operators import annotate as A
 from .registry import query, table
@@ -151,6 +153,20 @@ def _(spark, d):
     return M.top_k(df, "q_id", [F.desc("semantic"), F.col("m_id")], 10).select("q_id", "m_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "m11_hybrid_search",
+    f"""WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_distinct({_TOK.format("coalesce(text, '')")}) AS t FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+    s AS (SELECT a.vec_id AS q_id, b.vec_id AS m_id, round(0.7 * greatest(0, least(1, list_cosine_similarity(a.v, b.v))) + 0.3 * len(list_intersect(a.t, b.t)) / greatest(1, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) AS score
+      FROM m a JOIN m b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+    SELECT q_id, m_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, m_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def _(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), T.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    e = table(spark, d, "embeddings").join(texts, "vec_id", "left")
+    q, m = (e.select("label", F.col("vec_id").alias(f"{x}_id"), F.col("embedding").alias(f"{x}_embedding"), F.array_distinct("words").alias(f"{x}_words")) for x in "qm")
+    return search(q.where("q_id % 20 = 0"), m, "label", 10, own=True).select("q_id", "m_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
 @query("m12_rank", f"WITH {_SCORED} SELECT q_id, m_id, round(least(1, greatest(0, 0.4 * semantic + 0.3 * (m_id % 2) + 0.2 * CASE m_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END + 0.1 * exp(-(m_id % 90) / 30.0))), 6) AS score FROM s")
 def _(spark, d):
     q, m = _scored(spark, d)
