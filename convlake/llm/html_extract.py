@@ -4,8 +4,8 @@ Each page becomes a small tree. Blocks of text pass points (one, plus one for ea
 length) to their container and half of them to the container above. Points are discounted by the container's share
 of link text. The best container (or the article or main element around it) is kept whole, with those of its siblings
 that score well or read as prose, and what stands among them; menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments never count. Class words that articles use, too (share, related, header),
-leave it to the share of links whether a box counts.
+scripts, styles and reader comments never count, nor do forms, unless their text shows that they wrap the page. Class words
+that articles use, too (share, related, header), leave it to the share of links whether a box counts.
 
 Each page is parsed on its own inside mapInArrow: no shuffle, memory bounded by the Arrow batch.
 
@@ -35,7 +35,7 @@ BLOCK = set(
     " summary table tbody td tfoot th thead tr ul".split()
 )
 LEAF = set("p pre blockquote td th h1 h2 h3 h4 h5 h6 li dt dd figcaption caption summary".split())
-FURNITURE = set("nav menu header footer aside form head dialog search noscript template svg math object select button canvas audio video".split())
+FURNITURE = set("nav menu header footer aside head dialog search noscript template svg math object select button canvas audio video".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 SAFE = set("html body main article".split())
 
@@ -70,6 +70,7 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 RAW_START = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in RAW}
 
 KEEP, DROP, WEIGH = 0, 1, 2
+CONTROLS = set("input select textarea button".split())
 DEEP = 64  # an inline end tag looks for its start among so many open inline elements
 
 
@@ -171,6 +172,7 @@ class Tree:
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.weigh = [-1], ["#root"], [False]
+        self.forms: dict[int, int] = {}  # controls of every form by container
         self.blocks: list[tuple[int, str, int]] = []
         stack, parts, linked, links, dropped = [0], [], 0, 0, 0
 
@@ -210,6 +212,11 @@ class Tree:
                 while pop() != tag:
                     pass
                 continue
+            if tag in CONTROLS and self.forms and "hidden" not in attrs.lower():
+                for box in reversed(stack):
+                    if box in self.forms:
+                        self.forms[box] += 1
+                        break
             if tag == "br":
                 parts.append("\n") if not dropped else None
                 continue
@@ -239,6 +246,8 @@ class Tree:
                 self.parent.append(stack[-1])
                 self.tag.append(tag)
                 self.weigh.append(said == WEIGH)
+                if tag == "form":
+                    self.forms[len(self.tag) - 1] = 0
                 stack.append(len(self.parent) - 1)
                 outer.append(len(names) - 1)
         flush()
@@ -255,14 +264,22 @@ class Tree:
         return length, linked
 
     def drop_linked(self) -> None:
-        """Leave out the weighed containers of which links make a large part, and short boxes among them."""
-        if not any(self.weigh):
+        """Leave out the weighed containers of which links make a large part, short boxes among them, and forms that are for filling in.
+
+        A form that holds an article or main element, or 500 characters and 200 for each control, is a page's wrapper: it is kept.
+        """
+        if not any(self.weigh) and not self.forms:
             return
         length, linked = self.sums()
         out = [False] * len(self.parent)
+        wraps = set()
+        for i, tag in enumerate(self.tag):
+            if self.forms and tag in ("article", "main") and length[i]:
+                wraps.update(chain(self.parent, i))
         for i in range(1, len(out)):
             leaf = self.tag[i] in LEAF
             bad = self.weigh[i] and (2 * linked[i] >= length[i] if leaf else 10 * linked[i] >= 3 * length[i] or length[i] < 80)
+            bad = bad or i in self.forms and i not in wraps and length[i] < max(500, 200 * self.forms[i])
             out[i] = bad or out[self.parent[i]]
         self.blocks = [b for b in self.blocks if not out[b[0]]]
 

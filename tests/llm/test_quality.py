@@ -280,3 +280,21 @@ def test_html_articles(spark, table):
         want = " ".join(h.unescape(re.sub(r"<[^>]*>", " ", body)).split())
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
     assert np.isfinite(len(got))
+
+
+def test_pages_inside_a_form():
+    """A form around the page keeps the text; forms to fill in go, inside it and beside it."""
+    from convlake.llm.html_extract import main_text
+
+    prose = [f"Paragraph {i} of the article, with commas, and enough words to count as prose for any scorer." for i in range(12)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    nav = "<nav><a href=/>Home</a> <a href=/b>More</a></nav><input type='hidden' name=v value=1><input name=q>"
+    want = " ".join(prose)
+    fill = "<form><p>Leave your name, please, and what you think of this text, in the boxes below.</p><input name=a><textarea>x</textarea><button>Send</button></form>"
+    assert main_text(f"<body><form action=/ method=post>{nav}<div id=main-part>{body}</div></form></body>") == want
+    assert main_text(f"<body><form id=aspnetForm>{nav}<div>{body}{fill}</div><footer>Imprint, terms, and more</footer></form></body>") == want
+    assert main_text(f"<body><form><article><p>{prose[0]}</p></article><input><input><input><input></form></body>") == prose[0]
+    assert main_text(f"<body><article>{body}</article>{fill}</body>") == want
+    many = "".join(f"<p>{x}</p><input name=f{i}>" for i, x in enumerate(prose))
+    assert main_text(f"<body><article>{body}</article><form>{many}</form></body>") == want
+    assert main_text(f"<body><div>{body}</div><form class=newsletter>{body}</form></body>") == want
