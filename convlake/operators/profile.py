@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from . import quantiles as Q
 
 
 def top_k(df: DataFrame, term: str, k: int) -> DataFrame:
@@ -28,11 +29,12 @@ def bigrams(df: DataFrame, text: str) -> DataFrame:
 
 
 def length_stats(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    chars, words = F.length(text), F.size(T.words(F.col(text)))
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(chars), 4).alias("mean_chars"), F.median(chars).alias("median_chars"),
-        F.round(F.avg(words), 4).alias("mean_words"), F.median(words).alias("median_words"),
-    )
+    """Rows, means and exact medians of characters and words; for no key, one row."""
+    df = df.select(*keys, F.length(text).alias("chars"), F.size(T.words(F.col(text))).alias("words"))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("chars"), 4).alias("mean_chars"), F.round(F.avg("words"), 4).alias("mean_words"))
+    for c in ("chars", "words"):
+        out = _with(out, Q.percentiles(df, keys, c, {f"median_{c}": 0.5}), keys)
+    return out
 
 
 def rates(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
@@ -41,14 +43,21 @@ def rates(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.round(F.count_if(c) / n, 4).alias(k) for k, c in flags.items()])
 
 
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """`left` with the other columns of `right`, which has a row for each key at most; null keys match."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(right, match, "left").drop(*[f"_{k}" for k in keys])
+
+
 def percentiles(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Mean, median and interpolated percentiles to two places; zeros for nothing."""
-    p = {"p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}
-    zero = lambda c: F.coalesce(F.round(c, 2), F.lit(0.0))
-    return df.groupBy(*keys).agg(
-        zero(F.avg(value)).alias("mean"), zero(F.median(value)).alias("median"), *[zero(F.percentile(value, q)).alias(n) for n, q in p.items()],
-        zero(F.max(F.col(value).cast("double"))).alias("max"),
-    )
+    """Mean, median and interpolated percentiles to two places; zeros for nothing. Exact, without a sort or a buffer of a group."""
+    p = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(F.col(value).cast("double")).alias("max"))
+    out = _with(out, Q.percentiles(df, keys, value, p), keys)
+    return out.select(*keys, *[F.coalesce(F.round(c, 2), F.lit(0.0)).alias(c) for c in ("mean", *p, "max")])
 
 
 def dominance(df: DataFrame, key: str, ks: list[int]) -> DataFrame:
@@ -67,10 +76,9 @@ def crosstab(df: DataFrame, split: str, category: str) -> DataFrame:
 
 
 def lower_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """The value at place n div 2 of the sorted rows."""
-    w = W.partitionBy(*keys)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("lower_median"))
+    """The value at place n div 2 of the sorted rows that have one."""
+    got = Q.at_ranks(df, keys, value, F.array(F.floor(F.col("n") / 2)))
+    return got.select(*keys, F.col("v").cast(df.schema[value].dataType).alias("lower_median"))
 
 
 def confusion(df: DataFrame, expected: str, predicted: str) -> DataFrame:
