@@ -38,7 +38,7 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: Column, bins: in
     """
     d = df.where(F.abs(F.col(value).cast("double")) < float("inf")).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     d = _keep(d, "quantiles-values")
-    groups = d.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    groups = d.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
     wanted = groups.withColumn("rank", F.explode(F.array_distinct(ranks))).withColumn("before", F.lit(0).cast("long"))
     wanted = _keep(wanted.select(*keys, "n", F.col("rank").cast("long").alias("rank"), "lo", "hi", "before"), "quantiles-ranks")
     while wanted.where("lo < hi").limit(1).count():

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..operators.ordered import numbered
+from .lines import numbered_lines
 
 # The two line grammars, time formats in the order in which they are tried, and notice patterns.
 PLAIN = r"^(\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4},? \d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?) [-\x{2013}\x{2014}] (.*)$"
@@ -29,10 +30,8 @@ SYSTEM = [
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line: one file a row first, so that line order holds; bad bytes become replacement characters."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = df.select("path", F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return rows.select("path", (F.col("i") + 1).alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
+    """path, line_no, line of chat exports; large files are read in splits."""
+    return numbered_lines(spark, path)
 
 
 def timestamp(raw: Column) -> Column:
@@ -57,20 +56,22 @@ def message_type(speaker: Column, text: Column) -> Column:
     )
 
 
-def parse(lines: DataFrame, persona: str | None = None) -> tuple[DataFrame, DataFrame]:
+def parse(lines: DataFrame, persona: str | None = None, at: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages, and orphan lines before the first header.
 
-    A header starts a message; other lines belong to the message before. The running count is by file.
+    A header starts a message; other lines belong to the message before. at: line numbers that cut a large file's lines into ranges
+    for tasks of their own (`ordered.cuts`).
     """
     clean = F.regexp_replace("line", r"[\x{200E}\x{200F}\x{202F}\x{00A0}]", " ")
     raw = F.coalesce(F.nullif(F.regexp_extract(clean, PLAIN, 1), F.lit("")), F.nullif(F.regexp_extract(clean, BRACKET, 1), F.lit("")))
     rest = F.coalesce(F.nullif(F.regexp_extract(clean, PLAIN, 2), F.lit("")), F.nullif(F.regexp_extract(clean, BRACKET, 2), F.lit("")), F.lit(""))
-    df = lines.withColumns({"_raw": raw, "_rest": rest})
-    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("_m", F.sum(F.col("_raw").isNotNull().cast("int")).over(w))
-    orphans = df.where((F.col("_m") == 0) & (T.strip(F.col("line")) != "")).select("path", "line_no", F.col("line").alias("content"), F.lit("no header before this line").alias("error"))
+    df = numbered(lines.withColumns({"_raw": raw, "_rest": rest}), ["path"], "line_no", ["_raw"], lambda now, before: now("_raw").isNotNull(), "_m", at=at)
+    first = df.where("_raw IS NOT NULL").groupBy(F.col("path").alias("_path")).agg(F.min("line_no").alias("_first"))
+    df = df.join(first, F.col("path") == F.col("_path"), "left")
+    early = F.col("_first").isNull() | (F.col("line_no") < F.col("_first"))
+    orphans = df.where(early & (T.strip(F.col("line")) != "")).select("path", "line_no", F.col("line").alias("content"), F.lit("no header before this line").alias("error"))
     parts = F.sort_array(F.collect_list(F.struct("line_no", F.when(F.col("_raw").isNotNull(), F.col("_rest")).otherwise(F.col("line")).alias("t"))))
-    out = df.where("_m > 0").groupBy("path", "_m").agg(F.min("line_no").alias("line_number"), F.min_by("_raw", "line_no").alias("raw_timestamp"), parts.alias("_p"))
+    out = df.where(~early).groupBy("path", "_m").agg(F.min("line_no").alias("line_number"), F.min_by("_raw", "line_no").alias("raw_timestamp"), parts.alias("_p"))
     body = F.array_join(F.transform("_p", lambda p: p["t"]), "\n")
     out = out.withColumn("_b", body)
     # the speaker stands on the header's line, whatever follows it

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..schemas import CONVERSATION_INPUT
+from .lines import numbered_lines
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -27,20 +28,30 @@ def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON document: a list of all rows, in one file. For small results; `write_jsonl` is for large ones."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
+    rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_any(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Records by the path's suffix, and an issue row for each record that cannot be read."""
-    wide = StructType(schema.fields).add("_corrupt", "string")
-    reader = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    df = reader.option("multiLine", not path.endswith(".jsonl")).json(path).cache()
-    bad = df.where(F.col("_corrupt").isNotNull())
-    issue = bad.select(F.lit("ERROR").alias("severity"), F.lit("unreadable").alias("rule"), F.col("_corrupt").alias("message"))
-    return df.where(F.col("_corrupt").isNull()).drop("_corrupt"), issue
+    """Records by the path's suffix, and an issue row for each line (.jsonl) or document (else) that cannot be read.
+
+    A document is an object or a list of objects; it is read as a whole, as JSON documents are.
+    """
+    issue = lambda text: [F.lit("ERROR").alias("severity"), F.lit("unreadable").alias("rule"), F.col(text).alias("message")]
+    if path.rstrip("/").endswith(".jsonl"):
+        good, bad = line_errors(spark, path, schema)
+        return good, bad.select(*issue("line"))
+    docs = spark.read.text(path, wholetext=True).withColumn("ok", F.try_parse_json("value").isNotNull())
+    many = F.from_json("value", ArrayType(schema))
+    rows = F.when(F.ltrim("value").startswith("["), many).otherwise(F.array(F.from_json("value", schema)))
+    return docs.where("ok").select(F.inline(rows)), docs.where("NOT ok").select(*issue("value"))
 
 
 def line_errors(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Parsed records, and path, line_no, line of each line that is no JSON object; the rest goes on."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    lines = lines.where(F.trim("line") != "").withColumn("line_no", F.col("i") + 1)
+    """Parsed records, and path, line_no, line of each line that is no JSON object; the rest goes on. Large files are read in splits."""
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
     parsed = lines.withColumn("r", F.from_json("line", schema)).withColumn("ok", F.json_object_keys("line").isNotNull())
     return parsed.where("ok").select("r.*"), parsed.where("NOT ok").select("path", "line_no", "line")
 
