@@ -61,12 +61,13 @@ def percentiles(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def dominance(df: DataFrame, key: str, ks: list[int]) -> DataFrame:
-    """Share of rows in the k largest groups. The rank runs over groups, not rows."""
+    """Share of rows in the k largest groups, or in all where there are fewer; only the largest max(ks) groups are ranked."""
     g = df.groupBy(key).count()
     w = W.orderBy(F.desc("count"), key)
-    g = g.withColumns({"r": F.row_number().over(w), "c": F.sum("count").over(w.rowsBetween(W.unboundedPreceding, 0))})
-    total = g.agg(F.sum("count").alias("t"), F.max("r").alias("groups"))
-    rows = g.join(F.broadcast(total)).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    top = g.orderBy(F.desc("count"), key).limit(max(ks))
+    top = top.withColumns({"r": F.row_number().over(w), "c": F.sum("count").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    total = g.agg(F.sum("count").alias("t"), F.count(F.lit(1)).alias("groups"))
+    rows = top.join(F.broadcast(total)).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     return rows.where(F.col("r") == F.least("k", "groups")).select("k", F.col("c").alias("rows"), F.round(F.col("c") * 100.0 / F.col("t"), 4).alias("percent"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -83,3 +85,79 @@ def schema_rules(df: DataFrame, column: str, required: list[str], allowed: list[
     rules += [("ERROR", f"missing_{k}", parsed & ~F.array_contains(keys, k)) for k in required]
     rules.append(("ERROR", "unknown_key", F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0))
     return issues(df, F.col("key"), F.lit(0), rules)
+
+
+@dataclass(frozen=True)
+class Field:
+    """A rule for the value at a path ("" is the whole, "a.b" a nested key) of a JSON document, or of an element of an array.
+
+    kind: object, array, string, integer, number or boolean. least, most: of a number, of a string's length, of an array's size.
+    values: what a string may be. keys: the only keys an object may have. each: rules of an array's elements.
+    """
+
+    path: str
+    kind: str
+    required: bool = False
+    least: float | None = None
+    most: float | None = None
+    values: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()
+    each: tuple["Field", ...] = ()
+
+
+_KINDS = {"object": "OBJECT<", "array": "ARRAY<", "string": "STRING", "boolean": "BOOLEAN"}
+
+
+def _value_rules(value: Column, f: Field) -> list[tuple[Column, Column]]:
+    """(condition, rule) of what can be wrong with the value at one path."""
+    at = f"$.{f.path}" if f.path else "$"
+    v = F.try_variant_get(value, at, "variant")
+    there = v.isNotNull()
+    said = F.schema_of_variant(v)
+    fits = said.startswith(_KINDS[f.kind]) if f.kind in _KINDS else said.startswith("BIGINT") | (said.rlike("^(DECIMAL|DOUBLE|FLOAT)") if f.kind == "number" else F.lit(False))
+    name = f.path or "document"
+    size = {"array": lambda: F.size(v.try_cast("array<variant>")), "string": lambda: F.length(v.try_cast("string"))}.get(f.kind, lambda: v.try_cast("double"))()
+    ok = there & fits
+    out = [(~there, f"missing {name}")] if f.required else []
+    out.append((there & ~fits, f"{name} is not of kind {f.kind}"))
+    if f.least is not None:
+        out.append((ok & (size < f.least), f"{name} under {f.least:g}"))
+    if f.most is not None:
+        out.append((ok & (size > f.most), f"{name} over {f.most:g}"))
+    if f.values:
+        out.append((ok & ~v.try_cast("string").isin(*f.values), f"{name} outside its values"))
+    if f.keys:
+        out.append((ok & (F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, f.keys)))) > 0), f"{name} has unknown keys"))
+    return [(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in out]
+
+
+def schema_issues(df: DataFrame, key: str, column: str, fields: list[Field]) -> DataFrame:
+    """severity, key, place, rule, message: an issue row for each rule that a JSON document in `column` breaks.
+
+    place: the element's number in its array, else null. A text that is no JSON is one issue; a JSON null is a value of another kind.
+    """
+    docs = df.select(F.col(key).cast("string").alias("key"), F.try_parse_json(F.col(column)).alias("v"))
+    nothing = F.lit(None).cast("long")
+    hits = lambda rules: F.inline(F.array_compact(F.array(*[F.when(c, F.struct(r.alias("rule"))) for c, r in rules])))
+    whole = [(F.col("v").isNull(), F.lit("no JSON")), *[x for f in fields for x in _value_rules(F.col("v"), f)]]
+    whole = [whole[0], *[(F.col("v").isNotNull() & c, r) for c, r in whole[1:]]]
+    found = docs.select("key", nothing.alias("place"), hits(whole))
+    for f in fields:
+        if f.each:
+            items = F.try_variant_get("v", f"$.{f.path}", "array<variant>")
+            one = docs.select("key", F.posexplode(items).alias("place", "e")).select("key", F.col("place").cast("long").alias("place"), "e")
+            found = found.unionByName(one.select("key", "place", hits([(c, F.concat(F.lit(f"{f.path}: "), r)) for e in f.each for c, r in _value_rules(F.col("e"), e)])))
+    message = F.concat_ws(" ", "rule", F.lit("at"), "key", F.concat(F.lit("element "), F.col("place").cast("string")))
+    return found.select(F.lit("ERROR").alias("severity"), "key", "place", "rule", message.alias("message"))
+
+
+#: The three document schemas, by the keys and kinds they have.
+MESSAGE_RULES = (Field("", "object", keys=("speaker", "text", "timestamp", "metadata")), Field("speaker", "string", True, least=1), Field("text", "string", True))
+CONVERSATION_RULES = [
+    Field("", "object", keys=("conversation_id", "persona_id", "source", "metadata", "messages")), Field("conversation_id", "string", True, least=1),
+    Field("persona_id", "string"), Field("source", "string"), Field("metadata", "object"), Field("messages", "array", True, least=2, each=MESSAGE_RULES),
+]
+TRAINING_RULES = [
+    Field("", "object", keys=("conversation_id", "text", "persona_id", "split", "metadata")), Field("conversation_id", "string", True), Field("text", "string", True, least=1),
+    Field("split", "string", values=("train", "val", "test")), Field("metadata", "object"), Field("metadata.num_turns", "integer", least=1),
+]

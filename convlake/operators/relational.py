@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def name_join(left: DataFrame, names: DataFrame, key: str, name: str, default: str) -> DataFrame:
     """`left` with the name of its key, `default` where there is none."""
@@ -44,6 +46,34 @@ def reconcile(source: DataFrame, derived: DataFrame, keys: list[str], value: str
     return both.withColumn("kind", kind).where(F.col("kind").isNotNull()).drop("_s", "_d")
 
 
+def by_place(source: DataFrame, derived: DataFrame, keys: list[str], order: str, values: list[str], at: list[float] | None = None) -> DataFrame:
+    """keys, place, kind of what differs between two tables compared row by row: the n-th row of a key with the n-th.
+
+    kind: missing or extra where one side has fewer rows, else `changed_` and a column of `values`, one row for each. Places are counted in
+    ranges of the order, so that a hot key is spread (`ordered.numbered`).
+    """
+    place = lambda df: numbered(df.select(*keys, order, *[v for v in values if v != order]), keys, order, [order], lambda now, before: F.lit(True), "place", at=at)
+    a, b = (place(df).select(*[F.col(c).alias(f"{p}_{c}") for c in [*keys, "place", *values]]) for df, p in ((source, "a"), (derived, "b")))
+    match = F.col("a_place") == F.col("b_place")
+    for k in keys:
+        match = match & F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
+    both = a.join(b, match, "full")
+    kinds = [F.when(F.col("b_place").isNull(), "missing"), F.when(F.col("a_place").isNull(), "extra")]
+    here = F.col("a_place").isNotNull() & F.col("b_place").isNotNull()
+    kinds += [F.when(here & ~F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")), f"changed_{v}") for v in values]
+    own = [F.when(F.col("a_place").isNotNull(), F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")).alias(k) for k in keys]
+    return both.select(*own, F.coalesce("a_place", "b_place").alias("place"), F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+
+
+def same_runs(runs: list[DataFrame]) -> DataFrame:
+    """n, runs and same: whether the tables have the same rows, whatever their order."""
+    prints = [fingerprint(df) for df in runs]
+    out = prints[0]
+    for p in prints[1:]:
+        out = out.unionByName(p)
+    return out.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("runs"), ((F.count_distinct("hash") == 1) & (F.count_distinct("n") == 1)).alias("same"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and an order-free hash of a table."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("hash"))

@@ -393,6 +393,21 @@ def _(spark, d):
     return R.reconcile(c.select("conv_id", "turn", F.length("text").alias("v")), other, ["conv_id", "turn"], "v").select("conv_id", "turn", "kind")
 
 
+@query(
+    "j08_by_place",
+    """WITH a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, md5(text) AS text, turn FROM conversations),
+    b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, md5(CASE WHEN conv_id % 7 = 0 THEN text || '!' ELSE text END) AS text, turn FROM conversations WHERE conv_id % 5 > 0 OR turn <> 1),
+    j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.place, b.place) AS place, a.place AS pa, b.place AS pb, a.text AS ta, b.text AS tb, a.turn AS na, b.turn AS nb FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.place = b.place)
+    SELECT conv_id, place, 'missing' AS kind FROM j WHERE pb IS NULL UNION ALL SELECT conv_id, place, 'extra' FROM j WHERE pa IS NULL
+    UNION ALL SELECT conv_id, place, 'changed_text' FROM j WHERE pa IS NOT NULL AND pb IS NOT NULL AND ta <> tb UNION ALL SELECT conv_id, place, 'changed_turn' FROM j WHERE pa IS NOT NULL AND pb IS NOT NULL AND na <> nb""",
+)
+def _(spark, d):
+    """Against a copy in which every fifth conversation lacks its second turn, and every seventh has changed texts."""
+    c = table(spark, d, "conversations")
+    other = c.where("conv_id % 5 > 0 OR turn <> 1").withColumn("text", F.when(F.col("conv_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return R.by_place(c, other, ["conv_id"], "turn", ["text", "turn"], cuts(c, "turn"))
+
+
 @query(
     "j13_memorised",
     """SELECT d.doc_id FROM documents d WHERE lower(trim(text)) IN (SELECT lower(trim(text)) FROM documents GROUP BY 1 HAVING count(*) > 1)""",

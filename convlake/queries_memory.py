@@ -360,10 +360,9 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy(F.col("lang").alias("model")).agg(n.alias("n"), F.round(F.avg(F.length("text")), 4).alias("chars"), F.round((n - F.count_distinct("text")) / n, 4).alias("repeated"))
 
 
-@query("e14_repeat_runs")
+@query("e14_repeat_runs", "SELECT count(DISTINCT conv_id) AS n, 3::BIGINT AS runs, true AS same FROM conversations")
 def _(spark, d):
-    a, b = (R.fingerprint(context_analysis(table(spark, d, "conversations"))) for _ in range(2))
-    return a.join(b.select(F.col("hash").alias("again"))).select("n", (F.col("hash") == F.col("again")).alias("same"))
+    return R.same_runs([context_analysis(table(spark, d, "conversations")) for _ in range(3)])
 
 
 @query("e15_categories", "SELECT source, CASE source WHEN 'src0' THEN 'web' WHEN 'src1' THEN 'books' ELSE 'other' END AS category, count(*) AS n FROM documents GROUP BY ALL")

@@ -26,6 +26,30 @@ def _(spark, d):
     return Q.schema_rules(df, "props", ["id"], ["id", "k"])
 
 
+@query(
+    "q01_schema_issues",
+    """WITH c AS (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY 1),
+    e AS (SELECT conv_id, unnest(range(0, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE len(t) END)) AS place, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE len(t) END AS n FROM c),
+    i AS (SELECT conv_id, NULL::BIGINT AS place, 'messages under 2' AS rule FROM e WHERE n < 2 AND conv_id % 11 > 0 GROUP BY conv_id
+      UNION ALL SELECT conv_id, NULL, 'no JSON' FROM c WHERE conv_id % 11 = 0
+      UNION ALL SELECT conv_id, NULL, 'document has unknown keys' FROM c WHERE conv_id % 7 = 0 AND conv_id % 11 > 0
+      UNION ALL SELECT conv_id, NULL, 'persona_id is not of kind string' FROM c WHERE conv_id % 3 = 0 AND conv_id % 11 > 0
+      UNION ALL SELECT conv_id, place, 'messages: missing text' FROM e WHERE (conv_id + place) % 4 = 0 AND conv_id % 11 > 0)
+    SELECT 'ERROR' AS severity, conv_id::VARCHAR AS key, place, rule, rule || ' at ' || conv_id || coalesce(' element ' || place, '') AS message FROM i""",
+)
+def _(spark, d):
+    """Conversations as JSON documents with faults in some: cut text, a strange key, a number for a string, one message, no text."""
+    k = F.col("conv_id")
+    m = F.struct("turn", F.col("role").alias("speaker"), "text")
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(m)).alias("m"))
+    kept = F.when(k % 5 == 0, F.slice("m", 1, 1)).otherwise(F.col("m"))
+    said = F.transform(kept, lambda x, i: F.struct(x["speaker"].alias("speaker"), F.when((k + i) % 4 != 0, x["text"]).alias("text")))
+    odd = F.when(k % 3 == 0, "7").otherwise('"p"')
+    doc = F.concat(F.lit('{"conversation_id": "'), k.cast("string"), F.lit('", "persona_id": '), odd, F.when(k % 7 == 0, ', "extra": 1').otherwise(""), F.lit(', "messages": '), F.to_json(said), F.lit("}"))
+    doc = F.when(k % 11 == 0, F.substring(doc, 1, 20)).otherwise(doc)
+    return Q.schema_issues(rows.select("conv_id", doc.alias("doc")), "conv_id", "doc", Q.CONVERSATION_RULES)
+
+
 @query(
     "q02_duplicates",
     f"""SELECT {_OUT} FROM (SELECT 'ERROR' AS severity, user_id::VARCHAR AS key, event_id AS place, 'duplicate_id' AS rule FROM events
