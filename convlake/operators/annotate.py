@@ -112,3 +112,11 @@ def behaviour(text: Column, previous: Column) -> Column:
         F.arrays_overlap(T.tokens(text), F.array(*map(F.lit, params.SLANG))).alias("has_slang"),
         T.is_question(text, params.OPENERS).alias("is_question"),
     )
+
+
+def likely_language(text: Column, lexicon: dict[str, list[str]]) -> Column:
+    """The language with the most different words of the lexicon in the text; the first of equals, `unknown` without any."""
+    words = F.array_distinct(T.tokens(F.coalesce(text, F.lit(""))))
+    hits = [F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, w)))).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, w) in enumerate(lexicon.items())]
+    best = F.array_max(F.array(*hits))
+    return F.when(best["n"] > 0, best["name"]).otherwise("unknown")

@@ -68,6 +68,21 @@ def consistency(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(~c).alias(n) for n, c in checks.items()])
 
 
+def label_audit(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """check, n, wrong, share: for each named comparison of a stored with a recomputed label, rows where it can be made and where it fails; one pass."""
+    both = [x for name, c in checks.items() for x in (F.count_if(c.isNotNull()).alias(f"{name}_n"), F.count_if(~c).alias(f"{name}_w"))]
+    one = df.agg(*both)
+    rows = [F.struct(F.lit(k).alias("check"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_w").alias("wrong"), F.round(F.col(f"{k}_w") / F.greatest(F.col(f"{k}_n"), F.lit(1)), 4).alias("share")) for k in checks]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def release(audit: DataFrame, limits: dict[str, float], default: float = 0.0) -> DataFrame:
+    """go, failed: whether every check's share of wrong rows is within its limit, and the names of those that are not."""
+    limit = F.coalesce(*[F.when(F.col("check") == k, F.lit(v)) for k, v in limits.items()], F.lit(default))
+    over = F.sort_array(F.collect_list(F.when(F.col("share") > limit, F.col("check"))))
+    return audit.agg(over.alias("failed")).select((F.size("failed") == 0).alias("go"), F.array_join("failed", ",").alias("failed"))
+
+
 def suspicious(parts: dict[str, DataFrame], most: int = 100) -> DataFrame:
     """Categories in their order, then by key, cut at `most` rows."""
     out = None

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from . import params
 from .functions import text as T
+from .operators import annotate as A
 from .operators import profile as P
 from .operators import quality as Q
 from .operators import windows as N
@@ -131,6 +132,56 @@ def _(spark, d):
     return Q.consistency(table(spark, d, "documents"), {"flag": ~c("text").contains("?") | c("text").rlike("[?]"), "lengths": c("n_chars") >= F.size(T.words(c("text"))), "lang": F.lower("lang") == c("lang")})
 
 
+_HITS = {x: f"len(list_intersect(list_distinct({_TOK}), [" + ", ".join(f"'{y}'" for y in w) + "]))" for x, w in params.LEXICON.items()}
+_LIKELY = f"""h AS (SELECT doc_id, text, lang, n_chars, {', '.join(f"{c} AS h_{x}" for x, c in _HITS.items())} FROM documents),
+    r AS (SELECT *, CASE greatest({', '.join(f'h_{x}' for x in _HITS)}) WHEN 0 THEN 'unknown' {' '.join(f"WHEN h_{x} THEN '{x}'" for x in _HITS)} END AS likely FROM h)"""
+_AUDIT = f"""{_LIKELY}, c AS (SELECT r.*, quality FROM r LEFT JOIN labels USING (doc_id)),
+    a AS (SELECT 'language' AS check_name, count(lang) AS n, count_if(lang <> likely)::BIGINT AS wrong FROM c UNION ALL SELECT 'length', count(n_chars), count_if(n_chars <> length(text)) FROM c
+      UNION ALL SELECT 'quality', count(quality), count_if((quality = 1) <> (n_chars >= 200)) FROM c),
+    b AS (SELECT *, round(wrong / greatest(n, 1), 4) AS share FROM a)"""
+
+
+def _audit(spark, d):
+    """Stored against recomputed: the language, the length, and the quality label against the rule that short texts are bad."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    c = F.col
+    checks = {
+        "language": c("lang") == A.likely_language(c("text"), params.LEXICON), "length": c("n_chars") == F.length("text"),
+        "quality": (c("quality") == 1) == (c("n_chars") >= 200),
+    }
+    return Q.label_audit(docs, checks)
+
+
+@query("q12_label_audit", f'WITH {_AUDIT} SELECT check_name AS "check", n, wrong, share FROM b')
+def _(spark, d):
+    return _audit(spark, d)
+
+
+@query(
+    "q17_release",
+    f"WITH {_AUDIT} SELECT count_if(share > CASE check_name WHEN 'language' THEN 0.5 ELSE 0.0 END) = 0 AS go, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (share > CASE check_name WHEN 'language' THEN 0.5 ELSE 0.0 END), '') AS failed FROM b",
+)
+def _(spark, d):
+    return Q.release(_audit(spark, d), {"language": 0.5})
+
+
+@query(
+    "q14_suspicious_labels",
+    f"""WITH {_LIKELY}, s AS (SELECT doc_id::VARCHAR AS key, 0 AS priority, 'wrong_language' AS category FROM r WHERE lang <> likely UNION ALL SELECT doc_id::VARCHAR, 1, 'no_language' FROM r WHERE likely = 'unknown'
+      UNION ALL SELECT doc_id::VARCHAR, 2, 'wrong_length' FROM r WHERE n_chars <> length(text) UNION ALL SELECT doc_id::VARCHAR, 3, 'personal_data' FROM r WHERE contains(text, '@')
+      UNION ALL SELECT doc_id::VARCHAR, 4, 'copied' FROM r WHERE md5(text) IN (SELECT md5(text) FROM r GROUP BY 1 HAVING count(*) > 1))
+    SELECT key, priority, category FROM s ORDER BY priority, key LIMIT 100""",
+)
+def _(spark, d):
+    c = F.col
+    df = table(spark, d, "documents").withColumns({"key": c("doc_id"), "likely": A.likely_language(c("text"), params.LEXICON), "h": F.md5("text")})
+    copies = df.groupBy("h").count().where("count > 1")
+    return Q.suspicious({
+        "wrong_language": df.where("lang <> likely"), "no_language": df.where("likely = 'unknown'"), "wrong_length": df.where(c("n_chars") != F.length("text")),
+        "personal_data": df.where(c("text").contains("@")), "copied": df.join(copies, "h", "left_semi"),
+    })
+
+
 _LEX = "lex(rank, topic, term, weight) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}', {w}::DOUBLE)" for a, b, c, w in params.TOPICS) + ")"
 
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from convlake.operators import annotate as A
 from convlake.operators import profile as P
 from convlake.operators import quality as Q
 from convlake.operators import relational as R
@@ -58,3 +59,14 @@ def test_runs_and_dominance(spark):
     assert not R.same_runs([df, df.where("id < 49")]).first().same
     got = {r.k: (r["rows"], r.percent) for r in P.dominance(df, "s", [1, 3, 50]).collect()}
     assert got == {1: (13, 26.0), 3: (13 + 11 + 9, 66.0), 50: (50, 100.0)}
+
+
+def test_audit_and_release(spark):
+    rows = [(1, "the cat of", "en"), (2, "le chat des", "fr"), (3, "der Hund the", "fr"), (4, "zzz", None), (5, "zzz", "en"), (6, None, "en"), (7, "la la la les de", "es")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").withColumn("likely", A.likely_language(F.col("text"), {"en": ["the", "of"], "fr": ["le", "des", "la", "les"], "es": ["la", "de", "los"], "de": ["der"]}))
+    assert {r.id: r.likely for r in df.collect()} == {1: "en", 2: "fr", 3: "en", 4: "unknown", 5: "unknown", 6: "unknown", 7: "fr"}
+    found = Q.label_audit(df, {"language": F.col("lang") == F.col("likely"), "text": F.col("text").isNotNull()})
+    assert {r.check: (r.n, r.wrong, r.share) for r in found.collect()} == {"language": (6, 4, 0.6667), "text": (7, 1, 0.1429)}
+    assert tuple(Q.release(found, {"language": 0.7, "text": 0.2}).first()) == (True, "")
+    assert tuple(Q.release(found, {"text": 0.1}).first()) == (False, "language,text")
+    assert [tuple(r)[1:] for r in Q.label_audit(df.limit(0), {"x": F.lit(True)}).collect()] == [(0, 0, 0.0)]
