@@ -7,3 +7,4 @@ from . import queries_memory  # noqa: F401
 from . import queries_streaming  # noqa: F401
 from . import queries_more  # noqa: F401
 from . import queries_sources  # noqa: F401
+from . import queries_evaluate  # noqa: F401

@@ -9,13 +9,29 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from .relational import cosine
 
-#: (rule, pattern, type, topic, importance); default table for the languages of the test data.
+#: (content, pattern, type, topic, importance); default table for the languages of the test data.
 RULES = [
-    ("likes", r"(?i)\b(i like|j'aime|ich mag|me gusta)\b", "preference", "things", "medium"),
+    ("likes", r"(?i)\b(i (really )?(like|love|enjoy)|j'aime|ich mag|me gusta)\b", "preference", "things", "medium"),
+    ("dislikes", r"(?i)\b(i (dislike|hate|avoid)|je déteste|ich hasse|odio)\b", "preference", "things", "medium"),
+    ("prefers", r"(?i)\b(i('d)? (prefer|rather)|je préfère|ich bevorzuge|prefiero)\b", "preference", "things", "medium"),
+    ("collects", r"(?i)\b(i collect|je collectionne|ich sammle|colecciono)\b", "preference", "things", "low"),
+    ("owns", r"(?i)\b(i (own|bought)|je possède|ich besitze|tengo un[ao]?)\b", "fact", "things", "low"),
     ("lives", r"(?i)\b(i live|j'habite|ich wohne|vivo en)\b", "fact", "places", "high"),
+    ("comes from", r"(?i)\b(i('m| am) from|je viens d|ich komme aus|soy de)\b", "fact", "places", "medium"),
+    ("works", r"(?i)\b(i work|je travaille|ich arbeite|trabajo (en|de|para))\b", "fact", "places", "high"),
+    ("studies", r"(?i)\b(i (study|am studying)|j'étudie|ich studiere|estudio)\b", "fact", "places", "high"),
+    ("travels", r"(?i)\b(i('m| am) travell?ing|je voyage|ich reise|viajo)\b", "event", "places", "low"),
+    ("moves", r"(?i)\b(i('m| am) moving|je déménage|ich ziehe um|me mudo)\b", "event", "places", "medium"),
     ("name", r"(?i)\b(my name is|je m'appelle|ich heiße|me llamo)\b", "fact", "people", "high"),
-    ("of_the", r"(?i) of the ", "fact", "things", "low"),
-    ("de_la", r"(?i) de la ", "fact", "things", "low"),
+    ("has family", r"(?i)\b(my|mon|ma|mein|meine|mi) (brother|sister|mother|father|frère|sœur|mère|père|bruder|schwester|mutter|vater|hermano|hermana|madre|padre)\b", "relation", "people", "medium"),
+    ("has a partner", r"(?i)\b(my (wife|husband|partner)|(mon mari|ma femme)|mein mann|meine frau|mi (esposa|esposo))\b", "relation", "people", "high"),
+    ("has a friend", r"(?i)\b(my (best )?friend|mon ami|mein freund|mi amig[oa])\b", "relation", "people", "medium"),
+    ("has a pet", r"(?i)\b(my|mon|mein|mi) (dog|cat|chien|chat|hund|kater|perro|gato)\b", "relation", "people", "low"),
+    ("speaks", r"(?i)\b(i speak|je parle|ich spreche|hablo)\b", "fact", "people", "medium"),
+    ("age", r"(?i)\b(i('m| am) [0-9]+ years old|j'ai [0-9]+ ans|ich bin [0-9]+ jahre|tengo [0-9]+ años)\b", "fact", "time", "high"),
+    ("birthday", r"(?i)\b(my birthday|mon anniversaire|mein geburtstag|mi cumpleaños)\b", "event", "time", "high"),
+    ("has a date", r"(?i)\b(i have (an appointment|a meeting|an exam)|j'ai (un rendez-vous|un examen)|ich habe (einen termin|eine prüfung)|tengo (una cita|un examen))\b", "event", "time", "medium"),
+    ("has a habit", r"(?i)\b(i (always|usually|never)|je (.{1,20} )?toujours|ich .{1,20} immer|siempre)\b", "habit", "time", "low"),
 ]
 EPHEMERAL = r"(?i)^\s*(ok|okay|yes|no|thanks|merci|danke|hi|hello)?[.!? ]*\s*$"
 FILLERS = ["the", "a", "of", "to", "is", "and"]
@@ -123,7 +139,7 @@ def search_score(q_embedding: Column, m_embedding: Column, q_words: Column, m_wo
 def select_policy(
     ranked: DataFrame, query: str, least: float = 0.45, most: int = 2, by: str = "semantic", topic: str | None = None, state: str | None = None
 ) -> DataFrame:
-    """The first `most` memories of each query at or over `least` by the column `by`, as an array of ids.
+    """The first `most` memories of each query at or over `least` by the column `by`: their ids and, where known, topics, as arrays.
 
     topic: the query's topic; a memory with a topic (m_topic) must have the same one, or for small talk be general itself.
     state: the query's state; closing conversations get none. Rows that a status column calls other than active are left out.
@@ -138,8 +154,10 @@ def select_policy(
         loose = wanted.isin("casual_chat", "other")
         good = good.where((own == "") | F.when(loose, own.isin("casual_chat", "general")).otherwise(own == wanted))
     good = top_k(good, query, [F.desc(by), F.col("m_id")], most)
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "m_id"))), lambda x: x["m_id"])
-    return good.groupBy(query).agg(ids.alias("memory_ids"))
+    given = [c for c in ("m_id", "m_topic") if c in good.columns]
+    listed = F.sort_array(F.collect_list(F.struct("rank", *given)))  # of `most` rows
+    names = {"m_id": "memory_ids", "m_topic": "memory_topics"}
+    return good.groupBy(query).agg(*[listed.getField(c).alias(names[c]) for c in given])
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from .. import params
 from ..operators import annotate as A
 from ..operators import decide as D
+from ..operators import evaluate as E
 from ..operators import memory as M
 from ..operators import windows as N
 
@@ -53,3 +54,29 @@ def plan_conversations(turns: DataFrame, ranked: DataFrame | None = None, key: s
         context = context.withColumn("memory_ids", F.lit(None).cast("array<long>"))
     context = context.withColumn("use_memory", F.coalesce(F.size("memory_ids") > 0, F.lit(False)))
     return D.plan(context.fillna({"low": "", "state": "ongoing", "intent": "unknown", "ambiguity": "high", "activity": ""}))
+
+
+# What stands in for the context where a mode has none.
+BLANK = {"topic": "casual_chat", "state": "ongoing", "intent": "unknown", "ambiguity": "low", "activity": ""}
+#: mode: whether it sees the context, memories and planning.
+MODES = {"full": (True, True, True), "no_context": (False, True, True), "no_memory": (True, False, True), "no_planning": (True, True, False), "persona_only": (False, False, False)}
+
+
+def ablation(context: DataFrame, memories: DataFrame, key: str = "conv_id", k: int = 3, least: float = 0.45, most: int = 2, gate: bool = True, modes: dict[str, tuple] | None = None) -> DataFrame:
+    """One plan for each analysed conversation and mode, with memory_ids, memory_topics, use_memory; one pass over the context.
+
+    context: as `context_analysis` gives it. memories: `key`, m_id and what else `memory.retrieve` knows. Rows are repeated for the modes
+    before anything that differs between them, so context, candidates and plan are one job. gate: whether the policy asks for the topic
+    of the conversation. Without planning strategy and tone are the defaults.
+    """
+    modes = modes or MODES
+    cases = E.sweep(context, {m: {} if seen else BLANK for m, (seen, _, _) in modes.items()})
+    asks = cases.where(F.col("mode").isin(*[m for m, x in modes.items() if x[1]]))
+    asks = asks.select(key, "state", F.struct(key, "mode").alias("q_id"), F.col("last_user_message").alias("q_text"), F.col("topic").alias("q_topic"))
+    found = M.retrieve(asks, memories, key, k)
+    chosen = M.select_policy(found, "q_id", least=least, most=most, by="score", topic="q_topic" if gate else None, state="state")
+    chosen = chosen.select(F.col("q_id")[key].alias(key), F.col("q_id")["mode"].alias("mode"), "memory_ids", "memory_topics")
+    df = cases.join(chosen, [key, "mode"], "left").withColumn("use_memory", F.coalesce(F.size("memory_ids") > 0, F.lit(False)))
+    df = D.plan(df.fillna({"low": "", "state": "ongoing", "intent": "unknown", "ambiguity": "high", "activity": ""}))
+    plain = F.col("mode").isin(*[m for m, x in modes.items() if not x[2]])
+    return df.withColumns({"strategy": F.when(plain, "react").otherwise(F.col("strategy")), "tone": F.when(plain, "casual").otherwise(F.col("tone"))})

@@ -24,9 +24,11 @@ _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 # --- memory ----------------------------------------------------------------------------------------
 
+# the texts of the tables are invented words, so that rules of function words find facts in them beside those of the library
+_STANDINS = [*M.RULES, ("of_the", r"(?i) of the ", "fact", "things", "low"), ("de_la", r"(?i) de la ", "fact", "things", "low")]
 _HITS = " UNION ALL ".join(
     f"SELECT conv_id, turn, {i} AS no, '{r[0]}' AS content, '{r[2]}' AS memory_type, '{r[3]}' AS topic, '{r[4]}' AS importance FROM u WHERE regexp_matches(text, '{r[1].replace(chr(39), chr(39) * 2)}')"
-    for i, r in enumerate(M.RULES)
+    for i, r in enumerate(_STANDINS)
 )
 
 
@@ -36,7 +38,7 @@ _HITS = " UNION ALL ".join(
     SELECT conv_id, turn, content, memory_type, topic, importance FROM ({_HITS}) QUALIFY row_number() OVER (PARTITION BY conv_id, content ORDER BY turn, no) = 1""",
 )
 def _(spark, d):
-    return M.extract_facts(table(spark, d, "conversations"), "conv_id", "turn")
+    return M.extract_facts(table(spark, d, "conversations"), "conv_id", "turn", _STANDINS)
 
 
 @query("m02_ephemeral", f"SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(text, '{M.EPHEMERAL}')")
@@ -268,7 +270,7 @@ def _(spark, d):
 @query("e05_plan_job")
 def _(spark, d):
     turns = table(spark, d, "conversations")
-    facts = M.extract_facts(turns, "conv_id", "turn").select("conv_id", F.col("turn").alias("m_id"), F.col("topic").alias("m_topic"), F.lit(0.6).alias("score"))
+    facts = M.extract_facts(turns, "conv_id", "turn", _STANDINS).select("conv_id", F.col("turn").alias("m_id"), F.col("topic").alias("m_topic"), F.lit(0.6).alias("score"))
     return plan_conversations(turns, facts)
 
 

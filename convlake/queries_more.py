@@ -96,7 +96,7 @@ def _(spark, d):
 def _(spark, d):
     from .operators import memory as M
 
-    return M.extract_facts(table(spark, d, "conversations"), "conv_id", "turn", [M.RULES[3]]).select("conv_id", "turn")
+    return M.extract_facts(table(spark, d, "conversations"), "conv_id", "turn", [("of_the", r"(?i) of the ", "fact", "things", "low")]).select("conv_id", "turn")
 
 
 @query("m13_topk_per_query", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5")
