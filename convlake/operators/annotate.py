@@ -94,6 +94,12 @@ def ambiguity(text: Column, nouns: list[str]) -> Column:
     return F.when((n <= 2) & ~known, "high").when(n <= 5, "medium").otherwise("low")
 
 
+def recent_activity(before: Column, phrases: list[tuple[str, str]]) -> Column:
+    """The label of the first of `phrases` (phrase, label) that the preceding turns hold, in lower case; null without any."""
+    found = [F.when(F.lower(before).contains(phrase.lower()), F.lit(label)) for phrase, label in phrases]
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
 def quality_flag(text: Column, longest: int = 500) -> Column:
     """REVIEW for personal data or a long text, else KEEP."""
     return F.when((F.size(T.personal_data(text)) > 0) | (F.length(text) > longest), "REVIEW").otherwise("KEEP")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text as T
 from .relational import cosine
@@ -63,6 +67,22 @@ def embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     return vec.select(key, values.alias("embedding"))
 
 
+def embeddings(df: DataFrame, key: str, text: str, model: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None, dim: int = 64) -> DataFrame:
+    """key, embedding of every row: by `model`, or by `embed` without leaving the engine, with zeros where a text has no words.
+
+    model: gets the texts of a task batch by batch (null: empty), so that it loads its weights once for each task, and gives a series of
+    vectors, as long as the batch, for each. Its rows are not moved.
+    """
+    if model is None:
+        zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+        return df.select(key).join(embed(df, key, text, dim), key, "left").withColumn("embedding", F.coalesce("embedding", zeros))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from model(batches)
+
+    return df.select(key, F.pandas_udf(run, ArrayType(FloatType()))(F.coalesce(text, F.lit(""))).alias("embedding"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Word overlap of two token arrays; 0 if either is empty."""
     both, any_of = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

@@ -87,3 +87,29 @@ def confusion(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     right = F.count_if(F.col(expected) == F.col(predicted))
     n = F.count(F.lit(1))
     return df.rollup(expected).agg(n.alias("n"), right.alias("right"), F.round(right / n, 4).alias("accuracy"))
+
+
+def confidence_profile(df: DataFrame, by: str, key: str, confidence: str, score: str, samples: int = 10) -> DataFrame:
+    """One row for each value of `by`: rows, percent of all, mean, least and highest confidence, mean score, and the keys of the surest rows.
+
+    samples: at most so many keys, by confidence (highest first), then key.
+    """
+    top = df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc(confidence), key))).where(F.col("_r") <= samples)
+    top = top.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_r", key))).getField(key).alias("samples"))
+    n = F.count(F.lit(1))
+    out = df.groupBy(by).agg(
+        n.alias("n"), F.round(F.avg(F.col(confidence).cast("decimal(12,6)")), 4).cast("double").alias("mean_confidence"), F.min(confidence).alias("least"), F.max(confidence).alias("most"), F.round(F.avg(score), 4).alias("mean_score")
+    )
+    whole = F.sum("n").over(W.partitionBy(F.lit(1)))  # of the groups, not of rows
+    return out.withColumn("percent", F.round(F.col("n") * 100.0 / whole, 2)).join(top, by, "left")
+
+
+def ambiguous_prompts(pairs: DataFrame, prompt: str, response: str, priority: list[str], most_words: int = 4, least: int = 2) -> DataFrame:
+    """prompt, responses, priority: whole prompts of at most `most_words` words that got `least` or more different responses.
+
+    Prompts are compared without punctuation, blanks folded, every word capitalised. priority: whether one of these words stands in it.
+    """
+    norm = F.initcap(F.lower(T.strip(F.regexp_replace(F.regexp_replace(F.col(prompt), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))))
+    df = pairs.select(norm.alias("prompt"), F.col(response).alias("_r")).where("prompt <> '' AND _r IS NOT NULL").where(F.size(F.split("prompt", " ")) <= most_words)
+    out = df.groupBy("prompt").agg(F.count_distinct("_r").alias("responses")).where(F.col("responses") >= least)
+    return out.withColumn("priority", F.arrays_overlap(F.split(F.lower("prompt"), " "), F.array(*map(F.lit, priority))))

@@ -48,6 +48,13 @@ TOPICS = [
     (3, "time", "was", 0.9), (3, "time", "when", 1.2), (3, "time", "als", 0.9), (3, "time", "cuando", 1.2),
     (4, "things", "this", 0.7), (4, "things", "that", 0.7), (4, "things", "une", 0.7), (4, "things", "das", 0.7),
 ]
+#: (rank, topic, phrase, weight): phrases of one to four words; all are inputs.
+PHRASES = [
+    (1, "places", "in the", 1.0), (1, "places", "at the", 1.0), (1, "places", "in", 0.2), (1, "places", "dans le", 1.0), (1, "places", "auf der", 1.0),
+    (2, "people", "with you", 1.5), (2, "people", "who is", 1.5), (2, "people", "you are", 1.2), (2, "people", "qui est", 1.2),
+    (3, "time", "when it was", 2.0), (3, "time", "it was", 1.0), (3, "time", "this is not the", 2.0), (3, "time", "als das", 1.0),
+    (4, "things", "that is", 1.0), (4, "things", "of the", 0.6), (4, "things", "is a", 0.6), (4, "things", "de la", 0.6), (4, "things", "das ist", 1.0),
+]
 DEPTHS = [1, 2, 4, 6]
 
 _START, _END = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"  # of a word, in any alphabet and either engine

@@ -9,6 +9,7 @@ from .functions import text as T
 from .functions.rules import first_match_sql
 from .operators import annotate as A
 from .operators import decide as D
+from .operators import lexicon as X
 from .operators import windows as N
 from .registry import query, table
 
@@ -225,8 +226,7 @@ def _(spark, d):
     f"WITH {_PAIRS} SELECT k, CASE WHEN contains(lower(context), 'of the') THEN 'first' WHEN contains(lower(context), 'de la') THEN 'second' END AS activity FROM pairs",
 )
 def _(spark, d):
-    low = F.lower("context")
-    return pairs(spark, d).select("k", F.when(low.contains("of the"), "first").when(low.contains("de la"), "second").alias("activity"))
+    return pairs(spark, d).select("k", A.recent_activity(F.col("context"), [("of the", "first"), ("de la", "second")]).alias("activity"))
 
 
 @query("a21_context_job")
@@ -269,6 +269,30 @@ def _(spark, d):
     return df.join(lexicon, "term").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PHRASES = "lex(rank, topic, phrase, weight) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}', {w}::DOUBLE)" for a, b, c, w in params.PHRASES) + ")"
+_HITS = f"""{_PHRASES}, l AS (SELECT *, {_TOKENS.format('phrase')} AS want FROM lex), t AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), s AS (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS p FROM t),
+    h AS (SELECT doc_id, p - 1 AS place, rank, topic, phrase, weight FROM s JOIN l ON t[p] = want[1] AND t[p:p + len(want) - 1] = want)"""
+
+
+def _phrases(spark):
+    return spark.createDataFrame(params.PHRASES, "rank int, topic string, phrase string, weight double")
+
+
+@query("j04_phrase_hits", f"WITH {_HITS} SELECT doc_id, phrase, count(*) AS n, min(place)::INT AS first_place FROM h GROUP BY ALL")
+def _(spark, d):
+    hits = X.phrase_hits(table(spark, d, "documents"), ["doc_id"], "text", _phrases(spark))
+    return hits.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
+
+
+@query(
+    "a14_phrase_topics",
+    f"""WITH {_HITS}, g AS (SELECT doc_id, topic, round(sum(weight), 6) AS score, min(rank) AS rank FROM (SELECT DISTINCT doc_id, rank, topic, phrase, weight FROM h) GROUP BY ALL)
+    SELECT doc_id, topic, score FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank, topic) = 1""",
+)
+def _(spark, d):
+    return X.phrase_topics(table(spark, d, "documents"), "doc_id", "text", _phrases(spark))
+
+
 @query("w06_message_type", r"""SELECT page_id, CASE WHEN trim(url) = '' THEN 'empty' WHEN regexp_full_match(trim(url), 'https?://\S+') THEN 'url' ELSE 'text' END AS kind FROM pages""")
 def _(spark, d):
     from .sources.chat_export import message_type

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,6 +62,19 @@ def _(spark, d):
     return M.embed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def letter_model(batches):
+    """A model of three figures: characters, vowels and digits of a text."""
+    for s in batches:
+        yield pd.Series([[float(len(x)), float(len(re.findall("[aeiou]", x))), float(len(re.findall("[0-9]", x)))] for x in s])
+
+
+@query("m05_plugged_model", "SELECT doc_id, length(t)::DOUBLE AS chars, len(regexp_extract_all(t, '[aeiou]'))::DOUBLE AS vowels, len(regexp_extract_all(t, '[0-9]'))::DOUBLE AS digits FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def _(spark, d):
+    v = F.col("embedding")
+    e = M.embeddings(table(spark, d, "documents"), "doc_id", "text", letter_model)
+    return e.select("doc_id", *[v[i].cast("double").alias(c) for i, c in enumerate(("chars", "vowels", "digits"))])
+
+
 _VEC = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 

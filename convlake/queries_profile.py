@@ -11,6 +11,7 @@ from .operators import annotate as A
 from .operators import profile as P
 from .operators import quality as Q
 from .operators import windows as N
+from .queries_annotate import _PAIRS, _TOKENS, _TOPICS, pairs
 from .queries_basic import _CONTEXT, _SPLIT, _documents, examples, split
 from .registry import query, table
 
@@ -352,6 +353,37 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
+@query(
+    "g18_prompts_of_lines",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), p AS (SELECT line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS response FROM l),
+    n AS (SELECT response, trim(regexp_replace(regexp_replace(line, '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM p WHERE response IS NOT NULL),
+    c AS (SELECT array_to_string(list_transform(string_split(lower(k), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS prompt, response FROM n WHERE k <> '' AND len(string_split(k, ' ')) <= 4)
+    SELECT prompt, count(DISTINCT response) AS responses, list_has_any(string_split(lower(prompt), ' '), ['thank', 'home', 'the', 'la', 'der']) AS priority FROM c GROUP BY prompt HAVING count(DISTINCT response) >= 2""",
+)
+def _(spark, d):
+    lines = table(spark, d, "documents").select(F.split("text", "\n").alias("l"))
+    both = F.arrays_zip(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))).alias("prompt"), F.slice("l", F.lit(2), F.size("l")).alias("response"))
+    return P.ambiguous_prompts(lines.where(F.size("l") > 1).select(F.inline(both)), "prompt", "response", ["thank", "home", "the", "la", "der"])
+
+
+@query(
+    "g19_topic_confidence",
+    f"""WITH {_TOPICS}, {_PAIRS}, hit AS (SELECT k, rank, topic, sum(weight * (CASE WHEN list_contains({_TOKENS.format('prompt')}, term) THEN 1.8 ELSE 0 END
+      + CASE WHEN list_contains({_TOKENS.format('target')}, term) THEN 1.3 WHEN list_contains({_TOKENS.format('context')}, term) THEN 0.9 ELSE 0 END)) AS score FROM
+      (SELECT k, coalesce(prompt, '') AS prompt, target, context FROM pairs), lex GROUP BY ALL),
+    best AS (SELECT k, score, topic FROM hit QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(score, 9) DESC, rank) = 1),
+    x AS (SELECT p.k, length(target) AS size, CASE WHEN round(score, 9) < 1.0 THEN CASE WHEN len(list_filter(regexp_split_to_array(target, '\\s+'), lambda x: x <> '')) <= 4 THEN 'casual_chat' ELSE 'other' END ELSE topic END AS topic,
+      round(greatest(0.2, least(1.0, score / 5.0)), 4) AS confidence FROM pairs p JOIN best USING (k)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY confidence DESC, k) AS r FROM x)
+    SELECT topic, count(*) AS n, round(avg(confidence::DECIMAL(12,6)), 4) AS mean_confidence, min(confidence) AS least, max(confidence) AS most, round(avg(size), 4) AS mean_score, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent,
+      string_agg(k::VARCHAR, ',' ORDER BY r) FILTER (r <= 10) AS samples FROM r GROUP BY topic""",
+)
+def _(spark, d):
+    p = pairs(spark, d)
+    x = A.classify_topic(p, "k", "prompt", "target", "context", params.TOPICS).join(p.select("k", F.length("target").alias("size")), "k")
+    return P.confidence_profile(x, "topic", "k", "confidence", "size").withColumn("samples", F.array_join(F.transform("samples", lambda k: k.cast("string")), ","))
+
+
 @query("g20_flag_crosscounts", "SELECT lang, count_if(contains(text, '?'))::BIGINT AS q, count_if(contains(text, '!'))::BIGINT AS e, count_if(contains(text, '?') AND contains(text, '!'))::BIGINT AS qe FROM documents GROUP BY 1")
 def _(spark, d):
     q, e = F.col("text").contains("?"), F.col("text").contains("!")
