@@ -8,7 +8,9 @@
 3. Purity (share of bad URLs) is smoothed from the table over templates that hosts share down to the host: from the table's share,
    along the template's nodes with the counts of all hosts, then along them with the host's merged counts; each step weighs what it
    comes from like `weight` URLs. The host as a whole counts only where at least the share `evidence` of its URLs is labelled.
-   A template at or over `reject` is blocked.
+   A template at or over `reject` is blocked. What hosts share is told by registered domains (the last two labels of a host): each
+   weighs at most `witness` URLs in a node and in the table's share, a node of fewer than `domains` labelled ones tells other
+   hosts nothing, and the table's share counts as `prior_most` at most, so that by itself it need not reject.
 
 Work is on distinct (host, template) counts and nodes, not on URLs, by sums and joins alone; counts combine before each shuffle,
 so a host with a third of all URLs costs no more than its distinct templates. Paths of any depth count whole.
@@ -106,7 +108,7 @@ def merge_branches(nodes: DataFrame, z: float) -> DataFrame:
 
 def template_verdicts(
     counts: DataFrame, max_children: int = 32, min_support: int = 20, z: float = 2.58, weight: float = 10.0, reject: float = 0.7,
-    evidence: float = 0.5,
+    evidence: float = 0.5, witness: int | None = None, domains: int = 1, prior_most: float = 1.0,
 ) -> DataFrame:
     """(host, segs) rows with n, labelled, bad -> host, segs, template, purity, blocked."""
     rows = stash(generalise(counts, max_children, min_support), "url-rows")
@@ -115,13 +117,20 @@ def template_verdicts(
     steps = steps.withColumns({"key": key_of(F.col("gen"), F.col("d")), "up": key_of(F.col("gen"), F.greatest(F.col("d") - 1, F.lit(0)))})
     nodes = steps.groupBy("host", "d", "key", "up").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
     nodes = stash(nodes, "url-nodes")
-    shared = nodes.groupBy("d", "key").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    total = nodes.where("d = 0").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
-    prior = ((total.bad or 0) + 1.0) / ((total.labelled or 0) + 2.0)
+    told_by = nodes.where("labelled > 0").groupBy("d", "key", F.substring_index("host", ".", -2).alias("domain"))
+    told_by = told_by.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    if witness is not None:
+        capped = F.least(F.col("labelled"), F.lit(witness))
+        told_by = told_by.withColumn("bad", F.col("bad") * capped / F.col("labelled")).withColumn("labelled", capped)
+    shared = told_by.groupBy("d", "key").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("told_by"))
+    shared = stash(shared, "url-shared")
+    total = shared.where("d = 0").first()  # of the root, the same node for all hosts
+    prior = min(prior_most, (total.all_bad + 1.0) / (total.all_labelled + 2.0) if total else 0.5)
+    shared = shared.where(F.col("told_by") >= domains).drop("told_by")
     told = (F.col("d") > 0) | (F.col("labelled") >= evidence * F.col("n"))
-    own = nodes.join(merge_branches(nodes, z), ["host", "d", "key"], "left").join(shared, ["d", "key"])
+    own = nodes.join(merge_branches(nodes, z), ["host", "d", "key"], "left").join(shared, ["d", "key"], "left")
     own = own.select(
-        "host", "d", "key", "all_labelled", "all_bad",
+        "host", "d", "key", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all_labelled", "all_bad")],
         *[F.when(told, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("m_labelled", "m_bad")],
     )
     chain = F.sort_array(F.collect_list(F.struct("d", "all_labelled", "all_bad", "m_labelled", "m_bad")))
@@ -170,4 +179,4 @@ def filter_urls(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, witness=20, domains=2, prior_most=0.5).select("page_id", "host", "path", "rule", "verdict")

@@ -205,6 +205,29 @@ def test_url_tree(spark, seed):
     assert any(w for w, (h, _, _) in zip(want, rows) if h == "e.net")  # a host without labels learns from the others
 
 
+def test_url_domains_as_witnesses(spark):
+    """A template crosses hosts on the word of two domains, however many URLs or hosts one has; the table's share alone rejects nothing."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"http://h{i % 9}.one.com/ads/{i}", 1) for i in range(900)] + [(f"http://z.three.net/ads/{i}", None) for i in range(5)] + [(f"http://z.three.net/news/{i}", None) for i in range(5)]
+    rows += [(f"http://h.one.com/news/{i}", 1) for i in range(60)] + [(f"http://h.two.org/news/{i}", 0) for i in range(25)]
+    more = [(f"http://two.org/ads/{i}", 1) for i in range(30)]
+    options = {"witness": 20, "domains": 2, "prior_most": 0.5}
+
+    def blocked(rows, **options):
+        df = spark.createDataFrame(rows, "url string, y int").repartition(3)
+        out = url_filters.filter_urls(df, rules=[], label=F.col("y"), **options).where("verdict = 'block' AND host = 'z.three.net'")
+        return {r.url.split("/")[3] for r in out.collect()}
+
+    assert blocked(rows) == {"ads", "news"}, "one domain's URLs outvote the rest"
+    assert blocked(rows, **options) == set()
+    assert blocked(rows + more, **options) == {"ads"}
+    one = spark.createDataFrame(rows[:900] + [(f"http://h1.one.com/ads/x{i}", None) for i in range(3)], "url string, y int")
+    assert url_filters.filter_urls(one, rules=[], label=F.col("y"), **options).where("verdict = 'allow'").count() == 0, "a host's own labels decide as before"
+    none = spark.createDataFrame([("http://a.b/c", None), (None, None)], "url string, y int")
+    assert [r.verdict for r in url_filters.filter_urls(none, rules=[], label=F.col("y"), **options).collect()] == ["allow", "allow"]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="cookie-notice"><p>We use cookies, many, many of them, all the time, believe us.</p></div>
 <div id=content><div class="post"><h2>Caf&eacute; &amp; more</h2><p>First   paragraph, long enough to count, with commas, and <b>bold</b>
