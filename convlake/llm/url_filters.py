@@ -136,10 +136,12 @@ def template_verdicts(
     chain = F.sort_array(F.collect_list(F.struct("d", "all_labelled", "all_bad", "m_labelled", "m_bad")))
     found = steps.select("host", "gen", "d", "key").join(own, ["host", "d", "key"]).groupBy("host", "gen").agg(chain.alias("chain"))
 
-    def smooth(start: Column, labelled: str, bad: str) -> Column:
-        return F.aggregate("chain", start, lambda p, c: (c[bad] + weight * p) / (c[labelled] + weight))
+    def smooth(start: Column, labelled: str, bad: str, most: float = 1.0) -> Column:
+        step = lambda p, c: (c[bad] + weight * p) / (c[labelled] + weight)
+        # the root of all hosts is the table's share once more
+        return F.aggregate("chain", start, lambda p, c: F.when(c["d"] == 0, F.least(step(p, c), F.lit(most))).otherwise(step(p, c)))
 
-    purity = smooth(smooth(F.lit(prior), "all_labelled", "all_bad"), "m_labelled", "m_bad")
+    purity = smooth(smooth(F.lit(prior), "all_labelled", "all_bad", prior_most), "m_labelled", "m_bad")
     found = found.select("host", "gen", purity.alias("purity"))
     out = rows.join(found, ["host", "gen"])
     template = F.concat(F.lit("/"), F.array_join("gen", "/")).alias("template")
