@@ -106,7 +106,7 @@ def upsert_runs(events: DataFrame, persona: str, slot: str, value: str, order: l
 
 def score(semantic: Column, topical: Column, importance: Column, age_days: Column, decay_days: float = 30.0) -> Column:
     """0.4 semantic + 0.3 topic + 0.2 importance + 0.1 recency, in [0, 1]; recency 0.5 for an unknown age."""
-    recency = F.coalesce(F.exp(-F.greatest(age_days, F.lit(0.0)) / decay_days), F.lit(0.5))
+    recency = F.when(age_days.isNotNull(), F.exp(-F.greatest(age_days, F.lit(0.0)) / decay_days)).otherwise(0.5)  # greatest alone would take null for 0
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * semantic + 0.3 * topical + 0.2 * importance + 0.1 * recency))
 
 

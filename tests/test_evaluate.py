@@ -94,3 +94,10 @@ def test_fact_rules_find_their_facts(spark):
     for r in out:
         got.setdefault(r.k, set()).add((r.content, r.turn))
     assert got == {i: {(name, 1)} for i, name in enumerate(said)} | {94: {("likes", 1), ("name", 1)}}
+
+
+def test_an_unknown_age_is_half_recent(spark):
+    ages = spark.createDataFrame([(1, None), (2, 0.0), (3, -4.0), (4, 30.0)], "k int, age double")
+    one = F.lit(0.0)
+    got = {r.k: r.s for r in ages.select("k", F.round(M.score(one, one, one, F.col("age")), 6).alias("s")).collect()}
+    assert got == {1: 0.05, 2: 0.1, 3: 0.1, 4: 0.036788}
