@@ -112,7 +112,7 @@ def response_metrics(responses: DataFrame, keys: list[str], seen: DataFrame, fir
     known = seen.select(F.md5(low("target")).alias("_h")).distinct().withColumn("_seen", F.lit(True))
     df = responses.withColumn("_low", low("response")).withColumn("_h", F.md5("_low")).join(known, "_h", "left")
     words, of = F.col("_w"), lambda xs: F.arrays_overlap(T.tokens(F.col("_low")), F.array(*map(F.lit, xs)))
-    df = df.withColumns({"_w": F.size(T.words(F.col("_low"))), "_mixed": of(first) & of(second), "_formal": F.col("_low").rlike(markers)})
+    df = df.withColumns({"_w": F.size(T.words(F.col("_low"))), "_mixed": of(first) & of(second), "_formal": F.col("_low").rlike(T.portable(markers))})
     n = F.count(F.lit(1))
     percent = lambda c: F.round(F.count_if(c) * 100.0 / n, 2)
     return df.groupBy(*keys).agg(

@@ -44,9 +44,9 @@ IMPORTANCE = {"high": 1.0, "medium": 0.6, "low": 0.2}
 
 def extract_facts(turns: DataFrame, key: str, order: str, rules: list[tuple] = RULES) -> DataFrame:
     """User turns that are not ephemeral: every rule that fits emits; the first of each content in a conversation stays."""
-    use = turns.where(F.col("role").isin("user", "human") & ~F.col("text").rlike(EPHEMERAL))
+    use = turns.where(F.col("role").isin("user", "human") & ~F.col("text").rlike(T.portable(EPHEMERAL)))
     fields = lambda r, i: F.struct(F.lit(i).alias("rule_no"), F.lit(r[0]).alias("content"), F.lit(r[2]).alias("memory_type"), F.lit(r[3]).alias("topic"), F.lit(r[4]).alias("importance"))
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(r[1]), fields(r, i)) for i, r in enumerate(rules)]))
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(T.portable(r[1])), fields(r, i)) for i, r in enumerate(rules)]))
     df = use.select(key, order, F.inline(hits))
     w = W.partitionBy(key, "content").orderBy(order, "rule_no")
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "rule_no")

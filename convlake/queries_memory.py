@@ -46,7 +46,7 @@ def _(spark, d):
 
 @query("m02_ephemeral", f"SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(text, '{M.EPHEMERAL}')")
 def _(spark, d):
-    return table(spark, d, "conversations").where(~F.col("text").rlike(M.EPHEMERAL)).select("conv_id", "turn")
+    return table(spark, d, "conversations").where(~F.col("text").rlike(T.portable(M.EPHEMERAL))).select("conv_id", "turn")
 
 
 _FILL = ", ".join(f"'{x}'" for x in M.FILLERS)
