@@ -109,7 +109,7 @@ def ambiguous_prompts(pairs: DataFrame, prompt: str, response: str, priority: li
 
     Prompts are compared without punctuation, blanks folded, every word capitalised. priority: whether one of these words stands in it.
     """
-    norm = F.initcap(F.lower(T.strip(F.regexp_replace(F.regexp_replace(F.col(prompt), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))))
+    norm = T.capitalised(T.strip(F.regexp_replace(F.regexp_replace(F.col(prompt), r"[^\p{L}\p{N}\s]", " "), r"\s+", " ")))
     df = pairs.select(norm.alias("prompt"), F.col(response).alias("_r")).where("prompt <> '' AND _r IS NOT NULL").where(F.size(F.split("prompt", " ")) <= most_words)
     out = df.groupBy("prompt").agg(F.count_distinct("_r").alias("responses")).where(F.col("responses") >= least)
     return out.withColumn("priority", F.arrays_overlap(F.split(F.lower("prompt"), " "), F.array(*map(F.lit, priority))))
