@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from ..functions import text as T
+from . import neighbours as N
 from .relational import cosine
 
 #: (content, pattern, type, topic, importance); default table for the languages of the test data.
@@ -120,18 +122,63 @@ def query_text(*choices: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in choices], F.lit(""))
 
 
-def retrieve(queries: DataFrame, memories: DataFrame, persona: str, k: int = 5, own: bool = False, keywords: dict[str, list[str]] | None = None) -> DataFrame:
+def _weight() -> Column:
+    weight = F.lit(None).cast("double")
+    for name, value in IMPORTANCE.items():
+        weight = F.when(F.col("m_importance") == name, value).otherwise(weight)
+    return F.coalesce(weight, F.lit(0.6))
+
+
+def _retrieve_blocks(queries: DataFrame, active: DataFrame, persona: str, k: int, own: bool, keywords: dict[str, list[str]]) -> DataFrame:
+    words = lambda c: T.tokens(F.coalesce(c, F.lit("")))
+    says = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.arrays_overlap(words("q_text"), F.array(*map(F.lit, xs))), F.lit(t.lower())) for t, xs in keywords.items()]))
+    q = queries.select(persona, "q_id", "q_embedding", words("q_text").alias("q_words"), F.lower("q_topic").alias("q_topic"), says.alias("says"))
+    rest = score(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("m_age_days")) / 0.1
+    m = active.select(persona, "m_id", "m_embedding", words("m_text").alias("m_words"), F.lower("m_topic").alias("m_topic"), _weight().alias("weight"), rest.alias("recency"), "m_age_days")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        some = lambda xs: np.array([x is not None and len(x) > 0 for x in xs])
+        both = np.outer(some(a["q_embedding"]), some(b["m_embedding"]))
+        semantic = N.cosines(a["q_embedding"], b["m_embedding"])
+        if not both.all():
+            semantic = np.where(both, semantic, N.overlaps(a["q_words"], b["m_words"]))
+        topics = {t: (b["m_topic"] == t).to_numpy() for t in b["m_topic"].dropna().unique() if t}
+        fit = np.zeros(both.shape, dtype=bool)
+        for y, (topic, said) in enumerate(zip(a["q_topic"], a["says"])):
+            for t in {topic, *said} & topics.keys():
+                fit[y] |= topics[t]
+        whole = 0.4 * semantic + 0.3 * fit + 0.2 * b["weight"].to_numpy() + 0.1 * b["recency"].to_numpy()
+        whole = N.half_up(np.clip(whole, 0, 1), 4)
+        ids, age = b["m_id"].to_numpy(), b["m_age_days"].astype("float64").fillna(-np.inf).to_numpy()
+        by = np.argsort(ids, kind="stable")
+        by = by[np.argsort(-age[by], kind="stable")]
+        out = []
+        for y, name in enumerate(a["q_id"]):
+            order = by[np.argsort(-whole[y][by], kind="stable")][: k + 1]
+            out += [(name, ids[x], semantic[y, x], whole[y, x]) for x in [x for x in order if not (own and ids[x] == name)][:k]]
+        return pd.DataFrame(out, columns=["q_id", "m_id", "semantic", "score"])
+
+    kind = StructType([queries.schema["q_id"], active.schema["m_id"], StructField("semantic", DoubleType()), StructField("score", DoubleType())])
+    found = N.blocked(q, m, persona, best, kind)
+    pairs = queries.join(found, "q_id").join(active, [persona, "m_id"])
+    return top_k(pairs, "q_id", [F.desc("score"), F.desc_nulls_last("m_age_days"), F.col("m_id")], k)
+
+
+def retrieve(queries: DataFrame, memories: DataFrame, persona: str, k: int = 5, own: bool = False, keywords: dict[str, list[str]] | None = None, blocks: bool = False) -> DataFrame:
     """The k best active memories of each query's persona, by `score` to four places, then age (oldest first), then id.
 
     queries: q_id and, where known, q_embedding, q_text, q_topic; memories: m_id and, where known, m_embedding, m_text,
     m_topic, m_importance, m_age_days, status. Without both embeddings word overlap counts; keywords are words of a query
-    that speak for a topic. own: queries are memories themselves, and no query finds itself.
+    that speak for a topic. own: queries are memories themselves, and no query finds itself. blocks: for personas with many memories and
+    queries; tasks compare blocks of them and hand on the k best, with the same result; q_id, and m_id within a persona, must be unique.
     """
     active = memories.where("status = 'active'") if "status" in memories.columns else memories
     for name, kind in (("q_embedding", "array<float>"), ("q_text", "string"), ("q_topic", "string")):
         queries = queries if name in queries.columns else queries.withColumn(name, F.lit(None).cast(kind))
     for name, kind in (("m_embedding", "array<float>"), ("m_text", "string"), ("m_topic", "string"), ("m_importance", "string"), ("m_age_days", "double")):
         active = active if name in active.columns else active.withColumn(name, F.lit(None).cast(kind))
+    if blocks:
+        return _retrieve_blocks(queries, active, persona, k, own, keywords or {})
     pairs = queries.join(active, persona)
     if own:
         pairs = pairs.where(~F.col("q_id").eqNullSafe(F.col("m_id")))
@@ -143,10 +190,7 @@ def retrieve(queries: DataFrame, memories: DataFrame, persona: str, k: int = 5,
     for name, words in (keywords or {}).items():
         fit = F.coalesce(fit, F.lit(False)) | ((topic == name.lower()) & F.arrays_overlap(q_words, F.array(*[F.lit(w) for w in words])))
     topical = F.when(fit & (topic != ""), 1.0).otherwise(0.0)
-    weight = F.lit(None).cast("double")
-    for name, value in IMPORTANCE.items():
-        weight = F.when(F.col("m_importance") == name, value).otherwise(weight)
-    scored = pairs.withColumn("semantic", semantic).withColumn("score", F.round(score(F.col("semantic"), topical, F.coalesce(weight, F.lit(0.6)), F.col("m_age_days")), 4))
+    scored = pairs.withColumn("semantic", semantic).withColumn("score", F.round(score(F.col("semantic"), topical, _weight(), F.col("m_age_days")), 4))
     return top_k(scored, "q_id", [F.desc("score"), F.desc_nulls_last("m_age_days"), F.col("m_id")], k)
 
 
@@ -180,6 +224,21 @@ def select_policy(
     return good.groupBy(query).agg(*[listed.getField(c).alias(names[c]) for c in given])
 
 
+def select_search(queries: DataFrame, memories: DataFrame, persona: str, least: float = 0.45, most: int = 2) -> DataFrame:
+    """`select_policy` over all other memories of each query's persona, by cosine to nine places and ties to the smaller m_id.
+
+    queries: persona, q_id, q_embedding, q_topic, state; memories: persona, m_id, m_embedding, m_topic. A query only meets the memories
+    whose topic its own allows, block by block.
+    """
+    wanted, own = F.lower(F.coalesce("q_topic", F.lit(""))), F.lower(F.coalesce("m_topic", F.lit("")))
+    fits = F.when(wanted.isin("casual_chat", "other"), F.array(*map(F.lit, ("", "casual_chat", "general")))).otherwise(F.array_distinct(F.array(F.lit(""), wanted)))
+    none = F.lit(None).cast("array<string>")
+    q = queries.where(~F.lower("state").eqNullSafe("closing")).withColumn("_own", F.explode(fits))
+    q, m = (df.where(F.col(persona).isNotNull()).withColumn("_at", F.struct(persona, "_own")) for df in (q, memories.withColumn("_own", own)))
+    found = N.search(q.withColumn("q_words", none), m.withColumn("m_words", none), "_at", most, own=True, cos=1.0, overlap=0.0)
+    return select_policy(found.drop("rank").withColumnRenamed("score", "semantic"), "q_id", least, most)
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Updates of rows that exist, and deletes (op = 'delete')."""
     hit = changes.join(base.select(key), key, "left_semi")

@@ -11,6 +11,8 @@ its memories for each of its queries, and the k best of those are kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -92,6 +94,100 @@ def near_pairs(
     return pairs.where(F.col("similarity") >= threshold).select("a", "b", "similarity"), classes
 
 
+def blocked(
+    queries: DataFrame, memories: DataFrame, key: str, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kind: T.StructType,
+    query_block: int = 1024, memory_block: int = 8192,
+) -> DataFrame:
+    """Rows that `work` makes of each block of queries and each block of memories of one `key`, as `kind`; a pair of rows meets once.
+
+    query_block, memory_block: rows of each that one task holds, on average, however many a key has. Null keys meet nothing.
+    """
+    nq, nm = (df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(n)) for df, n in ((queries, "nq"), (memories, "nm")))
+    blocks = nq.join(nm, "_key").select("_key", F.ceil(F.col("nq") / query_block).cast("int").alias("_qb"), F.ceil(F.col("nm") / memory_block).cast("int").alias("_mb"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(blocks, F.col(key) == F.col("_key")).withColumns({"_i": F.pmod(F.xxhash64("q_id"), F.col("_qb")).cast("int"), "_j": spread("_mb")})
+    m = memories.join(blocks, F.col(key) == F.col("_key")).withColumns({"_j": F.pmod(F.xxhash64("m_id"), F.col("_mb")).cast("int"), "_i": spread("_qb")})
+    own = lambda df: [c for c in df.columns if c != key]
+    q = q.select(F.col("_key").alias("_qk"), F.col("_i").alias("_qi"), F.col("_j").alias("_qj"), *own(queries))
+    m = m.select(F.col("_key").alias("_mk"), F.col("_i").alias("_mi"), F.col("_j").alias("_mj"), *own(memories))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return work(a, b) if len(a) and len(b) else none
+
+    none = pd.DataFrame({f.name: [] for f in kind.fields})
+    return q.groupBy("_qk", "_qi", "_qj").cogroup(m.groupBy("_mk", "_mi", "_mj")).applyInPandas(pair, kind)
+
+
+def _unit(col: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: places and unit vectors."""
+    lengths = col.map(lambda v: 0 if v is None else len(v))
+    out = {}
+    for size in set(lengths) - {0}:
+        at = np.flatnonzero(lengths == size)
+        v = np.array(col.iloc[at].tolist(), dtype=np.float64)
+        norm = np.sqrt((v * v).sum(axis=1))
+        at, v, norm = at[norm > 0], v[norm > 0], norm[norm > 0]
+        out[size] = (at, v / norm[:, None])
+    return out
+
+
+def cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Cosines in [0, 1] of each vector of `a` with each of `b`; 0 for missing, empty, zero and unlike vectors, as `relational.cosine`."""
+    out, right = np.zeros((len(a), len(b))), _unit(b)
+    for size, (at, v) in _unit(a).items():
+        if size in right:
+            out[np.ix_(at, right[size][0])] = np.clip(v @ right[size][1].T, 0, 1)
+    return out
+
+
+def overlaps(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Shares of words in common of each word list of `a` with each of `b`; 0 where one is missing or empty."""
+    out, sizes, postings = np.zeros((len(a), len(b))), np.zeros(len(b)), {}
+    for x, words in enumerate(b):
+        for w in (own_words := set(words) if words is not None else ()):
+            postings.setdefault(w, []).append(x)
+        sizes[x] = len(own_words)
+    for y, words in enumerate(a):
+        if postings and words is not None and len(words):
+            words, common = set(words), np.zeros(len(b))
+            for w in words & postings.keys():
+                common[postings[w]] += 1
+            out[y] = common / np.maximum(len(words) + sizes - common, 1)
+    return out
+
+
+def half_up(x: np.ndarray, places: int) -> np.ndarray:
+    """Rounded as SQL rounds: halves of the shortest decimal form away from zero; for numbers from 0 on."""
+    y = x * 10.0**places
+    out = np.round(y) / 10.0**places
+    for at in zip(*np.nonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6)):
+        out[at] = float(Decimal(repr(float(x[at]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+    return out
+
+
+def compared(queries: DataFrame, memories: DataFrame, key: str) -> DataFrame:
+    """q_id, m_id and the cosine (semantic) of every query with every other memory of its `key`: as many rows as there are such pairs."""
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        q, m = np.repeat(a["q_id"].to_numpy(), len(b)), np.tile(b["m_id"].to_numpy(), len(a))
+        other = q != m
+        return pd.DataFrame({"q_id": q[other], "m_id": m[other], "semantic": cosines(a["q_embedding"], b["m_embedding"]).ravel()[other]})
+
+    kind = T.StructType([queries.schema["q_id"], memories.schema["m_id"], T.StructField("semantic", T.DoubleType())])
+    return blocked(queries.select(key, "q_id", "q_embedding"), memories.select(key, "m_id", "m_embedding"), key, work, kind, 512, 1024)
+
+
+def met_before(queries: DataFrame, memories: DataFrame, key: str, over: float) -> DataFrame:
+    """q_id and whether a memory of its `key` with a smaller id has a cosine over `over` (met); for queries with another memory."""
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        q, m = a["q_id"].to_numpy()[:, None], b["m_id"].to_numpy()[None, :]
+        hit = ((m < q) & (cosines(a["q_embedding"], b["m_embedding"]) > over)).any(axis=1)
+        return pd.DataFrame({"q_id": a["q_id"].to_numpy(), "met": hit})[(m != q).any(axis=1)]
+
+    kind = T.StructType([queries.schema["q_id"], T.StructField("met", T.BooleanType())])
+    found = blocked(queries.select(key, "q_id", "q_embedding"), memories.select(key, "m_id", "m_embedding"), key, work, kind)
+    return found.groupBy("q_id").agg(F.bool_or("met").alias("met"))
+
+
 def search(
     queries: DataFrame, memories: DataFrame, key: str, k: int = 10, own: bool = False, cos: float = 0.7, overlap: float = 0.3,
     query_block: int = 1024, memory_block: int = 8192,
@@ -102,47 +198,9 @@ def search(
     count 0. Scores have nine places; ties go to the smaller m_id. own: queries are memories, too, and do not find themselves. query_block,
     memory_block: rows that one task holds, on average.
     """
-    nq, nm = (df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(n)) for df, n in ((queries, "nq"), (memories, "nm")))
-    blocks = nq.join(nm, "_key").select("_key", F.ceil(F.col("nq") / query_block).cast("int").alias("qb"), F.ceil(F.col("nm") / memory_block).cast("int").alias("mb"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(blocks, F.col(key) == F.col("_key")).withColumns({"i": F.pmod(F.xxhash64("q_id"), F.col("qb")).cast("int"), "j": spread("mb")})
-    m = memories.join(blocks, F.col(key) == F.col("_key")).withColumns({"j": F.pmod(F.xxhash64("m_id"), F.col("mb")).cast("int"), "i": spread("qb")})
-    q = q.select(F.col("_key").alias("qk"), F.col("i").alias("qi"), F.col("j").alias("qj"), "q_id", "q_embedding", "q_words")
-    m = m.select(F.col("_key").alias("mk"), F.col("i").alias("mi"), F.col("j").alias("mj"), "m_id", "m_embedding", "m_words")
-    kind = T.StructType([q.schema["q_id"], m.schema["m_id"], T.StructField("score", T.DoubleType())])
-
-    def unit(col: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length: places and unit vectors."""
-        lengths = col.map(lambda v: 0 if v is None else len(v))
-        out = {}
-        for size in set(lengths) - {0}:
-            at = np.flatnonzero(lengths == size)
-            v = np.array(col.iloc[at].tolist(), dtype=np.float64)
-            norm = np.sqrt((v * v).sum(axis=1))
-            at, v, norm = at[norm > 0], v[norm > 0], norm[norm > 0]
-            out[size] = (at, v / norm[:, None])
-        return out
-
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q_id": [], "m_id": [], "score": []})
-        score = np.zeros((len(a), len(b)))
-        right = unit(b["m_embedding"])
-        for size, (at, v) in unit(a["q_embedding"]).items():
-            if size in right:
-                score[np.ix_(at, right[size][0])] = cos * np.clip(v @ right[size][1].T, 0, 1)
-        postings: dict[str, list[int]] = {}
-        sizes = np.zeros(len(b))
-        for x, words in enumerate(b["m_words"]):
-            for w in (own_words := set(words) if words is not None else ()):
-                postings.setdefault(w, []).append(x)
-            sizes[x] = len(own_words)
-        for y, words in enumerate(a["q_words"]):
-            if words is not None and len(words):
-                words, common = set(words), np.zeros(len(b))
-                for w in words & postings.keys():
-                    common[postings[w]] += 1
-                score[y] += overlap * common / np.maximum(len(words) + sizes - common, 1)
+        score = cos * cosines(a["q_embedding"], b["m_embedding"])
+        score += overlap * overlaps(a["q_words"], b["m_words"])
         score, ids = np.round(score, 9), b["m_id"].to_numpy()
         by_id = np.argsort(ids, kind="stable")
         out = []
@@ -152,6 +210,8 @@ def search(
             out += [(name, ids[x], score[y, x]) for x in order[:k]]
         return pd.DataFrame(out, columns=["q_id", "m_id", "score"])
 
-    part = q.groupBy("qk", "qi", "qj").cogroup(m.groupBy("mk", "mi", "mj")).applyInPandas(best, kind)
+    kind = T.StructType([queries.schema["q_id"], memories.schema["m_id"], T.StructField("score", T.DoubleType())])
+    q, m = (df.select(key, f"{x}_id", f"{x}_embedding", f"{x}_words") for df, x in ((queries, "q"), (memories, "m")))
+    part = blocked(q, m, key, best, kind, query_block, memory_block)
     w = W.partitionBy("q_id").orderBy(F.desc("score"), "m_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -14,7 +14,7 @@ from .operators import lifecycle as L
 from .operators import memory as M
 from .operators import relational as R
 from .operators import decide as D
-from .operators.neighbours import search
+from .operators.neighbours import compared, met_before, search
 from .operators.ordered import cuts
 from .plans.score import context_analysis, plan_conversations
 from .queries_annotate import _AMBIGUITY, _LAST, _STRIP, _UTTER, last_turns, pairs
@@ -166,9 +166,9 @@ def _scored(spark, d):
 
 @query("m11_search_topk", f"WITH {_SCORED} SELECT q_id, m_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(semantic, 9) DESC, m_id) AS rank FROM s) WHERE rank <= 10")
 def _(spark, d):
-    q, m = _scored(spark, d)
-    df = q.join(m, "label").where("q_id <> m_id").withColumn("semantic", F.round(R.cosine(F.col("q_embedding"), F.col("m_embedding")), 9))
-    return M.top_k(df, "q_id", [F.desc("semantic"), F.col("m_id")], 10).select("q_id", "m_id", F.col("rank").cast("long").alias("rank"))
+    none = F.lit(None).cast("array<string>")
+    q, m = (df.withColumn(f"{x}_words", none) for df, x in zip(_scored(spark, d), "qm"))
+    return search(q, m, "label", 10, own=True, cos=1.0, overlap=0.0).select("q_id", "m_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -188,10 +188,9 @@ def _(spark, d):
 @query("m12_rank", f"WITH {_SCORED} SELECT q_id, m_id, round(least(1, greatest(0, 0.4 * semantic + 0.3 * (m_id % 2) + 0.2 * CASE m_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END + 0.1 * exp(-(m_id % 90) / 30.0))), 6) AS score FROM s")
 def _(spark, d):
     q, m = _scored(spark, d)
-    df = q.join(m, "label").where("q_id <> m_id")
     weight = F.when(F.col("m_id") % 3 == 0, 1.0).when(F.col("m_id") % 3 == 1, 0.6).otherwise(0.2)
-    s = M.score(R.cosine(F.col("q_embedding"), F.col("m_embedding")), (F.col("m_id") % 2).cast("double"), weight, (F.col("m_id") % 90).cast("double"))
-    return df.select("q_id", "m_id", F.round(s, 6).alias("score"))
+    s = M.score(F.col("semantic"), (F.col("m_id") % 2).cast("double"), weight, (F.col("m_id") % 90).cast("double"))
+    return compared(q, m, "label").select("q_id", "m_id", F.round(s, 6).alias("score"))
 
 
 @query("m14_retrieval_job")
@@ -200,7 +199,7 @@ def _(spark, d):
     # the table has vectors only: topic, importance and age as in m12_rank, and every row is active
     weight = F.when(F.col("m_id") % 3 == 0, "high").when(F.col("m_id") % 3 == 1, "medium").otherwise("low")
     m = m.withColumns({"status": F.lit("active"), "m_topic": F.when(F.col("m_id") % 2 == 1, "odd"), "m_importance": weight, "m_age_days": (F.col("m_id") % 90).cast("double")})
-    return M.retrieve(q.withColumn("q_topic", F.lit("odd")), m, "label", 5, own=True).select("q_id", "m_id", "rank")
+    return M.retrieve(q.withColumn("q_topic", F.lit("odd")), m, "label", 5, own=True, blocks=True).select("q_id", "m_id", "rank")
 
 
 @query("m15_access_times", "SELECT user_id, max(event_id) AS seen FROM events GROUP BY 1")
@@ -218,14 +217,13 @@ def _(spark, d):
 )
 def _(spark, d):
     q, m = _scored(spark, d)
-    df = q.join(m, "label").where("q_id <> m_id").withColumn("semantic", F.round(R.cosine(F.col("q_embedding"), F.col("m_embedding")), 9))
     three, four = F.col("q_id") % 3, F.col("m_id") % 4
-    df = df.withColumns({
+    q = q.withColumns({
         "q_topic": F.when(three == 0, "casual_chat").when(three == 1, "odd").otherwise("even"),
-        "m_topic": F.when(four == 0, "even").when(four == 1, "odd").when(four == 2, "general"),
         "state": F.when(F.col("q_id") % 7 == 0, "closing").otherwise("ongoing"),
     })
-    chosen = M.select_policy(df, "q_id", least=0.1, topic="q_topic", state="state")
+    m = m.withColumn("m_topic", F.when(four == 0, "even").when(four == 1, "odd").when(four == 2, "general"))
+    chosen = M.select_search(q, m, "label", least=0.1)
     return chosen.select("q_id", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -332,7 +330,7 @@ def _(spark, d):
 @query("e09_contamination", f"WITH {_SCORED} SELECT q_id, bool_or(m_id < q_id AND semantic > 0.2) AS contaminated FROM s GROUP BY 1")
 def _(spark, d):
     q, m = _scored(spark, d)
-    return q.join(m, "label").where("q_id <> m_id").groupBy("q_id").agg(F.bool_or((F.col("m_id") < F.col("q_id")) & (R.cosine(F.col("q_embedding"), F.col("m_embedding")) > 0.2)).alias("contaminated"))
+    return met_before(q, m, "label", 0.2).withColumnRenamed("met", "contaminated")
 
 
 @query("e10_error_codes", f"WITH {_PRED} SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT quality_ok THEN 'wrong_quality' END, CASE WHEN NOT toxic_ok THEN 'wrong_toxic' END], lambda x: x IS NOT NULL), ' | ') AS explanation FROM c")
