@@ -57,6 +57,30 @@ def _buckets(vectors: DataFrame, bits: int, tables: int, probes: int, seed: int)
     return vectors.mapInPandas(run, kind)
 
 
+def _all_pairs(own: DataFrame, keys: list[str], threshold: float, rows: int = 4096) -> DataFrame:
+    """a < b and similarity of all pairs of a group at `threshold` or over: blocks of `rows` vectors with each other, each two blocks once."""
+    group = F.struct(F.lit(0).alias("_"), *keys)
+    per = own.groupBy(group.alias("_g")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))
+    at = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
+    placed = own.withColumn("_g", group).join(per, "_g").withColumn("_at", at)
+    one = placed.select(F.col("_g").alias("_ag"), F.col("_at").alias("_ai"), F.explode(F.sequence(F.col("_at"), F.col("_n") - 1)).alias("_aj"), F.col("id").alias("a"), F.col("vec").alias("a_vec"))
+    other = placed.select(F.col("_g").alias("_bg"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_bi"), F.col("_at").alias("_bj"), F.col("id").alias("b"), F.col("vec").alias("b_vec"))
+
+    def near(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        values, a, b = cosines(x["a_vec"], y["b_vec"]), x["a"].to_numpy(), y["b"].to_numpy()
+        i, j = np.nonzero(values >= threshold - 1e-9)
+        found = pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": values[i, j]})[a[i] != b[j]]
+        return found.drop_duplicates(["a", "b"]) if key[1] == key[2] else found
+
+    kind = T.StructType([T.StructField(c, own.schema["id"].dataType) for c in "ab"] + [T.StructField("similarity", T.DoubleType())])
+    pairs = one.groupBy("_ag", "_ai", "_aj").cogroup(other.groupBy("_bg", "_bi", "_bj")).applyInPandas(near, kind).select("a", "b")
+    side = lambda name: own.select(F.col("id").alias(name), F.col("vec").alias(f"{name}_vec"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", cosine(F.col("a_vec"), F.col("b_vec")))
+    return pairs.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
 def near_pairs(
     vectors: DataFrame, keys: list[str], id_col: str, vec: str, threshold: float = 0.98, miss: float = 1e-3, bits: int | None = None,
     probes: int = 1, crowd: int = 1000, seed: int = 7,
@@ -64,7 +88,8 @@ def near_pairs(
     """(pairs a < b of one group of `keys` with a cosine of `threshold` or more, and their similarity; classes: id and the smallest id of its exact copies).
 
     Pairs are between classes. miss: the largest share of pairs at the threshold that may stay unfound. bits: of a bucket, by default so
-    many that a bucket holds about 32 vectors. crowd: vectors of a bucket from which on it is split. Null, empty and zero vectors pair with nothing.
+    many that a bucket holds about 32 vectors. Where buckets would give more than a hundredth of all pairs of the groups, all of them are compared
+    in blocks instead, which costs less than to move the candidates, and none is missed. crowd: vectors of a bucket from which on it is split. Null, empty and zero vectors pair with nothing.
     """
     rows = vectors.select(*keys, F.col(id_col).alias("id"), F.col(vec).alias("vec")).where(F.size("vec") > 0)
     rows = rows.where(F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull()))
@@ -74,7 +99,11 @@ def near_pairs(
         alike = alike & F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}"))
     classes = rows.alias("r").join(named.alias("n"), alike).select(F.col("r.id").alias("id"), "rep")
     own = named.withColumnRenamed("rep", "id")
-    bits = bits or min(40, max(8, int(math.log2(max(own.count(), 1) / 32 + 1))))
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    n, all_pairs = int(sizes[0] or 0), (sizes[1] or 0.0) / 2
+    bits = bits or min(40, max(8, int(math.log2(max(n, 1) / 32 + 1))))
+    if all_pairs <= 100 * n * tables_for(threshold, bits, miss) * (1 + probes) * 32:
+        return _all_pairs(own, keys, threshold), classes
     found = _buckets(own, bits, tables_for(threshold, bits, miss), probes, seed)
     at = [*keys, "t", "bucket"]
     many = found.where("own").groupBy(*at).count().where(F.col("count") > crowd)

@@ -36,3 +36,17 @@ def test_half_up_is_sql_round(spark):
     xs = [0.00625, 0.45005, 0.39995, 0.12344999, 0.5, 0.00005, 0.1 + 0.2, 0.99995, 1 / 3]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(F.round("x", 4)).collect()]
     assert N.half_up(np.array([xs]), 4)[0].tolist() == got
+
+
+def test_all_near_pairs_are_found_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 6))
+    v[40:] = v[:20] + rng.normal(size=(20, 6)) * 0.2
+    rows = [(i, [None, 1, 2][i % 3] if i < 40 else [None, 1, 2][(i - 40) % 3], x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, g int, vec array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][1] == rows[j][1] and unit[i] @ unit[j] >= 0.8}
+    for size in (4096, 4):
+        assert [tuple(r) for r in N._all_pairs(df, ["g"], 0.8, size).select("a", "b").orderBy("a", "b").collect()] == sorted(want)
+    plan = N.near_pairs(df, ["g"], "id", "vec", 0.8, miss=1e-6)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(want) > 15 and "bucket" not in plan, "no candidates travel where all pairs cost less"
