@@ -50,3 +50,14 @@ def test_all_near_pairs_are_found_in_blocks(spark):
         assert [tuple(r) for r in N._all_pairs(df, ["g"], 0.8, size).select("a", "b").orderBy("a", "b").collect()] == sorted(want)
     plan = N.near_pairs(df, ["g"], "id", "vec", 0.8, miss=1e-6)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert len(want) > 15 and "bucket" not in plan, "no candidates travel where all pairs cost less"
+
+
+def test_a_split_is_hashed_by_many_tasks(spark, monkeypatch, tmp_path):
+    from convlake import queries_sources as Q
+    from convlake.streaming import streams as X
+
+    seen, hashes = [], Q.files.file_hashes
+    monkeypatch.setattr(X, "shared_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(Q, "_examples", lambda spark, d: spark.range(90).selectExpr("id AS conversation_id", "'x' AS text", "'en' AS split").repartition(3))
+    monkeypatch.setattr(Q.files, "file_hashes", lambda spark, path: seen.append(hashes(spark, path).count()) or hashes(spark, path))
+    assert QUERIES["s10_file_hashes"](spark, SF).first().n == 1 and seen == [3]
