@@ -92,6 +92,13 @@ def suspicious(parts: dict[str, DataFrame], most: int = 100) -> DataFrame:
     return out.orderBy("priority", "key").limit(most)
 
 
+def suspicious_rows(df: DataFrame, rules: dict[str, Column], most: int = 100) -> DataFrame:
+    """`suspicious` in one pass: a row of `df` (key and what the rules see) for each rule that holds."""
+    hits = [F.when(rule, F.struct(F.lit(i).alias("priority"), F.lit(name).alias("category"))) for i, (name, rule) in enumerate(rules.items())]
+    out = df.select(F.col("key").cast("string").alias("key"), F.inline(F.array_compact(F.array(*hits))))
+    return out.orderBy("priority", "key").limit(most)
+
+
 def schema_rules(df: DataFrame, column: str, required: list[str], allowed: list[str]) -> DataFrame:
     """Missing and unknown keys of JSON objects in `column`."""
     keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))

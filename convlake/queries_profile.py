@@ -175,12 +175,13 @@ def _(spark, d):
 )
 def _(spark, d):
     c = F.col
-    df = table(spark, d, "documents").withColumns({"key": c("doc_id"), "likely": A.likely_language(c("text"), params.LEXICON), "h": F.md5("text")})
-    copies = df.groupBy("h").count().where("count > 1")
-    return Q.suspicious({
-        "wrong_language": df.where("lang <> likely"), "no_language": df.where("likely = 'unknown'"), "wrong_length": df.where(c("n_chars") != F.length("text")),
-        "personal_data": df.where(c("text").contains("@")), "copied": df.join(copies, "h", "left_semi"),
-    })
+    likely = A.likely_language(c("text"), params.LEXICON)
+    # what the rules see of a text stands in an array that is exploded, so that it is computed once
+    seen = F.struct(likely.alias("likely"), (c("n_chars") != F.length("text")).alias("wrong"), c("text").contains("@").alias("mail"), F.md5("text").alias("h"))
+    df = table(spark, d, "documents").select(c("doc_id").alias("key"), "lang", F.inline(F.array(seen)))
+    copies = table(spark, d, "documents").groupBy(F.md5("text").alias("h")).count().where("count > 1").select("h", F.lit(True).alias("copied"))
+    rules = {"wrong_language": c("lang") != c("likely"), "no_language": c("likely") == "unknown", "wrong_length": c("wrong"), "personal_data": c("mail"), "copied": c("copied")}
+    return Q.suspicious_rows(df.join(copies, "h", "left"), rules)
 
 
 _LEX = "lex(rank, topic, term, weight) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}', {w}::DOUBLE)" for a, b, c, w in params.TOPICS) + ")"
