@@ -6,15 +6,16 @@ form, so equal memories have the same. As all active memories of a slot share a
 a run; within a run, or without a slot, equal candidates make one memory. A, B, A gives three memories.
 
 The batch form finds runs with `ordered.numbered`, which spreads a hot slot over tasks; the rest are groupings and one join of
-neighbouring runs. The streaming form keeps a map of memories and a map of slots for each persona, and gives the same actions.
+neighbouring runs. The streaming form keeps the memories of each persona in parts, and its slots, and gives the same actions.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -98,35 +99,76 @@ def actions(found: DataFrame, at: list[float] | None = None) -> DataFrame:
 
 
 class Keeper(StatefulProcessor):
-    """Memories and slots of a persona. A memory counts as active while its slot still has the turn in which it was made."""
+    """Memories and slots of a persona. A memory counts as active while its slot still has the turn in which it was made.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memories = handle.getMapState("memories", "norm string", "m_id long, turn long")
-        self.slots = handle.getMapState("slots", "slot string", "value string, turn long")
+    Each access to the state is a message to the JVM, so memories lie in parts by a checksum of the normal form, a power of two of them
+    and of about `LOAD` memories each: a micro-batch reads and writes once for each part that it touches, not for each row.
+    """
+
+    LOAD = 256
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in pd.concat(list(rows)).sort_values("at").itertuples(index=False):  # of one micro-batch
-            slot, turn, replaced = None if pd.isna(r.slot) else r.slot, 0, False
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "depth int, n long, slots string")  # slots: value and turn of each, as JSON
+        self.parts = handle.getMapState("parts", "part int", "memories string")  # m_id and turn of each normal form, as JSON
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.held.get()
+        depth, n, slots = (before[0], before[1], json.loads(before[2])) if before else (0, 0, {})
+        parts, changed, did = {} if before else {0: {}}, set(), Row("persona", "at", "action", "m_id")
+        for _, at, norm, slot, value in sorted((tuple(r) for r in rows), key=lambda r: r[1]):  # of one micro-batch
+            turn, replaced = 0, False
             if slot is not None:
-                value, turn = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else (None, -1)
-                if value != r.value:
+                last, turn = slots.get(slot, (None, -1))
+                if last != value:
                     replaced, turn = turn >= 0, turn + 1
-                    self.slots.updateValue((slot,), (r.value, turn))
-            held = self.memories.getValue((r.norm,)) if self.memories.containsKey((r.norm,)) else None
-            if held is not None and held[1] == turn:
-                out.append((key[0], r.at, "merged", held[0]))
+                    slots[slot] = value, turn
+            p = _part(norm, depth)
+            known = parts[p] if p in parts else parts.setdefault(p, self._read(p))
+            memory = known.get(norm)
+            if memory is not None and memory[1] == turn:
+                yield did(key[0], at, "merged", memory[0])
             else:
-                self.memories.updateValue((r.norm,), (int(r.at), turn))
-                out.append((key[0], r.at, "superseded" if replaced else "created", r.at))
-        yield pd.DataFrame(out, columns=["persona", "at", "action", "m_id"])
+                n += memory is None
+                known[norm] = at, turn
+                changed.add(p)
+                yield did(key[0], at, "superseded" if replaced else "created", at)
+        wide = depth
+        while n > self.LOAD << wide:
+            wide += 1
+        if wide > depth:
+            self._spread(parts, depth, wide)
+        else:
+            for p in changed:
+                self._write(p, parts[p])
+        now = wide, n, json.dumps(slots)
+        if now != before:
+            self.held.update(now)
+
+    def _read(self, p: int) -> dict:
+        return json.loads(self.parts.getValue((p,))[0])
+
+    def _write(self, p: int, memories: dict) -> None:
+        self.parts.updateValue((p,), (json.dumps(memories),))
+
+    def _spread(self, parts: dict[int, dict], depth: int, wide: int) -> None:
+        """From 2 ** depth parts to 2 ** wide, one by one; all are written."""
+        for p in range(1 << depth):
+            cut = {q: {} for q in range(p, 1 << wide, 1 << depth)}
+            for norm, memory in (parts.pop(p) if p in parts else self._read(p)).items():
+                cut[_part(norm, wide)][norm] = memory
+            for q, memories in cut.items():
+                self._write(q, memories)
 
     def close(self) -> None:
         pass
 
 
+def _part(norm: str, depth: int) -> int:
+    return zlib.crc32(norm.encode()) & ((1 << depth) - 1)
+
+
 def stream_actions(found: DataFrame) -> DataFrame:
     """`actions` of a stream of `candidates` as they come; within a micro-batch in order. Needs the RocksDB state store."""
     kind = f"persona {found.schema['persona'].dataType.simpleString()}, at long, action string, m_id long"
     rows = found.select("persona", F.col("at").cast("long").alias("at"), "norm", "slot", "value")
-    return rows.groupBy("persona").transformWithStateInPandas(statefulProcessor=Keeper(), outputStructType=kind, outputMode="append", timeMode="none")
+    return rows.groupBy("persona").transformWithState(statefulProcessor=Keeper(), outputStructType=kind, outputMode="append", timeMode="none")
