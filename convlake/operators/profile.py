@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,12 +23,42 @@ def terms(df: DataFrame, text: str, longer: int = 1) -> DataFrame:
     return df.select(F.explode(t).alias("term"))
 
 
-def bigrams(df: DataFrame, text: str) -> DataFrame:
-    def pair(t: Column) -> Column:
-        return F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+def bigrams(df: DataFrame, text: str, among: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of neighbouring words; with `among`, those of which it takes both words."""
+    t = T.tokens(F.col(text))
+    one = df.select((F.transform(t, lambda w: F.when(among(w), w)) if among else t).alias("t"))
+    after = F.slice("t", 2, F.greatest(F.size("t"), F.lit(1)))
+    pairs = F.zip_with("t", after, lambda a, b: F.concat(a, F.lit(" "), b))  # null where a word is, or after the last
+    return one.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("term"))
+
 
-    one = df.select(T.tokens(F.col(text)).alias("t")).where(F.size("t") > 1)
-    return one.select(F.explode(pair(F.col("t"))).alias("term"))
+def top_bigrams(df: DataFrame, text: str, k: int, places: int = 1 << 16) -> DataFrame:
+    """The k most frequent pairs of neighbouring words; ties by value. Exact, and rare words make no pairs to be counted.
+
+    A pair is no more frequent than its words, and a word no more than all words of its hash, of `places` values. So words are counted
+    by hash, then pairs of words with frequent hashes: first those that reach half of what the kth pair would have if words followed
+    each other by chance. The kth count found is one that the kth pair has at least; if it is lower, pairs of all words that reach it are counted.
+    """
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(places)).cast("int")
+    words = df.select(F.explode(T.tokens(F.col(text))).alias("w"))
+    seen = [tuple(r) for r in words.groupBy(place("w")).count().collect()]
+    first = heapq.nlargest(k, (n for _, n in seen))
+    chance = heapq.nlargest(k, (a * b for a in first for b in first))[-1:]
+
+    def top(least: int) -> DataFrame:
+        reach = bytearray(places)
+        for p, n in seen:
+            reach[p] = n >= least
+        table, yes = F.lit(bytes(reach)), F.lit(b"\x01")
+        return top_k(bigrams(df, text, lambda w: F.substring(table, place(w) + 1, F.lit(1)) == yes), "term", k)
+
+    least = max(sum(chance) // (2 * max(sum(n for _, n in seen), 1)), 1)
+    got = top(least)
+    found = got.collect()
+    reached = found[-1]["n"] if len(found) == k else 1
+    if any(reached <= n < least for _, n in seen):
+        return top(reached)
+    return df.sparkSession.createDataFrame(found, got.schema).orderBy(F.desc("n"), "term")
 
 
 def length_stats(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

@@ -248,7 +248,7 @@ def _(spark, d):
     f"SELECT t[i] || ' ' || t[i + 1] AS term, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {_TOK} AS t FROM documents)) GROUP BY 1 ORDER BY n DESC, term LIMIT 10",
 )
 def _(spark, d):
-    return P.top_k(P.bigrams(table(spark, d, "documents"), "text"), "term", 10)
+    return P.top_bigrams(table(spark, d, "documents"), "text", 10)
 
 
 @query("g06_top_symbols", r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{So}\p{Sk}\p{Sm}\p{Sc}]')) AS term FROM documents) GROUP BY 1 ORDER BY n DESC, term LIMIT 10")
