@@ -1,6 +1,7 @@
 """Pairs of like vectors and the best matches of queries, without all pairs of a key in one task.
 
-Near pairs: each vector gets, in several tables, the signs of its products with random directions as a bucket; a query side also looks
+Near pairs: the vectors of a group are dealt into blocks, and each two blocks are compared, exactly, in one bounded task. Where a caller asks
+for buckets instead, each vector gets, in several tables, the signs of its products with random directions as a bucket; a query side also looks
 into the buckets whose bit is nearest to turning. Like vectors share a bucket in some table with a stated probability, and only pairs
 that do are compared, exactly. Exact copies are one vector before that; buckets with many vectors are split by salt.
 
@@ -11,7 +12,7 @@ its memories for each of its queries, and the k best of those are kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -57,28 +58,58 @@ def _buckets(vectors: DataFrame, bits: int, tables: int, probes: int, seed: int)
     return vectors.mapInPandas(run, kind)
 
 
-def _all_pairs(own: DataFrame, keys: list[str], threshold: float, rows: int = 4096) -> DataFrame:
-    """a < b and similarity of all pairs of a group at `threshold` or over: blocks of `rows` vectors with each other, each two blocks once."""
+def _all_pairs(own: DataFrame, keys: list[str], threshold: float, rows: int = 4096, undefined: bool = False) -> DataFrame:
+    """a < b and similarity of all pairs of rows of a group at `threshold` or over: blocks of `rows` rows with each other, each two blocks once.
+
+    Rows of one id make no pair. undefined: a pair of which a vector is zero or not finite has SQL's NaN, which is over every threshold.
+    """
     group = F.struct(F.lit(0).alias("_"), *keys)
     per = own.groupBy(group.alias("_g")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))
-    at = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
-    placed = own.withColumn("_g", group).join(per, "_g").withColumn("_at", at)
-    one = placed.select(F.col("_g").alias("_ag"), F.col("_at").alias("_ai"), F.explode(F.sequence(F.col("_at"), F.col("_n") - 1)).alias("_aj"), F.col("id").alias("a"), F.col("vec").alias("a_vec"))
-    other = placed.select(F.col("_g").alias("_bg"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_bi"), F.col("_at").alias("_bj"), F.col("id").alias("b"), F.col("vec").alias("b_vec"))
-
-    def near(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        values, a, b = cosines(x["a_vec"], y["b_vec"]), x["a"].to_numpy(), y["b"].to_numpy()
-        i, j = np.nonzero(values >= threshold - 1e-9)
-        found = pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": values[i, j]})[a[i] != b[j]]
-        return found.drop_duplicates(["a", "b"]) if key[1] == key[2] else found
+    at = F.pmod(F.xxhash64("id", "vec"), F.col("_n")).cast("int")
+    placed = own.select(group.alias("_g"), "id", "vec").join(per, "_g").withColumn("_at", at)
+    dealt = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("_g", F.least("_at", "_with").alias("_i"), F.greatest("_at", "_with").alias("_j"), "_at", "id", "vec")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(batches), ignore_index=True)
+        same = df["_i"].iat[0] == df["_j"].iat[0]
+        x, y = (df, df) if same else (df[df["_at"] == df["_i"]], df[df["_at"] == df["_j"]])
+        a, b, right = x["id"].to_numpy(), y["id"].to_numpy(), _by_length(y["vec"])
+        for size, (left_at, v, v_norm) in _by_length(x["vec"]).items():
+            if size not in right:
+                continue
+            right_at, w, w_norm = right[size]
+            v_fit, w_fit = v_norm > 0, w_norm > 0
+            unit = np.where(w_fit[:, None], w, 0) / np.where(w_fit, w_norm, 1)[:, None]
+            for k in range(0, len(v), 256):
+                part, fit = v[k : k + 256], v_fit[k : k + 256]
+                values = np.where(fit[:, None], part, 0) / np.where(fit, v_norm[k : k + 256], 1)[:, None] @ unit.T
+                fit = fit[:, None] & w_fit[None, :]
+                hit = (values >= threshold - 1e-9) & fit | (~fit if undefined else False)
+                if same:
+                    hit &= right_at[None, :] > left_at[k : k + 256, None]
+                i, j = np.nonzero(hit)
+                found = np.where(fit[i, j], np.clip(values[i, j], 0, 1), np.nan)
+                # what is next to the threshold is summed one by one, as SQL does
+                edge = np.flatnonzero(np.abs(found - threshold) <= 1e-9)
+                found[edge] = np.clip(_sums(part[i[edge]] * w[j[edge]]) / (v_norm[k + i[edge]] * w_norm[j[edge]]), 0, 1)
+                one, other = a[left_at[k + i]], b[right_at[j]]
+                keep = (one != other) & ~(found < threshold)
+                yield pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other), "similarity": found})[keep]
 
     kind = T.StructType([T.StructField(c, own.schema["id"].dataType) for c in "ab"] + [T.StructField("similarity", T.DoubleType())])
-    pairs = one.groupBy("_ag", "_ai", "_aj").cogroup(other.groupBy("_bg", "_bi", "_bj")).applyInPandas(near, kind).select("a", "b")
-    side = lambda name: own.select(F.col("id").alias(name), F.col("vec").alias(f"{name}_vec"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", cosine(F.col("a_vec"), F.col("b_vec")))
-    return pairs.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    pairs = dealt.groupBy("_g", "_i", "_j").applyInPandas(near, kind)
+    return pairs.withColumn("similarity", F.coalesce("similarity", F.lit(math.nan)))  # pandas has NaN as null
+
+
+def near_rows(vectors: DataFrame, keys: list[str], id_col: str, vec: str, threshold: float = 0.98) -> DataFrame:
+    """a < b and similarity of all pairs of rows of one group of `keys` with a cosine of `threshold` or more, as a self-join in SQL gives them.
+
+    Exact copies are pairs, too, and no pair is missed; rows with a null key or id, or without a whole vector, have none. A zero vector or one
+    that is not finite has no cosine: its pairs have NaN, which SQL holds to be over every threshold.
+    """
+    rows = vectors.select(*keys, F.col(id_col).alias("id"), F.col(vec).alias("vec")).where(F.size("vec") > 0).where(F.forall("vec", lambda x: x.isNotNull()))
+    return _all_pairs(rows.dropna(subset=[*keys, "id"]), keys, threshold, undefined=True)
 
 
 def near_pairs(
@@ -87,9 +118,9 @@ def near_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b of one group of `keys` with a cosine of `threshold` or more, and their similarity; classes: id and the smallest id of its exact copies).
 
-    Pairs are between classes. miss: the largest share of pairs at the threshold that may stay unfound. bits: of a bucket, by default so
-    many that a bucket holds about 32 vectors. Where buckets would give more than a hundredth of all pairs of the groups, all of them are compared
-    in blocks instead, which costs less than to move the candidates, and none is missed. crowd: vectors of a bucket from which on it is split. Null, empty and zero vectors pair with nothing.
+    Pairs are between classes; `near_rows` has those of copies, too. By default all pairs of a group are compared in blocks, and none is missed.
+    bits: compare only what shares a bucket of so many bits instead. Then, miss: the largest share of pairs at the threshold that may stay
+    unfound; crowd: vectors of a bucket from which on it is split. Null, empty and zero vectors pair with nothing.
     """
     rows = vectors.select(*keys, F.col(id_col).alias("id"), F.col(vec).alias("vec")).where(F.size("vec") > 0)
     rows = rows.where(F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull()))
@@ -99,10 +130,7 @@ def near_pairs(
         alike = alike & F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}"))
     classes = rows.alias("r").join(named.alias("n"), alike).select(F.col("r.id").alias("id"), "rep")
     own = named.withColumnRenamed("rep", "id")
-    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-    n, all_pairs = int(sizes[0] or 0), (sizes[1] or 0.0) / 2
-    bits = bits or min(40, max(8, int(math.log2(max(n, 1) / 32 + 1))))
-    if all_pairs <= 100 * n * tables_for(threshold, bits, miss) * (1 + probes) * 32:
+    if bits is None:
         return _all_pairs(own, keys, threshold), classes
     found = _buckets(own, bits, tables_for(threshold, bits, miss), probes, seed)
     at = [*keys, "t", "bucket"]
@@ -147,6 +175,23 @@ def blocked(
     return q.groupBy("_qk", "_qi", "_qj").cogroup(m.groupBy("_mk", "_mi", "_mj")).applyInPandas(pair, kind)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows, one number after the other."""
+    return np.add.accumulate(x, axis=1)[:, -1]
+
+
+def _by_length(col: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: places, vectors and their norms; 0 for those that are not finite."""
+    lengths = col.map(lambda v: 0 if v is None else len(v))
+    out = {}
+    for size in set(lengths) - {0}:
+        at = np.flatnonzero(lengths == size)
+        v = np.array(col.iloc[at].tolist(), dtype=np.float64)
+        norm = np.sqrt(_sums(v * v))
+        out[size] = (at, v, np.where(np.isfinite(norm), norm, 0))
+    return out
+
+
 def _unit(col: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: places and unit vectors."""
     lengths = col.map(lambda v: 0 if v is None else len(v))

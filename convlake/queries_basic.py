@@ -11,7 +11,7 @@ from .operators import relational as R
 from .operators import sessions as S
 from .operators import splits as D
 from .operators import windows as N
-from .operators.neighbours import near_pairs
+from .operators.neighbours import near_rows
 from .operators.ordered import cuts
 from .registry import query, table
 
@@ -354,7 +354,7 @@ def _(spark, d):
     SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
 )
 def _(spark, d):
-    return near_pairs(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.9, miss=1e-6)[0].select("a", "b")
+    return near_rows(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.9).select("a", "b")
 
 
 @query(
@@ -369,7 +369,7 @@ def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     bent = F.transform("v", lambda x, i: x * (1 + 0.1 * (F.pmod((i + 1) * F.col("vec_id"), F.lit(7)) - 3) / 3.0))
     e = e.unionByName(e.where("vec_id % 5 = 0").withColumn("v", bent).withColumn("vec_id", F.col("vec_id") + 1_000_000))
-    return near_pairs(e, ["label"], "vec_id", "v", miss=1e-6)[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return near_rows(e, ["label"], "vec_id", "v").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
+import convlake.catalog  # noqa: F401
 from convlake.operators import neighbours as N
+from convlake.registry import QUERIES, SQL
 
 R = np.random.default_rng(2)
 
@@ -79,3 +82,24 @@ def test_search(spark, own, blocks):
 def test_empty(spark):
     pairs, classes = N.near_pairs(spark.createDataFrame([], "vec_id long, persona string, v array<double>"), ["persona"], "vec_id", "v")
     assert pairs.count() == 0 and classes.count() == 0
+
+
+@pytest.mark.parametrize("name", ["j06_near_duplicates", "j06_near_copies"])
+def test_queries_give_every_pair(spark, tmp_path, name):
+    """Exact copies are pairs in SQL, as are those without a cosine (NaN is over 0.9); null labels and ids are in none."""
+    rows = [(i, R.normal(size=8).tolist(), i % 2) for i in range(40)]
+    rows += [(100 + i, rows[i % 3][1], i % 3 % 2) for i in range(9)] + [(200 + i, (np.array(rows[i][1]) + 0.05).tolist(), i % 2) for i in range(20)]
+    rows += [(300, rows[0][1], None), (301, rows[0][1], None), (None, rows[0][1], 0), (302, None, 0), (303, [0.0] * 8, 0), (304, [0.0] * 8, 1), (305, [float("nan")] * 8, 1)]
+    rows += [(101, rows[4][1], 0), (101, rows[1][1], 1), (306, [-0.0, *rows[1][1][1:]], 1), (307, [0.0, *rows[1][1][1:]], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(map(str, duck.execute(SQL[name]).fetchall()))
+    got = sorted(str(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == want and len(want) > 150
+
+
+def test_no_pair_is_left_to_chance(spark):
+    """However many vectors a group has, all pairs are compared where no buckets are asked for."""
+    df = spark.range(13_000).selectExpr("id", "1 AS g", "array(rand(1), rand(2)) AS vec").localCheckpoint()
+    assert "bucket" not in N.near_pairs(df, ["g"], "id", "vec", 0.98, miss=0.9)[0]._jdf.queryExecution().optimizedPlan().toString()
