@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -9,9 +10,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Has Spark remove the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,9 +33,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there, on any executor."""
-    path = f"{shared_dir(df.sparkSession)}/convlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/convlake-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    with contextlib.suppress(AnalysisException):  # elsewhere shuffle files go when the driver collects its garbage
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = [path]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `stash` that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in df.__dict__.pop("_stashed", []):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def reads(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """`df`, which reads stashed tables: `discard(df)` deletes them, too."""
+    df._stashed = [p for t in tables for p in t.__dict__.get("_stashed", [])]
+    return df
+
+
+def key_slices(keys: DataFrame, col: str, few: int, most: int = 16) -> list[DataFrame] | None:
+    """Parts of `keys` (distinct in `col`) of about `few` rows at most, each to broadcast; None where there would be more than `most`."""
+    n = -(-keys.count() // few) if few > 0 else most + 1
+    if n > most:
+        return None
+    return [keys.where(F.pmod(F.xxhash64(F.lit(3), col), F.lit(n)) == i) for i in range(n)] if n > 1 else [keys]
 
 
 def small_batches(spark: SparkSession, rows: int = 400, mb: int = 8) -> None:

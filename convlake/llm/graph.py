@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, reads, stash
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
 
     Alternating large-star and small-star: each step is a minimum by node (combined before its shuffle) and a join
     back on the node. A hub's rows are one side of a plain join, which adaptive execution splits. Each round is
-    written to the shared folder, so the plan does not grow. Self links and repeated links are fine.
+    written to the shared folder, so the plan does not grow, and the one before deleted. Self links and repeated links are fine.
     """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
@@ -39,13 +39,15 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = stash(large.distinct(), name)
+        discard(edges)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = stash(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        discard(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return roots.unionByName(own)
+    return reads(roots.unionByName(own), edges)

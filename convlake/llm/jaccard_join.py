@@ -5,15 +5,18 @@
    shingles, in one order for all, have l in common, whatever l. Every set shows its n - T + `depth`(n) smallest hashes,
    T = ceil(0.8 n), and a class with fewer of them among those that others show than the least depth of any partner
    leaves: it cannot link. The bound is exact, for all sizes. Shared passages alone rarely reach it.
-3. A set of n shingles can only link to sets that share one of its first n - T + 1 shingles, T = ceil(0.8 n), in any
-   order common to all. That order puts shingles that a bounded sample of documents shares last, then goes by hash:
-   it decides speed only. Postings of those shingles are combined in each task before the shuffle: documents of a
-   task with one shingle and near sizes become a chain and send one interval, so a shingle that a third of all
-   documents has sends one row for each task. Shared shingles tie documents to families (too large rather than too small).
+3. The sets of a size class are cut by hash into the same k parts, of 1.8 shingles on average. Linked sets of n and m shingles
+   have at most d = (n + m) / 9 that are not common, so at least k - d of their parts are equal. A set marks its d + 1 best
+   parts, in an order of parts that is one for all: fewer than k - d are left out of either set, so the best of the equal parts
+   is marked in both. The order puts parts first that hold more shingles which a bounded sample of documents does not share, then
+   goes by their number: it decides speed only. One shingle or two that long texts have in common by chance so tie nothing.
+   Postings of marks are combined in each task before the shuffle: documents of a
+   task with one mark and near sizes become a chain and send one interval, so a mark that a third of all
+   documents has sends one row for each task. Shared marks tie documents to families (too large rather than too small).
 4. The texts of families meet, some families to a block. In a block, DivideSkip parts the inverted lists of a query document:
    the short ones are merged by a heap that skips what cannot reach the overlap any more (counted at once where they
    hold more than `MERGED` entries), the long ones are probed by binary search for the candidates left; each is decided on exact counts. Documents of one known group are not compared again.
-5. A family beyond `block` documents is split into blocks, each with a few pivots of the whole family. Afterwards every
+5. A family beyond `block` documents or `heavy` shingles is split into blocks, each with a few pivots of the whole family. Afterwards every
    document outside the family's largest group is a query against all blocks. So no group is one task's work, and no
    link between different groups is lost.
 
@@ -24,7 +27,9 @@ kept out. Whole texts count, however long.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, lean, mix, release, shingle_sets, small_batches, stash, text_chunks
+from .common import discard, forget, key_slices, lean, mix, reads, release, shingle_sets, small_batches, stash, text_chunks
 from .graph import connected_components, forest
 
 
@@ -187,8 +192,34 @@ def _chain(shingle, node, low, high):
     return node[:-1][tie], node[1:][tie], (shingle[first], node[first], low[first], reach[last])
 
 
-def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
-    """Links (a, b) between s1 of sets that share a prefix shingle and have near sizes, as a forest for each task."""
+def classes_of(n: int) -> tuple[int, int]:
+    """The size classes of a set of n shingles: each holds the sets of two steps of 1.25; linked sets have a step's class in common."""
+    step = int(math.log(n) / math.log(1.25) + 1e-9)
+    return step, step + 1
+
+
+def marks(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """What two linked sets have one of in common at least: 64-bit marks of equal parts of theirs. See 3. above; late: shingles that tell little."""
+    n, own, out = len(s), mix(s, 7), []
+    rare = np.ones(n, dtype=np.int64)
+    if len(late):
+        rare[late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s] = 0
+    for t in classes_of(n):
+        parts = int(1.25**t / 1.8) + 1
+        # of two linked sets of n and m shingles at most (n + m) / 9 are not common, and m <= 1.25 n
+        need = min((n + 5 * n // 4) // 9 + 1, parts)
+        of = (mix(s, 8 + t) % np.uint64(parts)).astype(np.int64)
+        size, value = np.bincount(of, minlength=parts), np.bincount(of, weights=rare, minlength=parts).astype(np.int64)
+        total = np.zeros(parts, dtype=np.uint64)
+        np.add.at(total, of, own)
+        mark = mix(total + mix(np.array([t], dtype=np.uint64), 9))
+        # one order for all sets, by what a part holds: rare shingles first, then shingles, then the mark
+        out.append(mark[np.lexsort((mark, -size, -value))[:need]])
+    return np.concatenate(out)
+
+
+def family_links(docs: DataFrame, size: int, shared: np.ndarray, most: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between s1 of sets that share a mark and have near sizes, as forests. most: marks that a task holds, about."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(shared)
     parts, buckets = _shuffle_size(spark)
@@ -197,25 +228,7 @@ def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
     def pack(bucket, links, *arrays):
         return bucket, links, np.concatenate([np.asarray(x).astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64) for x in arrays]).tobytes()
 
-    @lean
-    def postings(batches):
-        late, seen, held = order.value, set(), []
-        for b in batches:
-            for _, s in _sets(b["text"], size):
-                n = len(s)
-                if not n:
-                    continue
-                name = int(mix(s, 3).sum(dtype=np.uint64))
-                if name in seen:
-                    continue
-                seen.add(name)
-                if len(late):
-                    i = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    s = s[np.argsort(late[i] == s, kind="stable")]
-                p = n - (4 * n + 4) // 5 + 1
-                held.append((s[:p], name, n))
-        if not held:
-            return
+    def packed(held):
         sizes = [len(x) for x, _, _ in held]
         shingle = np.concatenate([x for x, _, _ in held])
         node = np.repeat(np.array([x for _, x, _ in held], dtype=np.uint64), sizes)
@@ -233,6 +246,22 @@ def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
                 out.append(pack(int(to[part[0]]), False, shingle[part], node[part], low[part], high[part]))
         yield from _packed(["bucket", "links", "data"], out)
 
+    @lean
+    def postings(batches):
+        seen, held, n_held = set(), [], 0
+        for b in batches:
+            for _, s in _sets(b["text"], size):
+                if not len(s) or (name := int(mix(s, 3).sum(dtype=np.uint64))) in seen:
+                    continue
+                seen.add(name)
+                held.append((marks(s, order.value), name, len(s)))
+                n_held += len(held[-1][0])
+                if n_held >= most:
+                    yield from packed(held)
+                    held, n_held = [], 0
+        if held:
+            yield from packed(held)
+
     @lean
     def meet(batches):
         links, lists = [], []
@@ -250,8 +279,8 @@ def family_links(docs: DataFrame, size: int, shared: np.ndarray) -> DataFrame:
             keep = nodes != roots
             yield pd.DataFrame({"a": nodes[keep], "b": roots[keep]})
 
-    packed = docs.select("text").mapInPandas(postings, schema)
-    return packed.repartition(parts, "bucket").mapInPandas(meet, "a long, b long")
+    dealt = docs.select("text").mapInPandas(postings, schema)
+    return dealt.repartition(parts, "bucket").mapInPandas(meet, "a long, b long")
 
 
 def merge_skip(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -404,10 +433,12 @@ def group_documents(
     sample_longest: int = 50_000,
     sample_shingles: int = 100_000,
     few: int = 500_000,
+    heavy: int = 2_000_000,
 ) -> DataFrame:
     """id, n (shingles), component (smallest id reachable over links of Jaccard similarity 0.8 or more).
 
-    few: up to so many classes that may link, their ids are broadcast to fetch the texts; beyond, the join shuffles.
+    block, heavy: documents and shingles of a block, on average. few: so many ids of classes that may link are broadcast at a time to fetch the
+    texts, in up to 16 passes over the documents; beyond, the join shuffles. `discard` of the result deletes the tables that it reads.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -416,58 +447,70 @@ def group_documents(
     signed = stash(signatures(docs, size), "jaccard-signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     near = classes.join(shown_counts(named, size), "s1").where(F.col("shared") >= partner_depth(F.col("n")))
-    near = stash(near.select(F.col("rep").alias("id"), "s1"), "jaccard-near")
+    near = stash(near.select(F.col("rep").alias("id"), "s1", "n"), "jaccard-near")
     # texts that may link, one of each class
-    if near.count() <= few:
-        texts = named.join(F.broadcast(near), "id")
-    else:
-        texts = named.join(near, "id")
-    texts = stash(texts.select("id", "s1", "text"), "jaccard-texts")
+    slices = key_slices(near.select("id", "s1"), "id", few)
+    parts = [named.join(near.select("id", "s1"), "id")] if slices is None else [named.join(F.broadcast(x), "id") for x in slices]
+    fetched = [stash(x.select("id", "s1", "text"), "jaccard-texts") for x in parts]
+    texts = functools.reduce(DataFrame.unionByName, fetched)
     shared = shared_shingles(texts, size, sample_rows, sample_longest, sample_shingles)
     families = connected_components(family_links(texts, size, shared), "jaccard-families")
-    member = stash(near.join(families, F.col("s1") == F.col("node")).select("id", F.col("root").alias("family")), "jaccard-members")
-    sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    groups = max(1, -(-member.count() // 1000))
+    member = stash(near.join(families, F.col("s1") == F.col("node")).select("id", "n", F.col("root").alias("family")), "jaccard-members")
+    discard(families, near)
+    sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"))
+    # blocks that a family is cut into
+    sizes = sizes.withColumn("cuts", F.ceil(F.greatest(F.col("m") / block, F.col("weight") / heavy)).cast("int"))
+    whole = member.agg(F.count(F.lit(1)), F.sum("n")).first()
+    groups = max(1, -(-whole[0] // 1000), -(-3 * (whole[1] or 0) // heavy))
     # block: several small families, or a part of a large one
-    own = F.when(F.col("m") <= block, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(
-        F.xxhash64("family", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)))
+    own = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(
+        F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("cuts")))
     )
-    member = stash(member.join(sizes, "family").where("m > 1").withColumn("block", own), "jaccard-blocks")
+    placed = stash(member.join(sizes.drop("weight"), "family").where("m > 1").withColumn("block", own), "jaccard-blocks")
+    discard(member)
 
     def links_of(rows: DataFrame) -> DataFrame:
         whole = rows.select("block", "family", "id", "ask").join(texts.select("id", "text"), "id")
         return stash(whole.groupBy("block").applyInPandas(_block_links(size), "a long, b long"), "jaccard-links")
 
-    rows = member.withColumn("ask", F.lit(False))
-    large = member.where(F.col("m") > block)
+    rows = placed.withColumn("ask", F.lit(False))
+    large = placed.where("cuts > 1")
     has_large = large.limit(1).count() > 0
     if has_large:
         parts = stash(large.select("family", "block").distinct(), "jaccard-parts")
-        some = rows.where((F.col("m") > block) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("m")) < pivots))
+        some = rows.where((F.col("cuts") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("m")) < pivots))
         rows = rows.unionByName(some.drop("block").join(parts, "family").select(*rows.columns))
     found = links_of(rows)
     if has_large:
         tied = connected_components(found, "jaccard-tied")
         big = large.join(tied, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
         big = stash(big.drop("node"), "jaccard-large")
-        top = big.groupBy("family", "root").count().groupBy("family")
-        top = top.agg(F.max_by("root", F.struct("count", "root")).alias("top"), (F.sum("count") - F.max("count")).alias("out"))
-        big = big.join(top, "family").where("out > 0").withColumn("chunks", F.ceil(F.col("out") / block).cast("int"))
-        asks = big.where("root <> top").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int"))
+        discard(tied)
+        top = big.groupBy("family", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("weight")).groupBy("family")
+        left_over = lambda c: F.sum(c) - F.max_by(c, F.struct("count", "root"))
+        top = top.agg(F.max_by("root", F.struct("count", "root")).alias("top"), left_over("count").alias("out"), left_over("weight").alias("out_n"))
+        asking = big.join(top, "family").where("out > 0")
+        asking = asking.withColumn("chunks", F.ceil(F.greatest(F.col("out") / block, F.col("out_n") / heavy)).cast("int"))
+        asks = asking.where("root <> top").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int"))
         asks = asks.drop("block").join(parts, "family").withColumn("ask", F.lit(True))
-        rest = big.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ask", F.lit(False))
+        rest = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ask", F.lit(False))
         pick = [F.xxhash64("block", "chunk").alias("block"), "family", "id", "ask"]
         more = links_of(asks.select(*pick).unionByName(rest.select(*pick)))
-        links = connected_components(found.unionByName(more), "jaccard-groups")
-        links = links.select(F.col("node").alias("rep"), F.col("root").alias("component"))
+        discard(big, parts)
+        both = connected_components(found.unionByName(more), "jaccard-groups")
+        discard(found, more)
+        links = both.select(F.col("node").alias("rep"), F.col("root").alias("component"))
     else:
+        both = found
         links = found.select(F.col("a").alias("rep"), F.col("b").alias("component"))
+    discard(placed, *fetched)
     # each class takes its group, each document its class
     groups = classes.join(links, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     groups = stash(groups, "jaccard-classes")  # read anew, so that a class with very many copies is a side that can be split
+    discard(both)
     out = signed.join(groups, ["s1", "s2"], "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n", own.alias("component"))
+    return reads(out.select(F.col("id").alias(id_col), "n", own.alias("component")), signed, groups)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
