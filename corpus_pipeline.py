@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake.llm import decontaminate, jaccard_join, packing, quality_classifier, suffix_dedup
-from convlake.llm.common import stash
+from convlake.llm.common import discard, key_slices, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,18 +20,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, few: int
     """One row of each group: the one of the smallest id, rows without id last. Null and wordless texts stay.
 
     Rows are told apart by a key of id and text, so repeated and null ids are no matter. Of rows with one key, the
-    smallest is left. few: up to so many such keys are broadcast to fetch their rows; beyond, the join shuffles.
+    smallest is left. few: so many keys of rows that go, or of repeated rows, are broadcast at a time; the join shuffles beyond 16 times as many
+    that go, or as many repeated ones.
     """
     rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    groups = jaccard_join.group_documents(rows, "row_key").where("n > 0").groupBy("row_key").agg(F.first("component").alias("component"))
+    found = jaccard_join.group_documents(rows, "row_key")
+    groups = found.where("n > 0").groupBy("row_key").agg(F.first("component").alias("component"))
     ids = rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     groups = stash(groups.join(ids, "row_key"), "pipeline-groups")
+    discard(found)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     first = groups.groupBy("component").agg(best.alias("best")).select("best.row_key")
     first = stash(first.withColumn("first", F.lit(True)), "pipeline-first")
     spare = groups.join(first, "row_key", "left").where("first IS NULL OR copies > 1")
     spare = stash(spare.select("row_key", F.col("first").isNotNull().alias("again")), "pipeline-spare")
-    kept = rows.join(spare, "row_key", "left_anti").select(*docs.columns)
+    discard(groups, first)
+    gone = spare.select("row_key")
+    slices = key_slices(gone, "row_key", few)
+    kept = rows
+    for keys in [gone] if slices is None else map(F.broadcast, slices):
+        kept = kept.join(keys, "row_key", "left_anti")
+    kept = kept.select(*docs.columns)
     again = spare.where("again").select("row_key")
     n = again.count()
     if not n:
